@@ -72,4 +72,6 @@ def parse_gateway_logs(
 
 def malformed_rows(lines: DataFrame, marker: str = HEADER_MARKER) -> DataFrame:
     """The lines that are neither headers nor readable records, as ``value``."""
-    return _read_fields(lines, marker).filter(F.col("timestamp").isNull()).select("value")
+    return _read_fields(lines, marker).select(
+        F.explode(F.when(F.col("timestamp").isNull(), F.array("value"))).alias("value")
+    )

@@ -97,9 +97,18 @@ def all_report_lines(logs: DataFrame, reports: Sequence[Report] = REPORTS) -> Da
         )
         for report in reports
     ]
+    line = F.coalesce(
+        *(
+            F.when(
+                F.col("report") == report.name,
+                report_line(report.keys, F.col("window_end"), F.col("n")),
+            )
+            for report in reports
+        )
+    )
     return (
         counts.select(F.explode(F.array(*rows)).alias("row"), "n")
         .groupBy("row.report", "row.window_end", *(f"row.{key}" for key in keys))
         .agg(F.sum("n").alias("n"))
-        .select("report", report_line(keys, F.col("window_end"), F.col("n")).alias("value"))
+        .select("report", line.alias("value"))
     )

@@ -1,0 +1,248 @@
+"""Streaming: emission, late data, malformed lines, sinks and restarts."""
+
+from __future__ import annotations
+
+import os
+import time
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from fixtures import FIVE_MINUTES, GOLDEN, HEADER, PER_MINUTE, SERVICE, line, report
+from gatetally.operators import drop_headers, parse_gateway_logs, with_event_time
+from gatetally.plans import REPORTS, report_lines, report_named
+from gatetally.sinks import collect_stream, start_batches, start_text
+from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS
+from gatetally.sources import lines_from, read_lines
+from gatetally.streaming import await_all, late_rows, run_stream, stage_logs, start_reports
+
+PER_MINUTE_REPORT = report_named("countOfAPIPerMinute")
+
+# One record per file and one file per batch.
+LATE_CLOCKS = [
+    "17:26:04",
+    "17:27:03.499",  # the watermark is a millisecond short of the end of the first window
+    "17:26:10",
+    "17:27:03.500",  # the watermark reaches that end when this batch is done
+    "17:26:20",
+    "17:40:00",
+    "17:41:00",
+]
+LATE_COUNTS = [report(SERVICE, 1520900820000, 3), report(SERVICE, 1520900880000, 2)]
+
+
+def add_file(folder: str, number: int, lines: list[str]) -> str:
+    """A file that appears complete; files are read in the order of their numbers."""
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/{number:03d}.csv"
+    hidden = f"{folder}/.{number:03d}.csv"
+    with open(hidden, "w") as out:
+        out.writelines(f"{text}\n" for text in lines)
+    stamp = time.time() - 3600 + number
+    os.utime(hidden, (stamp, stamp))
+    os.rename(hidden, path)
+    return path
+
+
+def read_logs(spark, folder, **options):
+    return parse_gateway_logs(read_lines(spark, folder, streaming=True, **options))
+
+
+def written(spark, path):
+    if not any(name.endswith(".txt") for name in os.listdir(path)):
+        return []
+    return sorted(row.value for row in spark.read.text(path).collect())
+
+
+@pytest.mark.parametrize("name", GOLDEN)
+def test_stream_emits_finished_windows(spark, folder, name):
+    lines, which, stream, _ = GOLDEN[name]
+    add_file(folder, 0, lines)
+    rows = collect_stream(report_lines(read_logs(spark, folder), report_named(which)))
+    assert sorted(row.value for row in rows) == sorted(stream)
+
+
+def test_header_filter_on_a_stream(spark, folder):
+    add_file(folder, 0, PER_MINUTE)
+    rows = collect_stream(drop_headers(read_lines(spark, folder, streaming=True)))
+    assert sorted(row.value for row in rows) == sorted(PER_MINUTE[1:])
+
+
+def test_watermark_value(spark, folder):
+    add_file(f"{folder}/in", 0, PER_MINUTE)
+    counts = report_lines(read_logs(spark, f"{folder}/in"), PER_MINUTE_REPORT)
+    query = start_text(counts, f"{folder}/out", f"{folder}/c", AVAILABLE_NOW)
+    query.awaitTermination()
+    # 17:29:42 less 3.5 seconds, in UTC; the record after it was earlier and doesn't move it back.
+    assert query.recentProgress[-1]["eventTime"]["watermark"] == "2018-03-13T00:29:38.500Z"
+
+
+def test_late_records(spark, folder):
+    for number, clock in enumerate(LATE_CLOCKS):
+        add_file(f"{folder}/in", number, [line(clock)])
+    logs = read_logs(spark, f"{folder}/in", maxFilesPerTrigger=1)
+    counts = report_lines(logs, PER_MINUTE_REPORT)
+    paths = (f"{folder}/out", f"{folder}/c")
+    query = start_text(counts, *paths, AVAILABLE_NOW)
+    query.awaitTermination()
+    assert written(spark, paths[0]) == LATE_COUNTS
+
+    # Nothing new to read: a restart writes nothing.
+    start_text(counts, *paths, AVAILABLE_NOW).awaitTermination()
+    assert written(spark, paths[0]) == LATE_COUNTS
+
+    # Lines appended to a file that was read are not seen.
+    with open(f"{folder}/in/006.csv", "a") as out:
+        out.write(line("17:55:00") + "\n")
+    query = start_text(counts, *paths, AVAILABLE_NOW)
+    query.awaitTermination()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 0
+    assert written(spark, paths[0]) == LATE_COUNTS
+
+    # A new file is; its old record is dropped and counted as dropped.
+    add_file(f"{folder}/in", 7, [line("17:26:30"), line("17:50:00")])
+    query = start_text(counts, *paths, AVAILABLE_NOW)
+    query.awaitTermination()
+    assert late_rows(query) == 1
+    more = [report(SERVICE, 1520901660000, 1), report(SERVICE, 1520901720000, 1)]
+    assert written(spark, paths[0]) == sorted(LATE_COUNTS + more)
+
+
+def test_records_within_the_delay_are_kept(spark, folder):
+    clocks = ["17:26:59", "17:27:03.400", "17:26:59.900", "17:30:00"]
+    for number, clock in enumerate(clocks):
+        add_file(folder, number, [line(clock)])
+    logs = read_logs(spark, folder, maxFilesPerTrigger=1)
+    rows = collect_stream(report_lines(logs, PER_MINUTE_REPORT))
+    assert sorted(row.value for row in rows) == [
+        report(SERVICE, 1520900820000, 2),
+        report(SERVICE, 1520900880000, 1),
+    ]
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_job(spark, folder, staged):
+    add_file(f"{folder}/in", 0, FIVE_MINUTES)
+    where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
+    table = f"{folder}/staged" if staged else None
+    run_stream(spark, *where, staged=table, trigger=AVAILABLE_NOW)
+    first = {r.name: written(spark, f"{folder}/out/{r.name}") for r in REPORTS}
+    assert first["countOfAPIPer5MinutesByHttpMethods"] == GOLDEN["five_minutes"][2]
+    assert first["countOfAPIPer5Minutes"] == GOLDEN["five_minutes_by_service"][2]
+    assert [len(first[r.name]) for r in REPORTS] == [3, 1, 4, 2]
+
+    # State is kept over a restart: open windows go on counting and nothing is written twice.
+    add_file(f"{folder}/in", 1, [HEADER, line("17:43:30"), line("18:00:00")])
+    run_stream(spark, *where, staged=table, trigger=AVAILABLE_NOW)
+    second = {r.name: written(spark, f"{folder}/out/{r.name}") for r in REPORTS}
+    assert second["countOfAPIPerMinute"] == sorted(
+        first["countOfAPIPerMinute"] + [report(SERVICE, 1520901840000, 2)]
+    )
+    assert second["countOfAPIPer5MinutesByHttpMethods"] == sorted(
+        first["countOfAPIPer5MinutesByHttpMethods"]
+        + [
+            report("API-Gateway:GA.GET", 1520901900000, 2),
+            report("API-Gateway:GA.POST", 1520901900000, 1),
+        ]
+    )
+
+
+def test_job_keeps_reading(spark, folder):
+    os.makedirs(f"{folder}/in")
+    logs = read_logs(spark, f"{folder}/in")
+    queries = start_reports(logs, f"{folder}/out", f"{folder}/c", trigger=CONTINUOUS)
+    assert [query.name for query in queries] == [r.name for r in REPORTS]
+    try:
+        for number, lines in enumerate((PER_MINUTE, [line("17:31:00")])):
+            add_file(f"{folder}/in", number, lines)
+            for query in queries:
+                query.processAllAvailable()
+        assert written(spark, f"{folder}/out/countOfAPIPerMinute") == [
+            report(SERVICE, 1520900820000, 2),
+            report(SERVICE, 1520901000000, 2),
+        ]
+        assert written(spark, f"{folder}/out/countOfAPIPer5Minutes") == [
+            report(SERVICE, 1520901000000, 4)
+        ]
+    finally:
+        for query in queries:
+            query.stop()
+
+
+def test_staged_table_while_it_grows(spark, folder):
+    os.makedirs(f"{folder}/in")
+    query, logs = stage_logs(
+        read_logs(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/c", CONTINUOUS
+    )
+    queries = [query, *start_reports(logs, f"{folder}/out", f"{folder}/c", trigger=CONTINUOUS)]
+    try:
+        for number, lines in enumerate((PER_MINUTE, [HEADER, line("17:31:00")])):
+            add_file(f"{folder}/in", number, lines)
+            for query in queries:
+                query.processAllAvailable()
+        assert written(spark, f"{folder}/out/countOfAPIPerMinute") == [
+            report(SERVICE, 1520900820000, 2),
+            report(SERVICE, 1520901000000, 2),
+        ]
+    finally:
+        for query in queries:
+            query.stop()
+
+
+def test_malformed_line_fails_the_job(spark, folder):
+    add_file(f"{folder}/in", 0, [*PER_MINUTE, "short,line"])
+    where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
+    with pytest.raises(StreamingQueryException, match="Malformed gateway log line: short,line"):
+        run_stream(spark, *where, trigger=AVAILABLE_NOW)
+    assert spark.streams.active == []
+
+
+def test_malformed_lines_are_set_apart(spark, folder):
+    add_file(f"{folder}/in", 0, [*PER_MINUTE, "short,line", ""])
+    where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
+    run_stream(spark, *where, quarantine=f"{folder}/bad", trigger=AVAILABLE_NOW)
+    assert written(spark, f"{folder}/bad") == ["", "short,line"]
+    assert written(spark, f"{folder}/out/countOfAPIPerMinute") == GOLDEN["per_minute"][2]
+
+
+def test_one_failure_stops_all(spark, folder):
+    os.makedirs(f"{folder}/good")
+    add_file(f"{folder}/bad", 0, ["short,line"])
+    idle = start_text(
+        read_lines(spark, f"{folder}/good", streaming=True), f"{folder}/o1", f"{folder}/c1"
+    )
+    failing = start_text(
+        report_lines(read_logs(spark, f"{folder}/bad"), PER_MINUTE_REPORT),
+        f"{folder}/o2",
+        f"{folder}/c2",
+    )
+    with pytest.raises(StreamingQueryException):
+        await_all([idle, failing])
+    assert not idle.isActive
+
+
+def test_own_sink(spark, folder):
+    add_file(f"{folder}/in", 0, FIVE_MINUTES)
+    logs = with_event_time(read_logs(spark, f"{folder}/in"))
+    seen = {}
+
+    def write(batch, number):
+        seen[number] = sorted(row.type for row in batch.collect())
+
+    start_batches(logs, write, f"{folder}/c", AVAILABLE_NOW).awaitTermination()
+    methods = [text.split(",")[1] for text in FIVE_MINUTES[1:]]
+    assert [types for types in seen.values() if types] == [sorted(methods)]
+
+
+def test_joint_reports_are_for_static_frames(spark, folder):
+    from gatetally.plans import all_report_lines
+
+    with pytest.raises(ValueError, match="one query per report"):
+        all_report_lines(read_logs(spark, folder))
+
+
+def test_static_frame_through_the_same_functions(spark):
+    static = parse_gateway_logs(lines_from(spark, FIVE_MINUTES))
+    lines = report_lines(static, report_named("countOfAPIPer5Minutes"))
+    assert lines.filter(F.col("value").contains("count: 3")).count() == 1
