@@ -132,7 +132,7 @@ def batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written_reports(spark, f"{folder}/reports")
 
 
-def stream_job(staged: bool) -> Query:
+def stream_job(parse_once: bool) -> Query:
     """Log files in, four report directories out, by one streaming query per report."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def stream_job(staged: bool) -> Query:
             f"{folder}/logs",
             f"{folder}/reports",
             f"{folder}/checkpoints",
-            staged=f"{folder}/staged" if staged else None,
+            parse_once=parse_once,
             trigger=AVAILABLE_NOW,
         )
         return _written_reports(spark, f"{folder}/reports")
@@ -172,8 +172,8 @@ def queries() -> dict[str, Query]:
         "calls_per_minute_by_method_append": report_append(COUNT_PER_MINUTE_BY_METHOD),
         "calls_per_5_minutes_by_method_append": report_append(COUNT_PER_5_MINUTES_BY_METHOD),
         "batch_job": batch_job,
-        "stream_job": stream_job(staged=False),
-        "stream_job_staged": stream_job(staged=True),
+        "stream_job": stream_job(parse_once=True),
+        "stream_job_without_table": stream_job(parse_once=False),
     }
 
 
@@ -239,5 +239,5 @@ def oracle_sql() -> dict[str, str]:
         + _report_sql(_BY_METHOD, 300000, append=True),
         "batch_job": _all_reports_sql(),
         "stream_job": _all_reports_sql(append=True),
-        "stream_job_staged": _all_reports_sql(append=True),
+        "stream_job_without_table": _all_reports_sql(append=True),
     }

@@ -17,8 +17,10 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("source", help="directory of log files")
     parser.add_argument("output", help="directory that gets one directory per report")
     parser.add_argument("--quarantine", help="directory for malformed lines; without, they fail")
-    parser.add_argument("--checkpoints", help="directory for streaming checkpoints")
-    parser.add_argument("--staged", help="directory for parsed records, to parse a stream once")
+    parser.add_argument("--checkpoints", help="directory for stream state, shared by all executors")
+    parser.add_argument(
+        "--no-table", action="store_true", help="let each report of a stream parse the text itself"
+    )
     parser.add_argument("--once", action="store_true", help="stream what is there, then stop")
     parser.add_argument("--max-files", type=int, help="files per micro-batch, at most")
     args = parser.parse_args(arguments)
@@ -35,7 +37,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
         args.output,
         args.checkpoints,
         quarantine=args.quarantine,
-        staged=args.staged,
+        parse_once=not args.no_table,
         trigger=AVAILABLE_NOW if args.once else CONTINUOUS,
         **({"maxFilesPerTrigger": args.max_files} if args.max_files else {}),
     )

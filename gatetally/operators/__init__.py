@@ -1,7 +1,7 @@
 """DataFrame to DataFrame steps that serve batch and streaming frames alike."""
 
 from gatetally.operators.filters import drop_headers
-from gatetally.operators.parsing import malformed_rows, parse_gateway_logs
+from gatetally.operators.parsing import malformed_rows, parse_gateway_logs, read_records
 from gatetally.operators.windows import aggregate_by_window, count_by_window, with_event_time
 
 __all__ = [
@@ -10,5 +10,6 @@ __all__ = [
     "drop_headers",
     "malformed_rows",
     "parse_gateway_logs",
+    "read_records",
     "with_event_time",
 ]

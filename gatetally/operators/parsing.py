@@ -19,8 +19,12 @@ from gatetally.operators.filters import drop_headers
 MODES = ("failfast", "quarantine")
 
 
-def _read_fields(lines: DataFrame, marker: str) -> DataFrame:
-    """Records with their line; ``timestamp`` is null exactly where the line is malformed."""
+def read_records(lines: DataFrame, marker: str = HEADER_MARKER) -> DataFrame:
+    """(value, timestamp, apiUrl, type, microservice) of every line that is not a header.
+
+    ``timestamp`` is null exactly where the line is malformed: where it has fewer than four fields
+    or its time cannot be read.
+    """
     fields = F.col("fields")
     complete = F.size(fields) >= FIELD_COUNT
     return (
@@ -41,9 +45,8 @@ def parse_gateway_logs(
 ) -> DataFrame:
     """Parse lines into (timestamp, apiUrl, type, microservice); header lines are dropped.
 
-    A line is malformed when it has fewer than four fields or its time cannot be read. In mode
-    ``failfast`` such a line fails the query; in mode ``quarantine`` it is left out here and
-    ``malformed_rows`` returns it.
+    In mode ``failfast`` a malformed line fails the query; in mode ``quarantine`` it is left out
+    here and ``malformed_rows`` returns it.
 
     Both modes keep the costly parse out of filters: Spark copies an expression into every filter
     it pushes below a projection, and windowing adds a not-null filter on the event time, so a
@@ -51,7 +54,7 @@ def parse_gateway_logs(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    records = _read_fields(lines, marker)
+    records = read_records(lines, marker)
     timestamp, value = F.col("timestamp"), F.col("value")
     if mode == "quarantine":
         # A generator is a step that filters on its output are not pushed below.
@@ -72,6 +75,6 @@ def parse_gateway_logs(
 
 def malformed_rows(lines: DataFrame, marker: str = HEADER_MARKER) -> DataFrame:
     """The lines that are neither headers nor readable records, as ``value``."""
-    return _read_fields(lines, marker).select(
+    return read_records(lines, marker).select(
         F.explode(F.when(F.col("timestamp").isNull(), F.array("value"))).alias("value")
     )

@@ -1,5 +1,5 @@
 """The streaming job."""
 
-from gatetally.streaming.job import await_all, late_rows, run_stream, stage_logs, start_reports
+from gatetally.streaming.job import await_all, late_rows, run_stream, stage_records, start_reports
 
-__all__ = ["await_all", "late_rows", "run_stream", "stage_logs", "start_reports"]
+__all__ = ["await_all", "late_rows", "run_stream", "stage_records", "start_reports"]

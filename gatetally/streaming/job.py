@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gatetally.constants import GATEWAY_LOG
-from gatetally.operators import malformed_rows, parse_gateway_logs
+from gatetally.operators import malformed_rows, parse_gateway_logs, read_records
 from gatetally.plans.reports import REPORTS, Report, report_lines
 from gatetally.sinks import start_parquet, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS, Trigger
 from gatetally.sources import read_lines
 
+# Options of the file source that say how much one micro-batch takes.
+RATE_LIMITS = ("maxFilesPerTrigger", "maxBytesPerTrigger")
+
 
 def start_reports(
     logs: DataFrame,
@@ -45,16 +48,21 @@ def start_reports(
     return queries
 
 
-def stage_logs(
-    logs: DataFrame, table: str, checkpoints: str, trigger: Trigger = CONTINUOUS
+def stage_records(
+    records: DataFrame,
+    table: str,
+    checkpoint: str,
+    trigger: Trigger = CONTINUOUS,
+    **options: str | int | bool,
 ) -> tuple[StreamingQuery, DataFrame]:
-    """Write records to a Parquet table as they come, and return them as a stream from there.
+    """Write rows to a Parquet table as they come, and return them as a stream from there.
 
-    Without this every report reads and parses all text for itself. With it the text is read and
-    parsed once, and each report reads just its own columns of the table.
+    Several queries can then read the rows without working them out again, each just its own
+    columns. ``options`` go to the source that reads the table.
     """
-    query = start_parquet(logs, table, f"{checkpoints}/staged", trigger, "staged")
-    return query, logs.sparkSession.readStream.schema(GATEWAY_LOG).parquet(table)
+    query = start_parquet(records, table, checkpoint, trigger, "records")
+    reader = records.sparkSession.readStream.schema(records.schema).options(**options)
+    return query, reader.parquet(table)
 
 
 def await_all(queries: Iterable[StreamingQuery]) -> None:
@@ -88,8 +96,9 @@ def run_stream(
     source: str,
     output: str,
     checkpoints: str,
+    reports: Sequence[Report] = REPORTS,
     quarantine: str | None = None,
-    staged: str | None = None,
+    parse_once: bool = True,
     trigger: Trigger = CONTINUOUS,
     **options: str | int | bool,
 ) -> None:
@@ -97,25 +106,41 @@ def run_stream(
     ``AVAILABLE_NOW``, until all that is there has been read.
 
     Malformed lines fail the job, unless ``quarantine`` names a directory to write them to.
-    ``staged`` names a directory for the records, so that the text is parsed once and not once
-    per report. ``options`` go to the file source.
+    ``options`` go to the file source.
+
+    The text is read and parsed once, into a table of the columns the reports use; they read that,
+    a micro-batch later. With ``parse_once=False`` there is no table, and every query reads and
+    parses all text for itself.
     """
     lines = read_lines(spark, source, streaming=True, **options)
-    mode = "failfast" if quarantine is None else "quarantine"
-    logs = parse_gateway_logs(lines, mode)
     queries = []
-    if staged is not None:
-        query, staged_logs = stage_logs(logs, staged, checkpoints, trigger)
+    if quarantine is None:
+        logs, malformed = parse_gateway_logs(lines), None
+    else:
+        logs, malformed = parse_gateway_logs(lines, "quarantine"), malformed_rows(lines)
+    if parse_once:
+        columns = ["timestamp", *dict.fromkeys(key for report in reports for key in report.keys)]
+        if quarantine is None:
+            records = logs.select(columns)
+        else:
+            line = F.when(F.col("timestamp").isNull(), F.col("value")).alias("malformed")
+            records = read_records(lines).select(*columns, line)
+        limits = {name: options[name] for name in RATE_LIMITS if name in options}
+        query, table = stage_records(
+            records, f"{checkpoints}/records", f"{checkpoints}/parse", trigger, **limits
+        )
         if trigger == AVAILABLE_NOW:
             # The reports would take "what is there now" before the table is complete.
             await_all([query])
         else:
             queries.append(query)
-        logs = staged_logs
+        logs = table.filter(F.col("timestamp").isNotNull())
+        if quarantine is not None:
+            malformed = table.filter(F.col("timestamp").isNull())
+            malformed = malformed.select(F.col("malformed").alias("value"))
     if quarantine is not None:
-        bad = malformed_rows(lines)
         queries.append(
-            start_text(bad, quarantine, f"{checkpoints}/malformed", trigger, "malformed")
+            start_text(malformed, quarantine, f"{checkpoints}/malformed", trigger, "malformed")
         )
-    queries += start_reports(logs, output, checkpoints, trigger=trigger)
+    queries += start_reports(logs, output, checkpoints, reports, trigger)
     await_all(queries)

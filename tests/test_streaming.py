@@ -15,7 +15,7 @@ from gatetally.plans import REPORTS, report_lines, report_named
 from gatetally.sinks import collect_stream, start_batches, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS
 from gatetally.sources import lines_from, read_lines
-from gatetally.streaming import await_all, late_rows, run_stream, stage_logs, start_reports
+from gatetally.streaming import await_all, late_rows, run_stream, stage_records, start_reports
 
 PER_MINUTE_REPORT = report_named("countOfAPIPerMinute")
 
@@ -121,12 +121,12 @@ def test_records_within_the_delay_are_kept(spark, folder):
     ]
 
 
-@pytest.mark.parametrize("staged", [False, True])
-def test_job(spark, folder, staged):
+@pytest.mark.parametrize("parse_once", [True, False])
+def test_job(spark, folder, parse_once):
     add_file(f"{folder}/in", 0, FIVE_MINUTES)
     where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
-    table = f"{folder}/staged" if staged else None
-    run_stream(spark, *where, staged=table, trigger=AVAILABLE_NOW)
+    options = {"parse_once": parse_once, "trigger": AVAILABLE_NOW}
+    run_stream(spark, *where, **options)
     first = {r.name: written(spark, f"{folder}/out/{r.name}") for r in REPORTS}
     assert first["countOfAPIPer5MinutesByHttpMethods"] == GOLDEN["five_minutes"][2]
     assert first["countOfAPIPer5Minutes"] == GOLDEN["five_minutes_by_service"][2]
@@ -134,7 +134,7 @@ def test_job(spark, folder, staged):
 
     # State is kept over a restart: open windows go on counting and nothing is written twice.
     add_file(f"{folder}/in", 1, [HEADER, line("17:43:30"), line("18:00:00")])
-    run_stream(spark, *where, staged=table, trigger=AVAILABLE_NOW)
+    run_stream(spark, *where, **options)
     second = {r.name: written(spark, f"{folder}/out/{r.name}") for r in REPORTS}
     assert second["countOfAPIPerMinute"] == sorted(
         first["countOfAPIPerMinute"] + [report(SERVICE, 1520901840000, 2)]
@@ -170,10 +170,10 @@ def test_job_keeps_reading(spark, folder):
             query.stop()
 
 
-def test_staged_table_while_it_grows(spark, folder):
+def test_table_of_records_while_it_grows(spark, folder):
     os.makedirs(f"{folder}/in")
-    query, logs = stage_logs(
-        read_logs(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/c", CONTINUOUS
+    query, logs = stage_records(
+        read_logs(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/c/parse", CONTINUOUS
     )
     queries = [query, *start_reports(logs, f"{folder}/out", f"{folder}/c", trigger=CONTINUOUS)]
     try:
@@ -190,18 +190,30 @@ def test_staged_table_while_it_grows(spark, folder):
             query.stop()
 
 
-def test_malformed_line_fails_the_job(spark, folder):
+def test_job_with_late_records(spark, folder):
+    """Rate limits hold for the table of records, too: one record per batch all the way."""
+    for number, clock in enumerate([*LATE_CLOCKS[:-1], "17:26:30", LATE_CLOCKS[-1]]):
+        add_file(f"{folder}/in", number, [line(clock)])
+    where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
+    run_stream(spark, *where, trigger=AVAILABLE_NOW, maxFilesPerTrigger=1)
+    assert written(spark, f"{folder}/out/countOfAPIPerMinute") == LATE_COUNTS
+
+
+@pytest.mark.parametrize("parse_once", [True, False])
+def test_malformed_line_fails_the_job(spark, folder, parse_once):
     add_file(f"{folder}/in", 0, [*PER_MINUTE, "short,line"])
     where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
     with pytest.raises(StreamingQueryException, match="Malformed gateway log line: short,line"):
-        run_stream(spark, *where, trigger=AVAILABLE_NOW)
+        run_stream(spark, *where, parse_once=parse_once, trigger=AVAILABLE_NOW)
     assert spark.streams.active == []
 
 
-def test_malformed_lines_are_set_apart(spark, folder):
+@pytest.mark.parametrize("parse_once", [True, False])
+def test_malformed_lines_are_set_apart(spark, folder, parse_once):
     add_file(f"{folder}/in", 0, [*PER_MINUTE, "short,line", ""])
     where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
-    run_stream(spark, *where, quarantine=f"{folder}/bad", trigger=AVAILABLE_NOW)
+    options = {"parse_once": parse_once, "trigger": AVAILABLE_NOW}
+    run_stream(spark, *where, quarantine=f"{folder}/bad", **options)
     assert written(spark, f"{folder}/bad") == ["", "short,line"]
     assert written(spark, f"{folder}/out/countOfAPIPerMinute") == GOLDEN["per_minute"][2]
 
