@@ -17,9 +17,15 @@ from gatetally.constants import (
     COUNT_PER_5_MINUTES_BY_METHOD,
     COUNT_PER_MINUTE,
     COUNT_PER_MINUTE_BY_METHOD,
+    ONE_MINUTE,
 )
 from gatetally.functions import epoch_millis
-from gatetally.operators import drop_headers, malformed_rows, parse_gateway_logs
+from gatetally.operators import (
+    count_by_window,
+    drop_headers,
+    malformed_rows,
+    parse_gateway_logs,
+)
 from gatetally.plans import (
     REPORTS,
     all_report_lines,
@@ -27,9 +33,9 @@ from gatetally.plans import (
     report_named,
     run_batch,
 )
-from gatetally.sinks import start_text
+from gatetally.sinks import start_batches, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW
-from gatetally.sources import gateway_lines, with_header
+from gatetally.sources import gateway_lines, read_lines, with_header
 from gatetally.streaming import run_stream
 from gatetally.workspace import shared_folder
 
@@ -56,6 +62,16 @@ def _lines_with_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(value.alias("value"))
 
 
+def _streaming_session(spark: SparkSession) -> SparkSession:
+    """A session whose queries keep their state in one partition per core.
+
+    The state is a row per open window and key, so more partitions would hold next to nothing.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    return session
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of lines; a stream cannot be joined by a static header line."""
     events = (
@@ -100,7 +116,8 @@ def report_append(name: str) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = shared_folder(spark, "append")
-        lines = report_lines(parse_gateway_logs(_stream(spark, sf_dir)), report_named(name))
+        events = _stream(_streaming_session(spark), sf_dir)
+        lines = report_lines(parse_gateway_logs(events), report_named(name))
         start_text(
             lines, f"{folder}/lines", f"{folder}/checkpoint", AVAILABLE_NOW
         ).awaitTermination()
@@ -109,6 +126,54 @@ def report_append(name: str) -> Query:
     return run
 
 
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per service, method and minute as columns."""
+    counts = count_by_window(_logs(spark, sf_dir), ONE_MINUTE, ["microservice", "type"])
+    start, end = epoch_millis(F.col("window_start")), epoch_millis(F.col("window_end"))
+    return counts.select("microservice", "type", start.alias("start_ms"), end.alias("end_ms"), "n")
+
+
+def calls_per_minute_own_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's micro-batches handed to a function of ours, which writes a table of them."""
+    folder = shared_folder(spark, "own_sink")
+    events = _stream(_streaming_session(spark), sf_dir)
+    lines = report_lines(parse_gateway_logs(events), report_named(COUNT_PER_MINUTE))
+
+    def write(batch: DataFrame, number: int) -> None:
+        # A repeated batch replaces its first try.
+        batch.write.mode("overwrite").parquet(f"{folder}/lines/batch={number}")
+
+    start_batches(lines, write, f"{folder}/checkpoint", AVAILABLE_NOW).awaitTermination()
+    return spark.read.schema("value string").parquet(f"{folder}/lines").select("value")
+
+
+def watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watermark after the stream has been read."""
+    folder = shared_folder(spark, "watermark")
+    events = _stream(_streaming_session(spark), sf_dir)
+    lines = report_lines(parse_gateway_logs(events), report_named(COUNT_PER_5_MINUTES))
+    query = start_text(lines, f"{folder}/lines", f"{folder}/checkpoint", AVAILABLE_NOW)
+    query.awaitTermination()
+    reached = F.to_timestamp(F.lit(query.lastProgress["eventTime"]["watermark"]))
+    return spark.range(1).select(epoch_millis(reached).alias("watermark_ms"))
+
+
+def late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls per minute when all error events arrive after all others have been read."""
+    folder = shared_folder(spark, "late")
+    report = report_named(COUNT_PER_MINUTE)
+    lines = _lines(spark, sf_dir)
+    is_error = F.col("value").contains(",GA.ERROR,")
+    for arriving in (lines.filter(~is_error), lines.filter(is_error)):
+        arriving.write.mode("append").text(f"{folder}/logs")
+        read = read_lines(_streaming_session(spark), f"{folder}/logs", streaming=True)
+        counts = report_lines(parse_gateway_logs(read), report)
+        start_text(
+            counts, f"{folder}/lines", f"{folder}/checkpoint", AVAILABLE_NOW
+        ).awaitTermination()
+    return spark.read.text(f"{folder}/lines")
+
+
 def all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_report_lines(_logs(spark, sf_dir))
 
@@ -139,7 +204,7 @@ def stream_job(parse_once: bool) -> Query:
         folder = shared_folder(spark, "stream_job")
         _lines(spark, sf_dir).write.text(f"{folder}/logs")
         run_stream(
-            spark,
+            _streaming_session(spark),
             f"{folder}/logs",
             f"{folder}/reports",
             f"{folder}/checkpoints",
@@ -166,11 +231,15 @@ def queries() -> dict[str, Query]:
         "calls_per_minute_by_method": report(COUNT_PER_MINUTE_BY_METHOD),
         "calls_per_5_minutes_by_method": report(COUNT_PER_5_MINUTES_BY_METHOD),
         "calls_per_minute_without_malformed": report_without_malformed(COUNT_PER_MINUTE),
+        "window_counts": window_counts,
         "all_reports": all_reports,
         "calls_per_minute_append": report_append(COUNT_PER_MINUTE),
         "calls_per_5_minutes_append": report_append(COUNT_PER_5_MINUTES),
         "calls_per_minute_by_method_append": report_append(COUNT_PER_MINUTE_BY_METHOD),
         "calls_per_5_minutes_by_method_append": report_append(COUNT_PER_5_MINUTES_BY_METHOD),
+        "calls_per_minute_own_sink": calls_per_minute_own_sink,
+        "watermark": watermark,
+        "late_records": late_records,
         "batch_job": batch_job,
         "stream_job": stream_job(parse_once=True),
         "stream_job_without_table": stream_job(parse_once=False),
@@ -231,12 +300,26 @@ def oracle_sql() -> dict[str, str]:
         "calls_per_5_minutes_by_method": _LOGS + _report_sql(_BY_METHOD, 300000),
         "calls_per_minute_without_malformed": _LOGS
         + _report_sql(_BY_SERVICE, 60000, where="WHERE type <> 'GA.ERROR'"),
+        "window_counts": _LOGS
+        + "SELECT microservice, type, ms // 60000 * 60000 AS start_ms, "
+        "(ms // 60000 + 1) * 60000 AS end_ms, count(*) AS n "
+        "FROM logs GROUP BY microservice, type, ms // 60000",
         "all_reports": _all_reports_sql(),
         "calls_per_minute_append": _LOGS + _report_sql(_BY_SERVICE, 60000, append=True),
         "calls_per_5_minutes_append": _LOGS + _report_sql(_BY_SERVICE, 300000, append=True),
         "calls_per_minute_by_method_append": _LOGS + _report_sql(_BY_METHOD, 60000, append=True),
         "calls_per_5_minutes_by_method_append": _LOGS
         + _report_sql(_BY_METHOD, 300000, append=True),
+        "calls_per_minute_own_sink": _LOGS + _report_sql(_BY_SERVICE, 60000, append=True),
+        "watermark": _LOGS + "SELECT max(ms) - 3500 AS watermark_ms FROM logs",
+        "late_records": _LOGS
+        + _report_sql(
+            _BY_SERVICE,
+            60000,
+            where="WHERE type <> 'GA.ERROR' OR (ms // 60000 + 1) * 60000 > "
+            "(SELECT max(ms) - 3500 FROM logs WHERE type <> 'GA.ERROR')",
+            append=True,
+        ),
         "batch_job": _all_reports_sql(),
         "stream_job": _all_reports_sql(append=True),
         "stream_job_without_table": _all_reports_sql(append=True),

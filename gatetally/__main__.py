@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
+from gatetally.constants import RESCAN_INTERVAL
 from gatetally.plans import run_batch
 from gatetally.session import get_session
-from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS
+from gatetally.sinks.streams import AVAILABLE_NOW
 from gatetally.streaming import run_stream
 
 
@@ -22,7 +23,9 @@ def main(arguments: Sequence[str] | None = None) -> None:
         "--no-table", action="store_true", help="let each report of a stream parse the text itself"
     )
     parser.add_argument("--once", action="store_true", help="stream what is there, then stop")
-    parser.add_argument("--max-files", type=int, help="files per micro-batch, at most")
+    parser.add_argument("--interval", default=RESCAN_INTERVAL, help="time between micro-batches")
+    parser.add_argument("--max-files", type=int, help="files read per micro-batch, at most")
+    parser.add_argument("--out-files", type=int, help="files a report writes per micro-batch, at most")
     args = parser.parse_args(arguments)
 
     spark = get_session()
@@ -38,7 +41,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
         args.checkpoints,
         quarantine=args.quarantine,
         parse_once=not args.no_table,
-        trigger=AVAILABLE_NOW if args.once else CONTINUOUS,
+        trigger=AVAILABLE_NOW if args.once else {"processingTime": args.interval},
+        files=args.out_files,
         **({"maxFilesPerTrigger": args.max_files} if args.max_files else {}),
     )
 

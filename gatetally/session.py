@@ -7,6 +7,9 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     # Small shuffle partitions are merged and uneven ones split while a batch query runs.
     "spark.sql.adaptive.enabled": "true",
+    # Lines are counted as they are read, so large splits need no more memory than small ones, and
+    # they keep the number of map tasks, and of blocks to shuffle, low.
+    "spark.sql.files.maxPartitionBytes": "512m",
     # Report queries of one session share the executors evenly.
     "spark.scheduler.mode": "FAIR",
     # Window state is kept on executor disk, not on the heap, and saved as changes.

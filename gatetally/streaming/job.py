@@ -24,20 +24,27 @@ def start_reports(
     checkpoints: str,
     reports: Sequence[Report] = REPORTS,
     trigger: Trigger = CONTINUOUS,
+    files: int | None = None,
 ) -> list[StreamingQuery]:
     """Start one query per report, from a stream of records to ``<output>/<report name>``.
 
     A query has one sink, and window state belongs to one query, so each report has its own query
     and its own checkpoint. With ``spark.scheduler.mode=FAIR`` each also gets its own pool, so a
     large batch of one doesn't hold up the others.
+
+    A micro-batch writes a file per state partition that has finished windows, or, where ``files``
+    is given, that many files at most; only the finished counts are shuffled for it.
     """
     context = logs.sparkSession.sparkContext
     queries = []
     for report in reports:
+        lines = report_lines(logs, report)
+        if files is not None:
+            lines = lines.repartition(files, "value")
         context.setLocalProperty("spark.scheduler.pool", report.name)
         queries.append(
             start_text(
-                report_lines(logs, report),
+                lines,
                 f"{output}/{report.name}",
                 f"{checkpoints}/{report.name}",
                 trigger,
@@ -100,13 +107,14 @@ def run_stream(
     quarantine: str | None = None,
     parse_once: bool = True,
     trigger: Trigger = CONTINUOUS,
+    files: int | None = None,
     **options: str | int | bool,
 ) -> None:
     """Report on the files that arrive under ``source``, until stopped or, with
     ``AVAILABLE_NOW``, until all that is there has been read.
 
     Malformed lines fail the job, unless ``quarantine`` names a directory to write them to.
-    ``options`` go to the file source.
+    ``files`` limits the files a report writes per micro-batch. ``options`` go to the file source.
 
     The text is read and parsed once, into a table of the columns the reports use; they read that,
     a micro-batch later. With ``parse_once=False`` there is no table, and every query reads and
@@ -142,5 +150,5 @@ def run_stream(
         queries.append(
             start_text(malformed, quarantine, f"{checkpoints}/malformed", trigger, "malformed")
         )
-    queries += start_reports(logs, output, checkpoints, reports, trigger)
+    queries += start_reports(logs, output, checkpoints, reports, trigger, files)
     await_all(queries)

@@ -199,6 +199,19 @@ def test_job_with_late_records(spark, folder):
     assert written(spark, f"{folder}/out/countOfAPIPerMinute") == LATE_COUNTS
 
 
+def test_number_of_output_files(spark, folder):
+    lines = [line("17:26:04", service=f"svc-{i}") for i in range(40)] + [line("17:30:00")]
+    add_file(f"{folder}/in", 0, lines)
+    logs = read_logs(spark, f"{folder}/in")
+    which = [PER_MINUTE_REPORT]
+    await_all(start_reports(logs, f"{folder}/many", f"{folder}/c1", which, AVAILABLE_NOW))
+    await_all(start_reports(logs, f"{folder}/one", f"{folder}/c2", which, AVAILABLE_NOW, files=1))
+    many, one = f"{folder}/many/{which[0].name}", f"{folder}/one/{which[0].name}"
+    assert written(spark, many) == written(spark, one)
+    assert len(written(spark, one)) == 40
+    assert len([name for name in os.listdir(one) if name.endswith(".txt")]) == 1
+
+
 @pytest.mark.parametrize("parse_once", [True, False])
 def test_malformed_line_fails_the_job(spark, folder, parse_once):
     add_file(f"{folder}/in", 0, [*PER_MINUTE, "short,line"])
