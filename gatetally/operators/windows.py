@@ -24,19 +24,17 @@ def aggregate_by_window(
     *aggregates: Column,
     column: str = "timestamp",
 ) -> DataFrame:
-    """Aggregates per key and tumbling window: (keys..., window_start, window_end, aggregates...).
+    """Aggregates per key and tumbling window: (keys..., aggregates..., window_start, window_end).
 
     Windows are aligned to the epoch and half-open; only windows that hold rows appear. Any
     aggregate column can be given. Spark aggregates each partition before the shuffle and spreads
     the groups by window and key together, so a key that holds much of the data sends one row per
     window and partition, and a stream keeps one row per open window and key.
     """
-    return (
-        df.groupBy(F.window(column, duration).alias("window"), *keys)
-        .agg(*aggregates)
-        .select("*", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"))
-        .drop("window")
-    )
+    grouped = df.groupBy(F.window(column, duration).alias("window"), *keys).agg(*aggregates)
+    start = F.col("window.start").alias("window_start")
+    end = F.col("window.end").alias("window_end")
+    return grouped.select("*", start, end).drop("window")
 
 
 def count_by_window(

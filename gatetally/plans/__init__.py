@@ -1,6 +1,7 @@
 """The four reports and the batch job that writes them."""
 
-from gatetally.plans.batch import run_batch
+from gatetally.plans.batch import run_batch, write_reports
+from gatetally.plans.records import malformed_records, readable_records, table_records
 from gatetally.plans.reports import (
     REPORTS,
     Report,
@@ -16,8 +17,12 @@ __all__ = [
     "Report",
     "all_report_lines",
     "format_lines",
+    "malformed_records",
+    "readable_records",
     "report_counts",
     "report_lines",
     "report_named",
     "run_batch",
+    "table_records",
+    "write_reports",
 ]

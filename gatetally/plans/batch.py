@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatetally.operators import malformed_rows, parse_gateway_logs
+from gatetally.operators import parse_gateway_logs
+from gatetally.plans.records import malformed_records, readable_records, table_records
 from gatetally.plans.reports import REPORTS, Report, all_report_lines
 from gatetally.sinks import write_text
 from gatetally.sources import read_lines
@@ -40,12 +41,18 @@ def run_batch(
 ) -> None:
     """Report on all lines under ``source``; every window is written, also the last ones.
 
-    Malformed lines fail the job, unless ``quarantine`` names a directory to write them to.
+    Malformed lines fail the job, unless ``quarantine`` names a directory to write them to. The
+    text is read once either way: with ``quarantine`` the parsed records go to a table in the
+    shared folder first.
     """
     lines = read_lines(spark, source)
     if quarantine is None:
         logs = parse_gateway_logs(lines)
     else:
-        write_text(malformed_rows(lines), quarantine, mode)
-        logs = parse_gateway_logs(lines, mode="quarantine")
+        records = table_records(lines, REPORTS, quarantine=True)
+        path = shared_folder(spark, "records")
+        records.write.parquet(path)
+        table = spark.read.schema(records.schema).parquet(path)
+        write_text(malformed_records(table), quarantine, mode)
+        logs = readable_records(table)
     write_reports(logs, output, mode=mode)

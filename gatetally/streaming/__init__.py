@@ -1,5 +1,19 @@
 """The streaming job."""
 
-from gatetally.streaming.job import await_all, late_rows, run_stream, stage_records, start_reports
+from gatetally.streaming.job import (
+    await_all,
+    late_rows,
+    run_stream,
+    stage_records,
+    start_reports,
+    stop_all,
+)
 
-__all__ = ["await_all", "late_rows", "run_stream", "stage_records", "start_reports"]
+__all__ = [
+    "await_all",
+    "late_rows",
+    "run_stream",
+    "stage_records",
+    "start_reports",
+    "stop_all",
+]

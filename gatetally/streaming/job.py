@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gatetally.operators import malformed_rows, parse_gateway_logs, read_records
+from gatetally.operators import malformed_rows, parse_gateway_logs
+from gatetally.plans.records import malformed_records, readable_records, table_records
 from gatetally.plans.reports import REPORTS, Report, report_lines
 from gatetally.sinks import start_parquet, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS, Trigger
@@ -37,21 +37,25 @@ def start_reports(
     """
     context = logs.sparkSession.sparkContext
     queries = []
-    for report in reports:
-        lines = report_lines(logs, report)
-        if files is not None:
-            lines = lines.repartition(files, "value")
-        context.setLocalProperty("spark.scheduler.pool", report.name)
-        queries.append(
-            start_text(
+    try:
+        for report in reports:
+            lines = report_lines(logs, report)
+            if files is not None:
+                lines = lines.repartition(files, "value")
+            context.setLocalProperty("spark.scheduler.pool", report.name)
+            query = start_text(
                 lines,
                 f"{output}/{report.name}",
                 f"{checkpoints}/{report.name}",
                 trigger,
                 report.name,
             )
-        )
-    context.setLocalProperty("spark.scheduler.pool", None)
+            queries.append(query)
+    except BaseException:
+        stop_all(queries)
+        raise
+    finally:
+        context.setLocalProperty("spark.scheduler.pool", None)
     return queries
 
 
@@ -72,6 +76,12 @@ def stage_records(
     return query, reader.parquet(table)
 
 
+def stop_all(queries: Iterable[StreamingQuery]) -> None:
+    """Stop queries; their checkpoints let them go on later."""
+    for query in queries:
+        query.stop()
+
+
 def await_all(queries: Iterable[StreamingQuery]) -> None:
     """Wait until all queries have ended; when one fails, stop the others and raise its error."""
     running = list(queries)
@@ -81,8 +91,7 @@ def await_all(queries: Iterable[StreamingQuery]) -> None:
                 if query.awaitTermination(1):
                     running.remove(query)
     finally:
-        for query in running:
-            query.stop()
+        stop_all(running)
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -122,33 +131,31 @@ def run_stream(
     """
     lines = read_lines(spark, source, streaming=True, **options)
     queries = []
-    if quarantine is None:
-        logs, malformed = parse_gateway_logs(lines), None
-    else:
-        logs, malformed = parse_gateway_logs(lines, "quarantine"), malformed_rows(lines)
-    if parse_once:
-        columns = ["timestamp", *dict.fromkeys(key for report in reports for key in report.keys)]
-        if quarantine is None:
-            records = logs.select(columns)
-        else:
-            line = F.when(F.col("timestamp").isNull(), F.col("value")).alias("malformed")
-            records = read_records(lines).select(*columns, line)
-        limits = {name: options[name] for name in RATE_LIMITS if name in options}
-        query, table = stage_records(
-            records, f"{checkpoints}/records", f"{checkpoints}/parse", trigger, **limits
-        )
-        if trigger == AVAILABLE_NOW:
-            # The reports would take "what is there now" before the table is complete.
-            await_all([query])
-        else:
+    try:
+        if parse_once:
+            limits = {name: options[name] for name in RATE_LIMITS if name in options}
+            query, table = stage_records(
+                table_records(lines, reports, quarantine is not None),
+                f"{checkpoints}/records",
+                f"{checkpoints}/parse",
+                trigger,
+                **limits,
+            )
             queries.append(query)
-        logs = table.filter(F.col("timestamp").isNotNull())
+            if trigger == AVAILABLE_NOW:
+                # The reports would take "what is there now" before the table is complete.
+                await_all([query])
+            logs = readable_records(table)
+        else:
+            table = None
+            logs = parse_gateway_logs(lines, "failfast" if quarantine is None else "quarantine")
         if quarantine is not None:
-            malformed = table.filter(F.col("timestamp").isNull())
-            malformed = malformed.select(F.col("malformed").alias("value"))
-    if quarantine is not None:
-        queries.append(
-            start_text(malformed, quarantine, f"{checkpoints}/malformed", trigger, "malformed")
-        )
-    queries += start_reports(logs, output, checkpoints, reports, trigger, files)
+            bad = malformed_rows(lines) if table is None else malformed_records(table)
+            queries.append(
+                start_text(bad, quarantine, f"{checkpoints}/malformed", trigger, "malformed")
+            )
+        queries += start_reports(logs, output, checkpoints, reports, trigger, files)
+    except BaseException:
+        stop_all(queries)
+        raise
     await_all(queries)

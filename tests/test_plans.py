@@ -8,7 +8,7 @@ import pytest
 
 from fixtures import FIVE_MINUTES
 from gatetally.operators import malformed_rows, parse_gateway_logs
-from gatetally.plans import REPORTS, all_report_lines, report_lines
+from gatetally.plans import REPORTS, all_report_lines, report_lines, table_records
 from gatetally.sources import lines_from, read_lines
 
 
@@ -63,6 +63,15 @@ def test_malformed_rows_plan(spark, logs_path):
     assert_lean(text, shuffles=0)
 
 
+def test_table_records_plan(spark, logs_path):
+    """With or without malformed lines, the table takes one pass and one parse."""
+    lines = read_lines(spark, logs_path)
+    assert_lean(plan(table_records(lines, REPORTS, quarantine=False)), shuffles=0)
+    text = plan(table_records(lines, REPORTS, quarantine=True))
+    assert_lean(text, shuffles=0)
+    assert "apiUrl" not in text
+
+
 def shuffled_rows(df) -> list[int]:
     """Rows each shuffle wrote, from the plan that ran; without adaptive execution."""
     found, node = [], df._jdf.queryExecution().executedPlan()

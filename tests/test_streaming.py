@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 import time
 
 import pytest
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from fixtures import FIVE_MINUTES, GOLDEN, HEADER, PER_MINUTE, SERVICE, line, report
 from gatetally.operators import drop_headers, parse_gateway_logs, with_event_time
-from gatetally.plans import REPORTS, report_lines, report_named
+from gatetally.plans import REPORTS, Report, report_lines, report_named
 from gatetally.sinks import collect_stream, start_batches, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS
 from gatetally.sources import lines_from, read_lines
@@ -121,6 +122,33 @@ def test_records_within_the_delay_are_kept(spark, folder):
     ]
 
 
+def test_no_record_within_the_delay_is_lost(spark, folder):
+    """Records up to 3.5 seconds out of order, over many batches, count as in a batch run."""
+    rng = random.Random(7)
+    lines, millis = [], 0
+    for _ in range(90):
+        millis += rng.randint(0, 9000)
+        shown = max(0, millis - rng.randint(0, 3499))
+        clock = f"17:{20 + shown // 60000}:{shown // 1000 % 60:02d}.{shown % 1000:03d}"
+        lines.append(line(clock, service=rng.choice("ab")))
+    for number in range(15):
+        add_file(f"{folder}/in", number, lines[number * 6 : number * 6 + 6])
+    add_file(f"{folder}/in", 15, [line("18:30:00", service="end")])
+    logs = read_logs(spark, f"{folder}/in", maxFilesPerTrigger=1)
+    rows = collect_stream(report_lines(logs, PER_MINUTE_REPORT))
+    whole = report_lines(parse_gateway_logs(lines_from(spark, lines)), PER_MINUTE_REPORT)
+    assert sorted(row.value for row in rows) == sorted(row.value for row in whole.collect())
+
+
+def test_failed_start_leaves_no_query_behind(spark, folder):
+    add_file(f"{folder}/in", 0, PER_MINUTE)
+    logs = read_logs(spark, f"{folder}/in")
+    wrong = Report("wrong", ("no_such_column",), "1 minute")
+    with pytest.raises(AnalysisException):
+        start_reports(logs, f"{folder}/out", f"{folder}/c", (PER_MINUTE_REPORT, wrong))
+    assert spark.streams.active == []
+
+
 @pytest.mark.parametrize("parse_once", [True, False])
 def test_job(spark, folder, parse_once):
     add_file(f"{folder}/in", 0, FIVE_MINUTES)
@@ -209,7 +237,9 @@ def test_number_of_output_files(spark, folder):
     many, one = f"{folder}/many/{which[0].name}", f"{folder}/one/{which[0].name}"
     assert written(spark, many) == written(spark, one)
     assert len(written(spark, one)) == 40
-    assert len([name for name in os.listdir(one) if name.endswith(".txt")]) == 1
+    # The first batch has no finished window yet and writes an empty file.
+    texts = [f"{one}/{name}" for name in os.listdir(one) if name.endswith(".txt")]
+    assert len([path for path in texts if os.path.getsize(path) > 0]) == 1
 
 
 @pytest.mark.parametrize("parse_once", [True, False])
