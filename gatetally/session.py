@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,13 +22,24 @@ SETTINGS = {
 }
 
 
-def get_session(name: str = "gatetally", **settings: str) -> SparkSession:
-    """A session with these settings; the master and resources come from ``spark-submit``.
+# A smaller input is cut into this many splits per core, so that no core waits long for the last.
+SPLITS_PER_CORE = 4
+MIN_SPLITS = "spark.sql.files.minPartitionNum"
+
+
+def get_session(
+    name: str = "gatetally", settings: Mapping[str, str] | None = None
+) -> SparkSession:
+    """A session with ``SETTINGS`` and, over them, the given ones.
 
-    The number of shuffle partitions of a streaming query is fixed by its first start, so
-    ``spark.sql.shuffle.partitions`` is to be chosen for the cluster before that.
+    Master and resources come from ``spark-submit``. The number of shuffle partitions of a
+    streaming query is fixed by its first start, so ``spark.sql.shuffle.partitions`` is to be
+    chosen for the cluster before that.
     """
     builder = SparkSession.builder.appName(name)
-    for key, value in {**SETTINGS, **settings}.items():
+    for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if spark.conf.get(MIN_SPLITS, None) is None:
+        spark.conf.set(MIN_SPLITS, SPLITS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return spark

@@ -13,22 +13,21 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark() -> SparkSession:
-    from gatetally.session import SETTINGS
-
-    builder = (
-        SparkSession.builder.master("local[8]")
-        .appName("tests")
-        .config("spark.driver.memory", "4g")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    from gatetally.session import get_session
+
+    session = get_session(
+        "tests",
+        {
+            "spark.master": "local[8]",
+            "spark.driver.memory": "4g",
+            "spark.sql.shuffle.partitions": "4",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.session.timeZone": "UTC",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"),
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"),
+        },
     )
-    for key, value in SETTINGS.items():
-        builder = builder.config(key, value)
-    session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
