@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from gatetally.sources import gateway_lines
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -36,6 +37,37 @@ def test_query_equals_sql(spark, tables, name):
     assert rows == expected
 
 
+@pytest.mark.parametrize(
+    "name", ["header_filter", "parse_gateway_logs", "window_counts", "all_reports", "watermark"]
+)
+def test_session_settings_play_no_part(spark, tables, name):
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    session.conf.set("spark.sql.ansi.enabled", "false")
+    got = driver.queries()[name](session, SF_DIR)
+    result = tables.sql(driver.oracle_sql()[name])
+    columns = sorted(result.columns)
+    rows = sorted(tuple(row) for row in got.select(*columns).collect())
+    assert rows == sorted(result.select(*(f'"{c}"' for c in columns)).fetchall())
+
+
+def test_events_as_lines(spark):
+    """Times without a zone become UTC text, cut to milliseconds, in any session zone."""
+    times = {
+        "2024-01-01 00:00:07": "2024-01-01T00:00:07.000",
+        "2024-01-01 00:00:07.5": "2024-01-01T00:00:07.500",
+        "2024-01-01 00:00:07.999999": "2024-01-01T00:00:07.999",
+        "2018-03-11 02:30:00.25": "2018-03-11T02:30:00.250",
+    }
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    events = session.createDataFrame([(t,) for t in times], "t string").selectExpr(
+        "cast(t as timestamp_ntz) as ts", "11L as user_id", "'view' as event_type"
+    )
+    got = [row.value for row in gateway_lines(events).collect()]
+    assert got == [f"{text}+0000,GA.VIEW,/users/11,svc-3" for text in times.values()]
+
+
 def test_entry(spark):
     result = driver.entry(spark)
     assert result.columns == ["report", "value"]
