@@ -14,10 +14,6 @@ from gatetally.sinks import start_parquet, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS, Trigger
 from gatetally.sources import read_lines
 
-# Options of the file source that say how much one micro-batch takes.
-RATE_LIMITS = ("maxFilesPerTrigger", "maxBytesPerTrigger")
-
-
 def start_reports(
     logs: DataFrame,
     output: str,
@@ -60,20 +56,17 @@ def start_reports(
 
 
 def stage_records(
-    records: DataFrame,
-    table: str,
-    checkpoint: str,
-    trigger: Trigger = CONTINUOUS,
-    **options: str | int | bool,
+    records: DataFrame, table: str, checkpoint: str, trigger: Trigger = CONTINUOUS
 ) -> tuple[StreamingQuery, DataFrame]:
     """Write rows to a Parquet table as they come, and return them as a stream from there.
 
     Several queries can then read the rows without working them out again, each just its own
-    columns. ``options`` go to the source that reads the table.
+    columns. The reader has no limit of files per micro-batch: it takes whole micro-batches of the
+    writer. The files of one are in no order of time, so to take some of them first could move the
+    watermark past records in the others.
     """
     query = start_parquet(records, table, checkpoint, trigger, "records")
-    reader = records.sparkSession.readStream.schema(records.schema).options(**options)
-    return query, reader.parquet(table)
+    return query, records.sparkSession.readStream.schema(records.schema).parquet(table)
 
 
 def stop_all(queries: Iterable[StreamingQuery]) -> None:
@@ -133,13 +126,11 @@ def run_stream(
     queries = []
     try:
         if parse_once:
-            limits = {name: options[name] for name in RATE_LIMITS if name in options}
             query, table = stage_records(
                 table_records(lines, reports, quarantine is not None),
                 f"{checkpoints}/records",
                 f"{checkpoints}/parse",
                 trigger,
-                **limits,
             )
             queries.append(query)
             if trigger == AVAILABLE_NOW:

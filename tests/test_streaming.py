@@ -219,12 +219,17 @@ def test_table_of_records_while_it_grows(spark, folder):
 
 
 def test_job_with_late_records(spark, folder):
-    """Rate limits hold for the table of records, too: one record per batch all the way."""
+    """A record per batch. Read back from the table they come in one, in which none is late."""
     for number, clock in enumerate([*LATE_CLOCKS[:-1], "17:26:30", LATE_CLOCKS[-1]]):
         add_file(f"{folder}/in", number, [line(clock)])
+    options = {"trigger": AVAILABLE_NOW, "maxFilesPerTrigger": 1}
     where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
-    run_stream(spark, *where, trigger=AVAILABLE_NOW, maxFilesPerTrigger=1)
+    run_stream(spark, *where, parse_once=False, **options)
     assert written(spark, f"{folder}/out/countOfAPIPerMinute") == LATE_COUNTS
+    where = (f"{folder}/in", f"{folder}/out_table", f"{folder}/c_table")
+    run_stream(spark, *where, parse_once=True, **options)
+    more = report(SERVICE, 1520900820000, 4)
+    assert written(spark, f"{folder}/out_table/countOfAPIPerMinute") == [more, LATE_COUNTS[1]]
 
 
 def test_number_of_output_files(spark, folder):
@@ -261,6 +266,26 @@ def test_malformed_lines_are_set_apart(spark, folder, parse_once):
     assert written(spark, f"{folder}/out/countOfAPIPerMinute") == GOLDEN["per_minute"][2]
 
 
+@pytest.mark.parametrize("parse_once", [True, False])
+def test_job_goes_on_after_a_malformed_line(spark, folder, parse_once):
+    """A failed job, started again with a place for malformed lines, loses and repeats nothing."""
+    where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
+    options = {"parse_once": parse_once, "trigger": AVAILABLE_NOW}
+    add_file(f"{folder}/in", 0, PER_MINUTE)
+    run_stream(spark, *where, **options)
+    add_file(f"{folder}/in", 1, [line("17:29:43"), "short,line", line("17:31:00")])
+    with pytest.raises(StreamingQueryException, match="Malformed gateway log line"):
+        run_stream(spark, *where, **options)
+    assert written(spark, f"{folder}/out/countOfAPIPerMinute") == GOLDEN["per_minute"][2]
+
+    run_stream(spark, *where, quarantine=f"{folder}/bad", **options)
+    assert written(spark, f"{folder}/bad") == ["short,line"]
+    assert written(spark, f"{folder}/out/countOfAPIPerMinute") == [
+        report(SERVICE, 1520900820000, 2),
+        report(SERVICE, 1520901000000, 3),
+    ]
+
+
 def test_one_failure_stops_all(spark, folder):
     os.makedirs(f"{folder}/good")
     add_file(f"{folder}/bad", 0, ["short,line"])
