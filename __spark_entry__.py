@@ -41,6 +41,21 @@ from gatetally.workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The training-data operators are a part that can be taken away; nothing else depends on them.
+try:
+    import corpus_pipeline
+    from gatetally.llm.oracles import ORACLES as LLM_ORACLES
+    from gatetally.llm.queries import QUERIES as LLM_QUERIES
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith(("corpus_pipeline", "gatetally.llm")):
+        raise
+    LLM_QUERIES: dict[str, Query] = {}
+    LLM_ORACLES: dict[str, str] = {}
+else:
+    LLM_QUERIES = LLM_QUERIES | {"pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        LLM_ORACLES = LLM_ORACLES | {"pipeline": corpus_pipeline.ORACLE_SQL}
+
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -243,6 +258,7 @@ def queries() -> dict[str, Query]:
         "batch_job": batch_job,
         "stream_job": stream_job(parse_once=True),
         "stream_job_without_table": stream_job(parse_once=False),
+        **LLM_QUERIES,
     }
 
 
@@ -323,4 +339,5 @@ def oracle_sql() -> dict[str, str]:
         "batch_job": _all_reports_sql(),
         "stream_job": _all_reports_sql(append=True),
         "stream_job_without_table": _all_reports_sql(append=True),
+        **LLM_ORACLES,
     }
