@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatetally.llm import chat
+from gatetally.llm import chat, quality
+from gatetally.llm.byte_bpe import encoding_digests
 from gatetally.llm.common import table, written
 from gatetally.llm.exact_dedup import exact_dedup
 from gatetally.llm.mixing import mix
+from gatetally.llm.token_counts import token_counts
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +47,30 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumnRenamed("tree", "conv_id")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    weights = quality.train(docs, labels.filter(quality.fold("doc_id", 3) != 1))
+    scored = quality.classify(docs, weights)
+    held_out = (quality.fold("doc_id", 3) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoding_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_quality_classifier": op5_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
