@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader.
 
-Features are the words of a text, the shapes of its words, and pairs of neighbours of both, hashed into
-a fixed number of weights. Partitions of the labelled rows are trained on separately, each row by row,
+Features are the words of a text, the shapes of its words, pairs of neighbours of both, and pairs of the
+same word a few places apart, hashed into a fixed number of weights. Partitions of the labelled rows are trained on separately, each row by row,
 and their weights averaged. A score is one sparse dot product.
 """
 
@@ -29,6 +29,9 @@ PASSES = 2
 #: Follow-the-regularised-leader: learning rate, its smoothing, and both regularisations.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.1
 
+#: How far back a word is looked for again.
+REPEATS = 4
+
 _SHAPES = ((re.compile(r"[^\W\d_]"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"a+"), "a"))
 
 
@@ -59,6 +62,10 @@ def features(text: str) -> np.ndarray:
     parts.append((shape + np.uint64(1)) * second)
     parts.append((word[:-1] * first ^ word[1:]) * second)
     parts.append((shape[:-1] * second ^ shape[1:]) * first)
+    # A word that is the same as one just before it, whichever word that is.
+    for back in range(1, REPEATS + 1):
+        same = np.count_nonzero(word[back:] == word[:-back])
+        parts.append(np.full(same, np.uint64(back) * first, np.uint64))
     hashed = np.concatenate(parts) >> np.uint64(64 - BITS)
     return np.maximum(hashed, np.uint64(1)).astype(np.int64)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatetally.llm import chat, quality
+from gatetally.llm import chat, pii, quality
 from gatetally.llm.byte_bpe import encoding_digests
 from gatetally.llm.common import table, written
 from gatetally.llm.exact_dedup import exact_dedup
@@ -56,6 +56,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s.base)
+    kinds = F.transform(base, lambda s: s.kind)
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS
+    ]
+    digest = F.sha2(pii.said(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.said(F.col("spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -71,6 +82,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_pii": op7_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
