@@ -10,9 +10,14 @@ from gatetally.llm.byte_bpe import encoding_digests
 from gatetally.llm.common import table, written
 from gatetally.llm.exact_dedup import exact_dedup
 from gatetally.llm.mixing import mix
+from gatetally.llm.ngram_join import ngram_join
 from gatetally.llm.token_counts import token_counts
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -78,6 +83,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op4_chat_formatting": op4_chat_formatting,
