@@ -10,6 +10,7 @@ from gatetally.llm.byte_bpe import encoding_digests
 from gatetally.llm.common import table, written
 from gatetally.llm.exact_dedup import exact_dedup
 from gatetally.llm.fingerprints import fingerprints
+from gatetally.llm.lm import lm_scores
 from gatetally.llm.mixing import mix
 from gatetally.llm.ngram_join import ngram_join
 from gatetally.llm.token_counts import token_counts
@@ -62,6 +63,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality.fold("doc_id", 7)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scores(docs.withColumn("held_out", fold == 2), fold != 2)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s.base)
@@ -93,6 +103,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_lm_scores": op6_lm_scores,
     "op7_pii": op7_pii,
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
