@@ -36,22 +36,21 @@ def unescaped_role(role: Column) -> Column:
     return unescaped(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
-def _longer_links(links: DataFrame, purpose: str) -> DataFrame:
-    """Links of double length: node, up (an ancestor, null above the root), score and hops to it."""
-    above = links.select(
+def _longer_links(links: DataFrame, known: DataFrame) -> DataFrame:
+    """``links`` to the ancestors of the ancestors they go to, by ``known`` links.
+
+    A link has node, up (an ancestor, null above the root), and the score and hops on the way.
+    """
+    above = known.select(
         F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
         F.col("score").alias("_score"), F.col("hops").alias("_hops"),
     )
     same = F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n"))
-    joined = links.join(above, same, "left")
-    return written(
-        joined.select(
-            "tree", "node", F.col("_up").alias("up"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
-        ),
-        purpose,
+    longer = links.join(above, same).select(
+        "tree", "node", F.col("_up").alias("up"),
+        (F.col("score") + F.col("_score")).alias("score"), (F.col("hops") + F.col("_hops")).alias("hops"),
     )
+    return written(longer, "chat_links")
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -67,31 +66,34 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     links = base.join(known, is_parent, "left").select(
         "tree", "node", F.col("_n").alias("up"), "score", F.lit(1).cast("bigint").alias("hops")
     )
-    levels = [written(links, "chat_links")]
-    open_links = levels[0].filter("up is not null").count()
-    while open_links:
-        longer = _longer_links(levels[-1], "chat_links")
-        now = longer.filter("up is not null").count()
-        if now == open_links and longer.agg(F.max("hops")).first()[0] > base.count():
-            break  # what is left are rings
-        levels.append(longer)
-        open_links = now
-    ends = levels[-1].filter("up is null")
-    inner = levels[0].filter("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
+    links = written(links, "chat_links")
+    inner = links.filter("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
+    # Messages whose links have reached their root drop out, so short branches take few rounds.
+    ends, open_links = links.filter("up is null"), links.filter("up is not null")
+    levels, n_open = [], open_links.count()
+    while n_open:
+        levels.append(open_links)
+        longer = _longer_links(open_links, open_links.unionAll(ends))
+        ends = ends.unionAll(longer.filter("up is null"))
+        open_links = longer.filter("up is not null")
+        now = open_links.count()
+        if now == n_open:
+            break  # depths have no gaps, so these are rings
+        n_open = now
     is_inner = F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n"))
     leaves = ends.join(inner, is_inner, "left_anti")
     ranked = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("node"))
     chosen = leaves.withColumn("branch", F.row_number().over(ranked)).filter(F.col("branch") <= branches)
     # From the leaf up: with the longest links first, each round adds what they reach from the messages
     # found so far. A message is at its leaf's place less the hops between them.
-    path = chosen.select("tree", "branch", "node", F.col("hops").alias("place"))
-    for k, links in reversed(list(enumerate(levels[:-1]))):
-        step = links.filter("up is not null").select(
+    path = written(chosen.select("tree", "branch", "node", F.col("hops").alias("place")), "chat_paths")
+    for k, links in reversed(list(enumerate(levels))):
+        step = links.select(
             F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up")
         )
         here = F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n"))
         reached = path.join(step, here).select("tree", "branch", F.col("_up").alias("node"), (F.col("place") - 2**k).alias("place"))
-        path = written(path.unionAll(reached), "chat_paths")
+        path = path.unionAll(written(reached, "chat_paths"))
     return path
 
 
