@@ -128,13 +128,15 @@ def mix(
     sources = written(levels.select("source", "source_size", "target", "n", "level"), "mix_targets")
 
     whole, part = F.floor(_copies(max_copies)), _copies(max_copies) - F.floor(_copies(max_copies))
-    # Pareto sampling: the ranking variable, mapped to 0..1 in order to cut it into buckets.
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
+    # Pareto sampling ranks by q, the odds of u over the odds of the part. q / (1 + q) has the same order,
+    # lies between 0 and 1, and divides by 0 nowhere.
+    drawn_odds, part_odds = F.col("u") * (1 - F.col("part")), F.col("part") * (1 - F.col("u"))
+    rank = drawn_odds / (drawn_odds + part_odds)
     ranked = _with_source(items.filter("size > 0"), sources, n_sources)
     ranked = ranked.select("*", whole.alias("whole"), part.alias("part"))
     sure = ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
     buckets = F.ceil(F.col("n") / RANK_BUCKET)
-    open_rows = ranked.filter("part > 0").withColumn("rank", odds / (1 + odds))
+    open_rows = ranked.filter("part > 0").withColumn("rank", rank)
     bucket = F.least(F.floor(F.col("rank") * buckets), buckets - 1)
     open_rows = open_rows.select("source", "size", "rank", bucket.alias("bucket"))
     # Words by bucket, then by document within the one bucket of a source in which the words end.
@@ -159,7 +161,6 @@ def mix(
 
     decided = _with_source(rows.withColumn("u", uniform), params, n_sources)
     decided = decided.select("*", whole.alias("whole"), part.alias("part"))
-    rank = odds / (1 + odds)
     # A source without limits has nothing left to share out, or takes all it has.
     drawn = F.when(F.col("part") > 0, F.when(F.col("limit").isNotNull(), rank < F.col("limit")).otherwise(
         F.coalesce(rank <= F.col("last_in"), F.lit(False))
