@@ -5,31 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatetally.llm import quality
+from gatetally.llm.byte_bpe import encoding_digests
 from gatetally.llm.common import table, written
 from gatetally.llm.exact_dedup import exact_dedup
 from gatetally.llm.mixing import mix
+from gatetally.llm.ngram_join import BROADCAST_IDS, ngram_join
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. Labels come from the table of labels."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    weights = quality.train(docs, labels)
+    return docs.filter(quality.score(F.coalesce("text", F.lit("")), weights) >= 0.5)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    decided = exact_dedup(docs)
-    return decided.filter("kept").select(docs.columns)
+    """Of each group of equal texts the document with the largest id stays."""
+    return exact_dedup(docs).filter("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays."""
+    joined = written(ngram_join(docs).filter("doc_id <> class_id").select("doc_id"), "pipeline_near")
+    gone = F.broadcast(joined) if joined.count() <= BROADCAST_IDS else joined
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    decided = mix(docs)
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return decided.select(*docs.columns, copies.alias("_copy")).select(docs.columns)
+    return mix(docs).select(*docs.columns, copies.alias("_copy")).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's tokens, counted and digested, and the digest of what they decode to."""
+    coded = encoding_digests(docs)
+    return coded.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("exact dedup", exact_duplicates), ("mix", mixed)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixed),
+    ("byte-level BPE encoding and decoding", encoded),
+]
 
-#: Random ranks and model scores are beyond SQL; the stages are tested one by one.
+#: Model scores, random ranks and merges are beyond SQL; each stage is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "pipeline")
