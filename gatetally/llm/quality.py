@@ -52,6 +52,11 @@ def _words() -> Cache:
     return Cache(_hashes)
 
 
+def _mixed_number(k: int) -> np.uint64:
+    """A feature of its own for a small number."""
+    return np.uint64(zlib.crc32(b"again %d" % k) << 32)
+
+
 def features(text: str) -> np.ndarray:
     """Indexes of the features of a text, with repeats; 0 is the bias and isn't among them."""
     words = text.split()
@@ -65,7 +70,7 @@ def features(text: str) -> np.ndarray:
     # A word that is the same as one just before it, whichever word that is.
     for back in range(1, REPEATS + 1):
         same = np.count_nonzero(word[back:] == word[:-back])
-        parts.append(np.full(same, np.uint64(back) * first, np.uint64))
+        parts.append(np.repeat(_mixed_number(back), same))
     hashed = np.concatenate(parts) >> np.uint64(64 - BITS)
     return np.maximum(hashed, np.uint64(1)).astype(np.int64)
 
