@@ -17,10 +17,12 @@ from gatetally.constants import (
     COUNT_PER_5_MINUTES_BY_METHOD,
     COUNT_PER_MINUTE,
     COUNT_PER_MINUTE_BY_METHOD,
+    FIVE_MINUTES,
     ONE_MINUTE,
 )
 from gatetally.functions import epoch_millis
 from gatetally.operators import (
+    aggregate_by_window,
     count_by_window,
     drop_headers,
     malformed_rows,
@@ -29,6 +31,7 @@ from gatetally.operators import (
 from gatetally.plans import (
     REPORTS,
     all_report_lines,
+    durations_of,
     report_lines,
     report_named,
     run_batch,
@@ -36,7 +39,7 @@ from gatetally.plans import (
 from gatetally.sinks import start_batches, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW
 from gatetally.sources import gateway_lines, read_lines, with_header
-from gatetally.streaming import run_stream
+from gatetally.streaming import query_name, run_stream
 from gatetally.workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,10 +73,16 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines_with_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines with those of error events cut short: their service is left empty."""
+    """The lines with those of error events malformed: without a service, or with tenths of a second.
+
+    The latter are those whose service has an odd number.
+    """
     without_service = F.regexp_replace("value", "svc-[0-9]+$", "")
+    tenths = F.regexp_replace("value", "(\\.[0-9])[0-9]{2}\\+", "$1+")
     is_error = F.col("value").contains(",GA.ERROR,")
-    value = F.when(is_error, without_service).otherwise(F.col("value"))
+    is_odd = F.col("value").rlike("svc-[0-9]*[13579]$")
+    value = F.when(is_error & is_odd, tenths).when(is_error, without_service)
+    value = value.otherwise(F.col("value"))
     return _lines(spark, sf_dir).select(value.alias("value"))
 
 
@@ -88,12 +97,13 @@ def _streaming_session(spark: SparkSession) -> SparkSession:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of lines; a stream cannot be joined by a static header line."""
-    events = (
-        spark.readStream.schema(_events(spark, sf_dir).schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
+    """The events as a stream of lines; a stream cannot be joined by a static header line.
+
+    The pattern matches the one table, be it a file or a directory of them: a streamed path has to be a
+    directory or a pattern.
+    """
+    schema = _events(spark, sf_dir).schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return gateway_lines(events)
 
 
@@ -169,8 +179,11 @@ def watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = report_lines(parse_gateway_logs(events), report_named(COUNT_PER_5_MINUTES))
     query = start_text(lines, f"{folder}/lines", f"{folder}/checkpoint", AVAILABLE_NOW)
     query.awaitTermination()
-    reached = F.to_timestamp(F.lit(query.lastProgress["eventTime"]["watermark"]))
-    return spark.range(1).select(epoch_millis(reached).alias("watermark_ms"))
+    # Without any record there is none, and no row.
+    progress = query.lastProgress
+    reached = progress["eventTime"].get("watermark") if progress else None
+    watermark_ms = epoch_millis(F.to_timestamp(F.lit(reached))).alias("watermark_ms")
+    return spark.range(1 if reached else 0).select(watermark_ms)
 
 
 def late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,23 +225,48 @@ def batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written_reports(spark, f"{folder}/reports")
 
 
-def stream_job(parse_once: bool) -> Query:
-    """Log files in, four report directories out, by one streaming query per report."""
+def batch_job_with_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch job over lines of which some are malformed; those as a fifth output."""
+    folder = shared_folder(spark, "batch_job")
+    _lines_with_malformed(spark, sf_dir).write.text(f"{folder}/logs")
+    bad = f"{folder}/malformed"
+    run_batch(spark, f"{folder}/logs", f"{folder}/reports", bad)
+    malformed = spark.read.text(bad).select(F.lit("malformed").alias("report"), "value")
+    return _written_reports(spark, f"{folder}/reports").unionAll(malformed)
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = shared_folder(spark, "stream_job")
-        _lines(spark, sf_dir).write.text(f"{folder}/logs")
-        run_stream(
-            _streaming_session(spark),
-            f"{folder}/logs",
-            f"{folder}/reports",
-            f"{folder}/checkpoints",
-            parse_once=parse_once,
-            trigger=AVAILABLE_NOW,
-        )
-        return _written_reports(spark, f"{folder}/reports")
 
-    return run
+def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files in, four reports out, by one streaming query per window length."""
+    folder = shared_folder(spark, "stream_job")
+    _lines(spark, sf_dir).write.text(f"{folder}/logs")
+    run_stream(
+        _streaming_session(spark),
+        f"{folder}/logs",
+        f"{folder}/reports",
+        f"{folder}/checkpoints",
+        trigger=AVAILABLE_NOW,
+    )
+    written = [
+        spark.read.schema("value string, report string").text(f"{folder}/reports/{query_name(d)}")
+        for d in durations_of()
+    ]
+    return written[0].unionAll(written[1]).select("report", "value")
+
+
+def service_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several aggregates per service and 5 minutes: calls, methods, first and last call."""
+    millis = epoch_millis(F.col("timestamp"))
+    activity = aggregate_by_window(
+        _logs(spark, sf_dir),
+        FIVE_MINUTES,
+        ["microservice"],
+        F.count(F.lit(1)).alias("calls"),
+        F.countDistinct("type").alias("methods"),
+        F.min(millis).alias("first_ms"),
+        F.max(millis).alias("last_ms"),
+    )
+    end = epoch_millis(F.col("window_end")).alias("end_ms")
+    return activity.select("microservice", end, "calls", "methods", "first_ms", "last_ms")
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -256,8 +294,9 @@ def queries() -> dict[str, Query]:
         "watermark": watermark,
         "late_records": late_records,
         "batch_job": batch_job,
-        "stream_job": stream_job(parse_once=True),
-        "stream_job_without_table": stream_job(parse_once=False),
+        "batch_job_with_quarantine": batch_job_with_quarantine,
+        "stream_job": stream_job,
+        "service_activity": service_activity,
         **LLM_QUERIES,
     }
 
@@ -292,24 +331,27 @@ def _report_sql(
     )
 
 
-def _all_reports_sql(append: bool = False) -> str:
+def _all_reports_sql(append: bool = False, where: str = "") -> str:
+    each = (
+        (_BY_SERVICE, 60000, COUNT_PER_MINUTE),
+        (_BY_SERVICE, 300000, COUNT_PER_5_MINUTES),
+        (_BY_METHOD, 60000, COUNT_PER_MINUTE_BY_METHOD),
+        (_BY_METHOD, 300000, COUNT_PER_5_MINUTES_BY_METHOD),
+    )
     return _LOGS + "\nUNION ALL\n".join(
-        (
-            _report_sql(_BY_SERVICE, 60000, append=append, name=COUNT_PER_MINUTE),
-            _report_sql(_BY_SERVICE, 300000, append=append, name=COUNT_PER_5_MINUTES),
-            _report_sql(_BY_METHOD, 60000, append=append, name=COUNT_PER_MINUTE_BY_METHOD),
-            _report_sql(_BY_METHOD, 300000, append=append, name=COUNT_PER_5_MINUTES_BY_METHOD),
-        )
+        _report_sql(keys, millis, where, append, name) for keys, millis, name in each
     )
 
 
 def oracle_sql() -> dict[str, str]:
     whole_line = _LINE.format(service="'svc-' || (user_id % 8)")
     short_line = _LINE.format(service="''")
+    tenths = f"regexp_replace({whole_line}, '(\\.[0-9])[0-9][0-9]\\+', '\\1+')"
+    malformed = f"CASE WHEN user_id % 2 = 1 THEN {tenths} ELSE {short_line} END"
     return {
         "header_filter": f"SELECT {whole_line} AS value FROM events",
         "parse_gateway_logs": _LOGS + 'SELECT ms AS ts_ms, "apiUrl", type, microservice FROM logs',
-        "malformed_lines": f"SELECT {short_line} AS value FROM events WHERE event_type = 'error'",
+        "malformed_lines": f"SELECT {malformed} AS value FROM events WHERE event_type = 'error'",
         "calls_per_minute": _LOGS + _report_sql(_BY_SERVICE, 60000),
         "calls_per_5_minutes": _LOGS + _report_sql(_BY_SERVICE, 300000),
         "calls_per_minute_by_method": _LOGS + _report_sql(_BY_METHOD, 60000),
@@ -338,6 +380,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "batch_job": _all_reports_sql(),
         "stream_job": _all_reports_sql(append=True),
-        "stream_job_without_table": _all_reports_sql(append=True),
+        "batch_job_with_quarantine": _all_reports_sql(where="WHERE type <> 'GA.ERROR'")
+        + f"\nUNION ALL SELECT 'malformed' AS report, {malformed} AS value "
+        "FROM events WHERE event_type = 'error'",
+        "service_activity": _LOGS
+        + "SELECT microservice, (ms // 300000 + 1) * 300000 AS end_ms, count(*) AS calls, "
+        "count(DISTINCT type) AS methods, min(ms) AS first_ms, max(ms) AS last_ms "
+        "FROM logs GROUP BY microservice, ms // 300000",
         **LLM_ORACLES,
     }

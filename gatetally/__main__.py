@@ -19,13 +19,11 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("output", help="directory that gets one directory per report")
     parser.add_argument("--quarantine", help="directory for malformed lines; without, they fail")
     parser.add_argument("--checkpoints", help="directory for stream state, shared by all executors")
-    parser.add_argument(
-        "--no-table", action="store_true", help="let each report of a stream parse the text itself"
-    )
     parser.add_argument("--once", action="store_true", help="stream what is there, then stop")
     parser.add_argument("--interval", default=RESCAN_INTERVAL, help="time between micro-batches")
     parser.add_argument("--max-files", type=int, help="files read per micro-batch, at most")
-    parser.add_argument("--out-files", type=int, help="files a report writes per micro-batch, at most")
+    parser.add_argument("--max-file-age", help="a stream ignores new files older than this, next to the newest")
+    parser.add_argument("--out-files", type=int, help="tasks that write per micro-batch, at most")
     args = parser.parse_args(arguments)
 
     spark = get_session()
@@ -34,16 +32,16 @@ def main(arguments: Sequence[str] | None = None) -> None:
         return
     if not args.checkpoints:
         parser.error("stream needs --checkpoints")
+    options = {"maxFilesPerTrigger": args.max_files, "maxFileAge": args.max_file_age}
     run_stream(
         spark,
         args.source,
         args.output,
         args.checkpoints,
         quarantine=args.quarantine,
-        parse_once=not args.no_table,
         trigger=AVAILABLE_NOW if args.once else {"processingTime": args.interval},
         files=args.out_files,
-        **({"maxFilesPerTrigger": args.max_files} if args.max_files else {}),
+        **{name: value for name, value in options.items() if value},
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 HEADER_MARKER = "_time"
 FIELD_SEPARATOR = ","
 TIME_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSZ"
+TIME_LENGTH = 28
 HEADER_LINE = "_time,type,incoming_url,microservice"
 WATERMARK_DELAY = "3500 milliseconds"
 RESCAN_INTERVAL = "100 milliseconds"

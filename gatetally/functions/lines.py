@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatetally.constants import FIELD_COUNT, FIELD_SEPARATOR, HEADER_MARKER, TIME_PATTERN
+from gatetally.constants import (
+    FIELD_COUNT,
+    FIELD_SEPARATOR,
+    HEADER_MARKER,
+    TIME_LENGTH,
+    TIME_PATTERN,
+)
 
 
 def is_header(value: Column, marker: str = HEADER_MARKER) -> Column:
@@ -29,5 +35,10 @@ def field(fields: Column, position: int) -> Column:
 
 
 def log_time(text: Column) -> Column:
-    """Instant written in the log's time format, null where the text isn't in that format."""
-    return F.try_to_timestamp(text, F.lit(TIME_PATTERN))
+    """Instant written in the log's time format, null where the text isn't in that format.
+
+    The format has one length and a year of four digits. Spark's own reading also takes shorter
+    fractions of a second, as tenths or hundredths, and longer years.
+    """
+    strict = (F.length(text) == TIME_LENGTH) & (F.substring(text, 5, 1) == "-")
+    return F.when(strict, F.try_to_timestamp(text, F.lit(TIME_PATTERN)))

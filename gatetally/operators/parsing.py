@@ -17,14 +17,18 @@ from gatetally.functions import field, is_header, line_fields, log_time
 from gatetally.operators.filters import drop_headers
 
 MODES = ("failfast", "quarantine")
+_TIME_PARSER = "spark.sql.legacy.timeParserPolicy"
 
 
 def read_records(lines: DataFrame, marker: str = HEADER_MARKER) -> DataFrame:
     """(value, timestamp, apiUrl, type, microservice) of every line that is not a header.
 
     ``timestamp`` is null exactly where the line is malformed: where it has fewer than four fields
-    or its time cannot be read.
+    or its time cannot be read. Spark's legacy time parser reads dates that don't exist, so a session
+    that is set to it is refused.
     """
+    if lines.sparkSession.conf.get(_TIME_PARSER).upper() == "LEGACY":
+        raise ValueError(f"{_TIME_PARSER}=LEGACY reads malformed times; unset it")
     fields = F.col("fields")
     complete = F.size(fields) >= FIELD_COUNT
     return (
@@ -45,32 +49,27 @@ def parse_gateway_logs(
 ) -> DataFrame:
     """Parse lines into (timestamp, apiUrl, type, microservice); header lines are dropped.
 
-    In mode ``failfast`` a malformed line fails the query; in mode ``quarantine`` it is left out
-    here and ``malformed_rows`` returns it.
+    In mode ``failfast`` a malformed line fails the query, whichever columns it uses; in mode
+    ``quarantine`` it is left out here and ``malformed_rows`` returns it.
 
-    Both modes keep the costly parse out of filters: Spark copies an expression into every filter
-    it pushes below a projection, and windowing adds a not-null filter on the event time, so a
-    plain nullable column would be parsed two or three times per line.
+    In both modes the event time comes out of a generator. Spark neither drops one whose output isn't
+    used, nor pushes filters on its output below it: it copies an expression into every filter that it
+    pushes below a projection, and windowing adds a not-null filter on the event time, so a plain
+    nullable column would be parsed two or three times per line.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     records = read_records(lines, marker)
     timestamp, value = F.col("timestamp"), F.col("value")
-    if mode == "quarantine":
-        # A generator is a step that filters on its output are not pushed below.
-        readable = F.when(timestamp.isNotNull(), F.array(timestamp))
-        return records.select(
-            F.explode(readable).alias("timestamp"), "apiUrl", "type", "microservice"
-        )
-    # The order of filter conditions isn't guaranteed, so a header line may get here before it is
-    # dropped; it must not raise. The constant serves those lines only, and makes the column
-    # non-null to Spark, which then needs no filter on it.
-    message = F.concat(F.lit("Malformed gateway log line: "), F.coalesce(value, F.lit("null")))
-    unreadable = F.when(
-        ~F.coalesce(is_header(value, marker), F.lit(False)), F.raise_error(message)
-    )
-    checked = F.coalesce(timestamp, unreadable.cast("timestamp"), F.timestamp_seconds(F.lit(0)))
-    return records.select(checked.alias("timestamp"), "apiUrl", "type", "microservice")
+    readable = F.when(timestamp.isNotNull(), F.array(timestamp))
+    if mode == "failfast":
+        # The order of filter conditions isn't guaranteed, so a header line may get here before it
+        # is dropped; it must not raise.
+        message = F.concat(F.lit("Malformed gateway log line: "), F.coalesce(value, F.lit("null")))
+        malformed = ~F.coalesce(is_header(value, marker), F.lit(False))
+        raised = F.when(malformed, F.array(F.raise_error(message).cast("timestamp")))
+        readable = F.coalesce(readable, raised)
+    return records.select(F.explode(readable).alias("timestamp"), "apiUrl", "type", "microservice")
 
 
 def malformed_rows(lines: DataFrame, marker: str = HEADER_MARKER) -> DataFrame:

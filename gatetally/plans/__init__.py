@@ -6,6 +6,8 @@ from gatetally.plans.reports import (
     REPORTS,
     Report,
     all_report_lines,
+    duration_lines,
+    durations_of,
     format_lines,
     report_counts,
     report_lines,
@@ -16,6 +18,8 @@ __all__ = [
     "REPORTS",
     "Report",
     "all_report_lines",
+    "duration_lines",
+    "durations_of",
     "format_lines",
     "malformed_records",
     "readable_records",

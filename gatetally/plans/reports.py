@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.constants import (
@@ -68,6 +68,48 @@ def report_lines(logs: DataFrame, report: Report, delay: str = WATERMARK_DELAY)
     return format_lines(report_counts(logs, report, delay), report.keys)
 
 
+def durations_of(reports: Sequence[Report] = REPORTS) -> list[str]:
+    """The window lengths of the reports, each once."""
+    return list(dict.fromkeys(report.duration for report in reports))
+
+
+def _report_key(report: Report, keys: Sequence[str], types: dict[str, str]) -> Column:
+    """The report's name and its keys, and null for the keys of other reports, as one struct."""
+    own = (F.col(key) if key in report.keys else F.lit(None).cast(types[key]) for key in keys)
+    named = (column.alias(key) for column, key in zip(own, keys, strict=True))
+    return F.struct(F.lit(report.name).alias("report"), *named)
+
+
+def _line_of(reports: Sequence[Report]) -> Column:
+    """The line of whichever report a row of counts belongs to."""
+    return F.coalesce(
+        *(
+            F.when(
+                F.col("report") == report.name,
+                report_line(report.keys, F.col("window_end"), F.col("n")),
+            )
+            for report in reports
+        )
+    )
+
+
+def duration_lines(
+    logs: DataFrame, reports: Sequence[Report], delay: str = WATERMARK_DELAY
+) -> DataFrame:
+    """Lines of several reports with windows of one length: (report, value). For streams, too.
+
+    Each record becomes a row per report, which are counted by report, keys and window together:
+    before the shuffle, so that what fans out are the rows of one partition and not what is sent.
+    """
+    (duration,) = durations_of(reports)
+    keys = list(dict.fromkeys(key for report in reports for key in report.keys))
+    types = dict(logs.select(*keys).dtypes)
+    rows = F.explode(F.array(*(_report_key(report, keys, types) for report in reports)))
+    fanned = with_event_time(logs, delay=delay).select("timestamp", rows.alias("row"))
+    counts = count_by_window(fanned.select("timestamp", "row.*"), duration, ["report", *keys])
+    return counts.select("report", _line_of(reports).alias("value"))
+
+
 def all_report_lines(logs: DataFrame, reports: Sequence[Report] = REPORTS) -> DataFrame:
     """Lines of several reports from one pass over a static frame: (report, value).
 
@@ -76,8 +118,8 @@ def all_report_lines(logs: DataFrame, reports: Sequence[Report] = REPORTS) -> Da
     parsed and shuffled once however many reports there are; what is fanned out are counts.
     """
     if logs.isStreaming:
-        raise ValueError("a stream has one query per report; use report_lines")
-    durations = list(dict.fromkeys(report.duration for report in reports))
+        raise ValueError("a stream has one query per window length; use duration_lines")
+    durations = durations_of(reports)
     keys = list(dict.fromkeys(key for report in reports for key in report.keys))
     ends = {duration: f"window_end_{i}" for i, duration in enumerate(durations)}
     types = dict(logs.select(*keys).dtypes)
@@ -88,27 +130,14 @@ def all_report_lines(logs: DataFrame, reports: Sequence[Report] = REPORTS) -> Da
 
     rows = [
         F.struct(
-            F.lit(report.name).alias("report"),
+            _report_key(report, keys, types).alias("key"),
             F.col(ends[report.duration]).alias("window_end"),
-            *(
-                (F.col(key) if key in report.keys else F.lit(None).cast(types[key])).alias(key)
-                for key in keys
-            ),
         )
         for report in reports
     ]
-    line = F.coalesce(
-        *(
-            F.when(
-                F.col("report") == report.name,
-                report_line(report.keys, F.col("window_end"), F.col("n")),
-            )
-            for report in reports
-        )
-    )
     return (
         counts.select(F.explode(F.array(*rows)).alias("row"), "n")
-        .groupBy("row.report", "row.window_end", *(f"row.{key}" for key in keys))
+        .groupBy("row.key.report", "row.window_end", *(f"row.key.{key}" for key in keys))
         .agg(F.sum("n").alias("n"))
-        .select("report", line.alias("value"))
+        .select("report", _line_of(reports).alias("value"))
     )

@@ -1,6 +1,6 @@
 """Where report lines go."""
 
-from gatetally.sinks.streams import collect_stream, start_batches, start_parquet, start_text
+from gatetally.sinks.streams import start_batches, start_text
 from gatetally.sinks.text import write_text
 
-__all__ = ["collect_stream", "start_batches", "start_parquet", "start_text", "write_text"]
+__all__ = ["start_batches", "start_text", "write_text"]

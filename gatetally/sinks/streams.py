@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from gatetally.constants import RESCAN_INTERVAL
@@ -31,20 +30,14 @@ def start_text(
     checkpoint: str,
     trigger: Trigger = CONTINUOUS,
     name: str | None = None,
+    by: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Append lines as text files to the directory ``path``, each exactly once."""
-    return _writer(lines, checkpoint, trigger, name).format("text").start(path)
+    """Append lines as text files to the directory ``path``, each exactly once.
 
-
-def start_parquet(
-    df: DataFrame,
-    path: str,
-    checkpoint: str,
-    trigger: Trigger = CONTINUOUS,
-    name: str | None = None,
-) -> StreamingQuery:
-    """Append rows to a Parquet table in the directory ``path``, each exactly once."""
-    return _writer(df, checkpoint, trigger, name).format("parquet").start(path)
+    Columns named in ``by`` go into the names of directories below it, ``<column>=<value>``.
+    """
+    writer = _writer(lines, checkpoint, trigger, name).format("text")
+    return (writer.partitionBy(*by) if by else writer).start(path)
 
 
 def start_batches(
@@ -59,14 +52,3 @@ def start_batches(
     A batch can come again after a failure, with the same number and the same rows.
     """
     return _writer(df, checkpoint, trigger, name).foreachBatch(write).start()
-
-
-def collect_stream(df: DataFrame) -> list[Row]:
-    """Run a stream over what is there now and return its rows; for tests and small looks."""
-    table = f"collected_{uuid.uuid4().hex}"
-    writer = df.writeStream.outputMode("append").format("memory").queryName(table)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    try:
-        return df.sparkSession.table(table).collect()
-    finally:
-        df.sparkSession.catalog.dropTempView(table)

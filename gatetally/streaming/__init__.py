@@ -1,19 +1,14 @@
 """The streaming job."""
 
-from gatetally.streaming.job import (
-    await_all,
-    late_rows,
-    run_stream,
-    stage_records,
-    start_reports,
-    stop_all,
-)
+from gatetally.streaming.job import await_all, query_name, run_stream, start_reports, stop_all
+from gatetally.streaming.late import LateRows, count_late_rows
 
 __all__ = [
+    "LateRows",
     "await_all",
-    "late_rows",
+    "count_late_rows",
+    "query_name",
     "run_stream",
-    "stage_records",
     "start_reports",
     "stop_all",
 ]

@@ -1,18 +1,27 @@
-"""The unbounded job: a directory that receives log files in, four report directories out."""
+"""The unbounded job: a directory that receives log files in, the four reports out."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gatetally.operators import malformed_rows, parse_gateway_logs
-from gatetally.plans.records import malformed_records, readable_records, table_records
-from gatetally.plans.reports import REPORTS, Report, report_lines
-from gatetally.sinks import start_parquet, start_text
-from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS, Trigger
+from gatetally.plans.reports import REPORTS, Report, duration_lines, durations_of
+from gatetally.sinks import start_text
+from gatetally.sinks.streams import CONTINUOUS, Trigger
 from gatetally.sources import read_lines
+from gatetally.workspace import path_exists
+
+MALFORMED = "malformed"
+
+
+def query_name(duration: str) -> str:
+    """The name of the query of a window length, and of its directories: ``1-minute``."""
+    return duration.replace(" ", "-")
+
 
 def start_reports(
     logs: DataFrame,
@@ -22,31 +31,29 @@ def start_reports(
     trigger: Trigger = CONTINUOUS,
     files: int | None = None,
 ) -> list[StreamingQuery]:
-    """Start one query per report, from a stream of records to ``<output>/<report name>``.
+    """Start a query per window length, from a stream of records.
 
-    A query has one sink, and window state belongs to one query, so each report has its own query
-    and its own checkpoint. With ``spark.scheduler.mode=FAIR`` each also gets its own pool, so a
-    large batch of one doesn't hold up the others.
+    Its lines go to ``<output>/<window length>/report=<report name>``: a query has one sink, and the
+    sink keeps the account of what is written in one directory. With ``spark.scheduler.mode=FAIR``
+    each query also gets its own pool, so a large batch of one doesn't hold up the other.
 
-    A micro-batch writes a file per state partition that has finished windows, or, where ``files``
-    is given, that many files at most; only the finished counts are shuffled for it.
+    A micro-batch writes a file per report and state partition that has finished windows, or, where
+    ``files`` is given, from that many tasks at most; only the finished counts are shuffled for it.
     """
     context = logs.sparkSession.sparkContext
     queries = []
     try:
-        for report in reports:
-            lines = report_lines(logs, report)
+        for duration in durations_of(reports):
+            name = query_name(duration)
+            lines = duration_lines(logs, [r for r in reports if r.duration == duration])
             if files is not None:
-                lines = lines.repartition(files, "value")
-            context.setLocalProperty("spark.scheduler.pool", report.name)
-            query = start_text(
-                lines,
-                f"{output}/{report.name}",
-                f"{checkpoints}/{report.name}",
-                trigger,
-                report.name,
+                lines = lines.repartition(files, F.xxhash64("value"))
+            context.setLocalProperty("spark.scheduler.pool", name)
+            queries.append(
+                start_text(
+                    lines, f"{output}/{name}", f"{checkpoints}/{name}", trigger, name, by=["report"]
+                )
             )
-            queries.append(query)
     except BaseException:
         stop_all(queries)
         raise
@@ -55,20 +62,6 @@ def start_reports(
     return queries
 
 
-def stage_records(
-    records: DataFrame, table: str, checkpoint: str, trigger: Trigger = CONTINUOUS
-) -> tuple[StreamingQuery, DataFrame]:
-    """Write rows to a Parquet table as they come, and return them as a stream from there.
-
-    Several queries can then read the rows without working them out again, each just its own
-    columns. The reader has no limit of files per micro-batch: it takes whole micro-batches of the
-    writer. The files of one are in no order of time, so to take some of them first could move the
-    watermark past records in the others.
-    """
-    query = start_parquet(records, table, checkpoint, trigger, "records")
-    return query, records.sparkSession.readStream.schema(records.schema).parquet(table)
-
-
 def stop_all(queries: Iterable[StreamingQuery]) -> None:
     """Stop queries; their checkpoints let them go on later."""
     for query in queries:
@@ -87,17 +80,18 @@ def await_all(queries: Iterable[StreamingQuery]) -> None:
         stop_all(running)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped as late, over the batches the query still has progress of.
+def refuse_other_layout(spark: SparkSession, checkpoints: str, reports: Sequence[Report]) -> None:
+    """Raise if the checkpoints are those of a job that had a query per report.
 
-    Spark counts them behind the first aggregation step, so several late log rows of one window
-    and key in one partition count as one.
+    Its queries knew which lines they had read; from checkpoints without that, all would be read and
+    counted again.
     """
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+    for name in ("records", "parse", *(report.name for report in reports)):
+        if path_exists(spark, f"{checkpoints}/{name}"):
+            raise ValueError(
+                f"{checkpoints}/{name} is of a job with other queries; start with new checkpoints and"
+                " output, or run what is left with the version that wrote it"
+            )
 
 
 def run_stream(
@@ -107,7 +101,6 @@ def run_stream(
     checkpoints: str,
     reports: Sequence[Report] = REPORTS,
     quarantine: str | None = None,
-    parse_once: bool = True,
     trigger: Trigger = CONTINUOUS,
     files: int | None = None,
     **options: str | int | bool,
@@ -116,35 +109,20 @@ def run_stream(
     ``AVAILABLE_NOW``, until all that is there has been read.
 
     Malformed lines fail the job, unless ``quarantine`` names a directory to write them to.
-    ``files`` limits the files a report writes per micro-batch. ``options`` go to the file source.
-
-    The text is read and parsed once, into a table of the columns the reports use; they read that,
-    a micro-batch later. With ``parse_once=False`` there is no table, and every query reads and
-    parses all text for itself.
+    ``files`` limits the tasks that write per micro-batch. ``options`` go to the file source of
+    every query, so a limit of files per micro-batch holds for all of them.
     """
+    refuse_other_layout(spark, checkpoints, reports)
     lines = read_lines(spark, source, streaming=True, **options)
     queries = []
     try:
-        if parse_once:
-            query, table = stage_records(
-                table_records(lines, reports, quarantine is not None),
-                f"{checkpoints}/records",
-                f"{checkpoints}/parse",
-                trigger,
-            )
-            queries.append(query)
-            if trigger == AVAILABLE_NOW:
-                # The reports would take "what is there now" before the table is complete.
-                await_all([query])
-            logs = readable_records(table)
-        else:
-            table = None
-            logs = parse_gateway_logs(lines, "failfast" if quarantine is None else "quarantine")
         if quarantine is not None:
-            bad = malformed_rows(lines) if table is None else malformed_records(table)
             queries.append(
-                start_text(bad, quarantine, f"{checkpoints}/malformed", trigger, "malformed")
+                start_text(
+                    malformed_rows(lines), quarantine, f"{checkpoints}/{MALFORMED}", trigger, MALFORMED
+                )
             )
+        logs = parse_gateway_logs(lines, "failfast" if quarantine is None else "quarantine")
         queries += start_reports(logs, output, checkpoints, reports, trigger, files)
     except BaseException:
         stop_all(queries)

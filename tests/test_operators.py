@@ -34,6 +34,11 @@ BAD_LINES = {
     "colon_in_offset": "2018-03-12T17:26:04.000-07:00,a,b,m",
     "no_millis": "2018-03-12T17:26:04-0700,a,b,m",
     "text": "not a log line",
+    "tenths": "2018-03-12T17:26:04.5-0700,a,b,m",
+    "hundredths": "2018-03-12T17:26:04.05-0700,a,b,m",
+    "four_digits": "2018-03-12T17:26:04.0005-0700,a,b,m",
+    "five_digit_year": "+12018-03-12T17:26:04.000-0700,a,b,m",
+    "five_digit_year_in_28": "+12018-03-12T17:26:04.0-0700,a,b,m",
 }
 
 
@@ -111,6 +116,25 @@ def test_malformed_line_fails(spark, name):
         counts.collect()
 
 
+@pytest.mark.parametrize("name", ["blank", "three_fields", "month_13"])
+def test_malformed_line_fails_whatever_is_used(spark, name):
+    logs = parse_gateway_logs(lines_from(spark, [line("17:26:04"), BAD_LINES[name]]))
+    for used in (logs, logs.select("microservice"), logs.groupBy("microservice").count()):
+        with pytest.raises(PySparkException, match="Malformed gateway log line: "):
+            used.count()
+
+
+def test_legacy_time_parser_is_refused(spark):
+    setting = "spark.sql.legacy.timeParserPolicy"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "LEGACY")
+        with pytest.raises(ValueError, match="LEGACY"):
+            parse_gateway_logs(lines_from(spark, [line("17:26:04")]))
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_malformed_lines_are_set_apart(spark):
     lines = lines_from(spark, [HEADER, line("17:26:04"), *BAD_LINES.values(), line("17:26:05")])
     assert sorted(values(malformed_rows(lines))) == sorted(BAD_LINES.values())

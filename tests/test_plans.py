@@ -8,7 +8,8 @@ import pytest
 
 from fixtures import FIVE_MINUTES
 from gatetally.operators import malformed_rows, parse_gateway_logs
-from gatetally.plans import REPORTS, all_report_lines, report_lines, table_records
+from gatetally.plans import REPORTS, all_report_lines, duration_lines, report_lines
+from gatetally.plans.records import table_records
 from gatetally.sources import lines_from, read_lines
 
 
@@ -53,11 +54,22 @@ def test_all_reports_plan(spark, logs_path, mode):
     text = plan(all_report_lines(logs))
     assert_lean(text, shuffles=2)
     # Read bottom up: count, shuffle, fan out the counts, sum, shuffle.
-    order = ["partial_count", "Generate explode(array(struct(report", "partial_sum"]
+    order = ["partial_count", "Generate explode(array(struct(key", "partial_sum"]
     positions = [text.index(step) for step in order]
     assert positions == sorted(positions, reverse=True)
 
 
+@pytest.mark.parametrize("mode", ["failfast", "quarantine"])
+def test_plan_of_reports_of_one_duration(spark, logs_path, mode):
+    """As a stream has it: fan out, count, shuffle."""
+    logs = parse_gateway_logs(read_lines(spark, logs_path), mode)
+    text = plan(duration_lines(logs, [r for r in REPORTS if r.duration == REPORTS[0].duration]))
+    assert_lean(text, shuffles=1)
+    order = ["Exchange", "partial_count", "Generate explode(array(struct(report"]
+    positions = [text.index(step) for step in order]
+    assert positions == sorted(positions)
+
+
 def test_malformed_rows_plan(spark, logs_path):
     text = plan(malformed_rows(read_lines(spark, logs_path)))
     assert_lean(text, shuffles=0)

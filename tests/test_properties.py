@@ -57,7 +57,17 @@ words = st.text(alphabet="ab:. -_é", max_size=3)
 good_times = st.builds(
     lambda t, o: f"{t:%Y-%m-%dT%H:%M:%S}.{t.microsecond // 1000:03d}{o}", moments, offsets
 )
-bad_times = st.sampled_from(["", "2018-13-01T00:00:00.000+0000", "2018-03-12", "x"])
+bad_times = st.sampled_from(
+    [
+        "",
+        "2018-13-01T00:00:00.000+0000",
+        "2018-03-12",
+        "x",
+        "2018-03-12T17:26:04.5-0700",
+        "2018-03-12T17:26:04.05-0700",
+        "+12018-03-12T17:26:04.0-0700",
+    ]
+)
 times = st.one_of(good_times, good_times, good_times, bad_times)
 separators = st.text(alphabet=",", max_size=2)
 log_lines = st.builds(

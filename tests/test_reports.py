@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -77,8 +79,22 @@ def test_batch_job(spark, folder):
     for report in REPORTS:
         written = values(spark.read.text(f"{folder}/out/{report.name}"))
         assert written == values(report_lines(logs, report))
-    with pytest.raises(PySparkException):
+    with pytest.raises(FileExistsError):
         run_batch(spark, f"{folder}/logs", f"{folder}/out")
+    # The intermediate tables are gone.
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert [x for x in os.listdir(root) if x.startswith(("reports-", "records-"))] == []
+
+
+def test_batch_job_checks_all_targets_first(spark, folder):
+    lines_from(spark, FIVE_MINUTES).write.text(f"{folder}/logs")
+    for taken in (f"{folder}/out/{REPORTS[1].name}", f"{folder}/bad"):
+        os.makedirs(taken)
+        with pytest.raises(FileExistsError, match=taken):
+            run_batch(spark, f"{folder}/logs", f"{folder}/out", f"{folder}/bad")
+        assert not os.path.exists(f"{folder}/out/{REPORTS[0].name}")
+        os.rmdir(taken)
+    run_batch(spark, f"{folder}/logs", f"{folder}/out", f"{folder}/bad", wholetext=False)
 
 
 def test_batch_job_with_malformed_lines(spark, folder):
@@ -106,6 +122,7 @@ def test_command_line(spark, folder):
     )
     _, report, stream, more = GOLDEN["per_minute"]
     assert values(spark.read.text(f"{folder}/batch/{report}")) == sorted(stream + more)
-    assert values(spark.read.text(f"{folder}/stream/{report}")) == sorted(stream)
+    streamed = spark.read.text(f"{folder}/stream/1-minute").filter(f"report = '{report}'")
+    assert values(streamed.select("value")) == sorted(stream)
     with pytest.raises(SystemExit):
         command.main(["stream", f"{folder}/logs", f"{folder}/stream"])

@@ -13,10 +13,17 @@ from pyspark.sql import functions as F
 from fixtures import FIVE_MINUTES, GOLDEN, HEADER, PER_MINUTE, SERVICE, line, report
 from gatetally.operators import drop_headers, parse_gateway_logs, with_event_time
 from gatetally.plans import REPORTS, Report, report_lines, report_named
-from gatetally.sinks import collect_stream, start_batches, start_text
+from gatetally.sinks import start_batches, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW, CONTINUOUS
 from gatetally.sources import lines_from, read_lines
-from gatetally.streaming import await_all, late_rows, run_stream, stage_records, start_reports
+from gatetally.streaming import (
+    await_all,
+    count_late_rows,
+    query_name,
+    run_stream,
+    start_reports,
+)
+from streams import collect_stream
 
 PER_MINUTE_REPORT = report_named("countOfAPIPerMinute")
 
@@ -50,6 +57,16 @@ def read_logs(spark, folder, **options):
     return parse_gateway_logs(read_lines(spark, folder, streaming=True, **options))
 
 
+def report_folder(output, name):
+    """Where the streaming job writes a report."""
+    return f"{output}/{query_name(report_named(name).duration)}/report={name}"
+
+
+def written_report(spark, output, name):
+    path = report_folder(output, name)
+    return written(spark, path) if os.path.isdir(path) else []
+
+
 def written(spark, path):
     if not any(name.endswith(".txt") for name in os.listdir(path)):
         return []
@@ -103,9 +120,11 @@ def test_late_records(spark, folder):
 
     # A new file is; its old record is dropped and counted as dropped.
     add_file(f"{folder}/in", 7, [line("17:26:30"), line("17:50:00")])
+    late = count_late_rows(spark)
     query = start_text(counts, *paths, AVAILABLE_NOW)
     query.awaitTermination()
-    assert late_rows(query) == 1
+    assert late.total(query) == 1
+    spark.streams.removeListener(late)
     more = [report(SERVICE, 1520901660000, 1), report(SERVICE, 1520901720000, 1)]
     assert written(spark, paths[0]) == sorted(LATE_COUNTS + more)
 
@@ -149,21 +168,50 @@ def test_failed_start_leaves_no_query_behind(spark, folder):
     assert spark.streams.active == []
 
 
-@pytest.mark.parametrize("parse_once", [True, False])
-def test_job(spark, folder, parse_once):
+def test_late_rows_of_more_batches_than_are_kept(spark, folder):
+    """Every batch but the first two has one late record; a query keeps the progress of three."""
+    for number, clock in enumerate(["17:50:00", "17:50:01", *["17:26:04"] * 8]):
+        add_file(f"{folder}/in", number, [line(clock)])
+    counts = report_lines(read_logs(spark, f"{folder}/in", maxFilesPerTrigger=1), PER_MINUTE_REPORT)
+    late, kept = count_late_rows(spark), "spark.sql.streaming.numRecentProgressUpdates"
+    try:
+        spark.conf.set(kept, "3")
+        query = start_text(counts, f"{folder}/out", f"{folder}/c", AVAILABLE_NOW)
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(kept)
+    assert len(query.recentProgress) <= 3
+    assert late.total(query) == 8
+    spark.streams.removeListener(late)
+
+
+def test_job_one_batch_at_a_time(spark, folder):
+    """A single batch writes nothing yet, as the watermark moves behind it; the next one writes it."""
+    where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
+    for number, lines in enumerate((FIVE_MINUTES, [line("17:43:30"), line("18:00:00")])):
+        add_file(f"{folder}/in", number, lines)
+        run_stream(spark, *where, trigger={"once": True})
+    for name, lines in (GOLDEN["five_minutes"][1:3], GOLDEN["five_minutes_by_service"][1:3]):
+        assert written_report(spark, f"{folder}/out", name) == sorted(lines)
+    add_file(f"{folder}/in", 2, [line("18:01:00")])
+    run_stream(spark, *where, trigger=AVAILABLE_NOW)
+    got = written_report(spark, f"{folder}/out", "countOfAPIPer5Minutes")
+    assert got == [report(SERVICE, 1520901000000, 3), report(SERVICE, 1520901900000, 3)]
+
+
+def test_job(spark, folder):
     add_file(f"{folder}/in", 0, FIVE_MINUTES)
     where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
-    options = {"parse_once": parse_once, "trigger": AVAILABLE_NOW}
-    run_stream(spark, *where, **options)
-    first = {r.name: written(spark, f"{folder}/out/{r.name}") for r in REPORTS}
+    run_stream(spark, *where, trigger=AVAILABLE_NOW)
+    first = {r.name: written_report(spark, f"{folder}/out", r.name) for r in REPORTS}
     assert first["countOfAPIPer5MinutesByHttpMethods"] == GOLDEN["five_minutes"][2]
     assert first["countOfAPIPer5Minutes"] == GOLDEN["five_minutes_by_service"][2]
     assert [len(first[r.name]) for r in REPORTS] == [3, 1, 4, 2]
 
     # State is kept over a restart: open windows go on counting and nothing is written twice.
     add_file(f"{folder}/in", 1, [HEADER, line("17:43:30"), line("18:00:00")])
-    run_stream(spark, *where, **options)
-    second = {r.name: written(spark, f"{folder}/out/{r.name}") for r in REPORTS}
+    run_stream(spark, *where, trigger=AVAILABLE_NOW)
+    second = {r.name: written_report(spark, f"{folder}/out", r.name) for r in REPORTS}
     assert second["countOfAPIPerMinute"] == sorted(
         first["countOfAPIPerMinute"] + [report(SERVICE, 1520901840000, 2)]
     )
@@ -176,21 +224,30 @@ def test_job(spark, folder, parse_once):
     )
 
 
+@pytest.mark.parametrize("old", ["records", "parse", "countOfAPIPerMinute"])
+def test_checkpoints_of_a_query_per_report_are_refused(spark, folder, old):
+    add_file(f"{folder}/in", 0, FIVE_MINUTES)
+    os.makedirs(f"{folder}/c/{old}")
+    with pytest.raises(ValueError, match="other queries"):
+        run_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/c", trigger=AVAILABLE_NOW)
+    assert not os.path.exists(f"{folder}/out")
+
+
 def test_job_keeps_reading(spark, folder):
     os.makedirs(f"{folder}/in")
     logs = read_logs(spark, f"{folder}/in")
     queries = start_reports(logs, f"{folder}/out", f"{folder}/c", trigger=CONTINUOUS)
-    assert [query.name for query in queries] == [r.name for r in REPORTS]
+    assert [query.name for query in queries] == ["1-minute", "5-minutes"]
     try:
         for number, lines in enumerate((PER_MINUTE, [line("17:31:00")])):
             add_file(f"{folder}/in", number, lines)
             for query in queries:
                 query.processAllAvailable()
-        assert written(spark, f"{folder}/out/countOfAPIPerMinute") == [
+        assert written_report(spark, f"{folder}/out", "countOfAPIPerMinute") == [
             report(SERVICE, 1520900820000, 2),
             report(SERVICE, 1520901000000, 2),
         ]
-        assert written(spark, f"{folder}/out/countOfAPIPer5Minutes") == [
+        assert written_report(spark, f"{folder}/out", "countOfAPIPer5Minutes") == [
             report(SERVICE, 1520901000000, 4)
         ]
     finally:
@@ -198,38 +255,32 @@ def test_job_keeps_reading(spark, folder):
             query.stop()
 
 
-def test_table_of_records_while_it_grows(spark, folder):
-    os.makedirs(f"{folder}/in")
-    query, logs = stage_records(
-        read_logs(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/c/parse", CONTINUOUS
-    )
-    queries = [query, *start_reports(logs, f"{folder}/out", f"{folder}/c", trigger=CONTINUOUS)]
-    try:
-        for number, lines in enumerate((PER_MINUTE, [HEADER, line("17:31:00")])):
-            add_file(f"{folder}/in", number, lines)
-            for query in queries:
-                query.processAllAvailable()
-        assert written(spark, f"{folder}/out/countOfAPIPerMinute") == [
-            report(SERVICE, 1520900820000, 2),
-            report(SERVICE, 1520901000000, 2),
-        ]
-    finally:
-        for query in queries:
-            query.stop()
-
-
 def test_job_with_late_records(spark, folder):
-    """A record per batch. Read back from the table they come in one, in which none is late."""
+    """A record per batch: the limit of files holds for every report."""
     for number, clock in enumerate([*LATE_CLOCKS[:-1], "17:26:30", LATE_CLOCKS[-1]]):
         add_file(f"{folder}/in", number, [line(clock)])
     options = {"trigger": AVAILABLE_NOW, "maxFilesPerTrigger": 1}
-    where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
-    run_stream(spark, *where, parse_once=False, **options)
-    assert written(spark, f"{folder}/out/countOfAPIPerMinute") == LATE_COUNTS
-    where = (f"{folder}/in", f"{folder}/out_table", f"{folder}/c_table")
-    run_stream(spark, *where, parse_once=True, **options)
-    more = report(SERVICE, 1520900820000, 4)
-    assert written(spark, f"{folder}/out_table/countOfAPIPerMinute") == [more, LATE_COUNTS[1]]
+    run_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/c", **options)
+    assert written_report(spark, f"{folder}/out", "countOfAPIPerMinute") == LATE_COUNTS
+    assert written_report(spark, f"{folder}/out", "countOfAPIPerMinuteByHttpMethods") == [
+        report("API-Gateway:GA.GET", 1520900820000, 3),
+        report("API-Gateway:GA.GET", 1520900880000, 2),
+    ]
+    # Late for its minute, but not for its five minutes.
+    assert written_report(spark, f"{folder}/out", "countOfAPIPer5Minutes") == [
+        report(SERVICE, 1520901000000, 6)
+    ]
+
+
+def test_year_of_five_digits_closes_no_window(spark, folder):
+    bad = line("17:26:04").replace("2018-", "+12018-", 1)
+    for number, lines in enumerate([[line("17:26:04")], [bad], [line("17:26:05"), line("17:40:00")]]):
+        add_file(f"{folder}/in", number, lines)
+    options = {"trigger": AVAILABLE_NOW, "maxFilesPerTrigger": 1, "quarantine": f"{folder}/bad"}
+    run_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/c", **options)
+    assert written(spark, f"{folder}/bad") == [bad]
+    got = written_report(spark, f"{folder}/out", "countOfAPIPerMinute")
+    assert got == [report(SERVICE, 1520900820000, 2)]
 
 
 def test_number_of_output_files(spark, folder):
@@ -239,51 +290,54 @@ def test_number_of_output_files(spark, folder):
     which = [PER_MINUTE_REPORT]
     await_all(start_reports(logs, f"{folder}/many", f"{folder}/c1", which, AVAILABLE_NOW))
     await_all(start_reports(logs, f"{folder}/one", f"{folder}/c2", which, AVAILABLE_NOW, files=1))
-    many, one = f"{folder}/many/{which[0].name}", f"{folder}/one/{which[0].name}"
+    many, one = (report_folder(f"{folder}/{name}", which[0].name) for name in ("many", "one"))
     assert written(spark, many) == written(spark, one)
     assert len(written(spark, one)) == 40
-    # The first batch has no finished window yet and writes an empty file.
     texts = [f"{one}/{name}" for name in os.listdir(one) if name.endswith(".txt")]
     assert len([path for path in texts if os.path.getsize(path) > 0]) == 1
 
 
-@pytest.mark.parametrize("parse_once", [True, False])
-def test_malformed_line_fails_the_job(spark, folder, parse_once):
+def test_malformed_line_fails_the_job(spark, folder):
     add_file(f"{folder}/in", 0, [*PER_MINUTE, "short,line"])
     where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
     with pytest.raises(StreamingQueryException, match="Malformed gateway log line: short,line"):
-        run_stream(spark, *where, parse_once=parse_once, trigger=AVAILABLE_NOW)
+        run_stream(spark, *where, trigger=AVAILABLE_NOW)
     assert spark.streams.active == []
 
 
-@pytest.mark.parametrize("parse_once", [True, False])
-def test_malformed_lines_are_set_apart(spark, folder, parse_once):
+def test_malformed_lines_are_set_apart(spark, folder):
     add_file(f"{folder}/in", 0, [*PER_MINUTE, "short,line", ""])
     where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
-    options = {"parse_once": parse_once, "trigger": AVAILABLE_NOW}
+    options = {"trigger": AVAILABLE_NOW}
     run_stream(spark, *where, quarantine=f"{folder}/bad", **options)
     assert written(spark, f"{folder}/bad") == ["", "short,line"]
-    assert written(spark, f"{folder}/out/countOfAPIPerMinute") == GOLDEN["per_minute"][2]
+    assert written_report(spark, f"{folder}/out", "countOfAPIPerMinute") == GOLDEN["per_minute"][2]
 
 
-@pytest.mark.parametrize("parse_once", [True, False])
-def test_job_goes_on_after_a_malformed_line(spark, folder, parse_once):
+def test_job_goes_on_after_a_malformed_line(spark, folder):
     """A failed job, started again with a place for malformed lines, loses and repeats nothing."""
     where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
-    options = {"parse_once": parse_once, "trigger": AVAILABLE_NOW}
+    options = {"trigger": AVAILABLE_NOW}
     add_file(f"{folder}/in", 0, PER_MINUTE)
     run_stream(spark, *where, **options)
     add_file(f"{folder}/in", 1, [line("17:29:43"), "short,line", line("17:31:00")])
     with pytest.raises(StreamingQueryException, match="Malformed gateway log line"):
         run_stream(spark, *where, **options)
-    assert written(spark, f"{folder}/out/countOfAPIPerMinute") == GOLDEN["per_minute"][2]
+    assert written_report(spark, f"{folder}/out", "countOfAPIPerMinute") == GOLDEN["per_minute"][2]
 
     run_stream(spark, *where, quarantine=f"{folder}/bad", **options)
     assert written(spark, f"{folder}/bad") == ["short,line"]
-    assert written(spark, f"{folder}/out/countOfAPIPerMinute") == [
-        report(SERVICE, 1520900820000, 2),
-        report(SERVICE, 1520901000000, 3),
-    ]
+    counts = [report(SERVICE, 1520900820000, 2), report(SERVICE, 1520901000000, 3)]
+    assert written_report(spark, f"{folder}/out", "countOfAPIPerMinute") == counts
+
+    # Without the place again: malformed lines fail the job, and none is lost when it is back.
+    add_file(f"{folder}/in", 2, ["other,line", line("17:40:00")])
+    with pytest.raises(StreamingQueryException, match="Malformed gateway log line"):
+        run_stream(spark, *where, **options)
+    run_stream(spark, *where, quarantine=f"{folder}/bad", **options)
+    assert written(spark, f"{folder}/bad") == ["other,line", "short,line"]
+    counts.append(report(SERVICE, 1520901120000, 1))
+    assert written_report(spark, f"{folder}/out", "countOfAPIPerMinute") == sorted(counts)
 
 
 def test_one_failure_stops_all(spark, folder):
@@ -318,7 +372,7 @@ def test_own_sink(spark, folder):
 def test_joint_reports_are_for_static_frames(spark, folder):
     from gatetally.plans import all_report_lines
 
-    with pytest.raises(ValueError, match="one query per report"):
+    with pytest.raises(ValueError, match="one query per window length"):
         all_report_lines(read_logs(spark, folder))
 
 
