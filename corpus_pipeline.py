@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatetally.llm import quality
 from gatetally.llm.byte_bpe import encoding_digests
-from gatetally.llm.common import table, written
+from gatetally.llm.common import free_name, table, written
 from gatetally.llm.exact_dedup import exact_dedup
 from gatetally.llm.mixing import mix
 from gatetally.llm.ngram_join import BROADCAST_IDS, ngram_join
@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mix(docs).select(*docs.columns, copies.alias("_copy")).select(docs.columns)
+    copy = free_name(docs, "copy")
+    return mix(docs).select(*docs.columns, copies.alias(copy)).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatetally.llm.common import text_or_empty
+from gatetally.llm.common import free_name, text_or_empty
 from gatetally.llm.scan import Cache, blocks, codepoints, merge_pairs, scan_states
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -187,8 +187,9 @@ def encode(docs: DataFrame, text_col: str = "text", rank_file: str = RANK_FILE)
         return pa.array(rows, kind)
 
     docs = docs.drop(*(c for c in ("ids", "ends") if c != text_col))
-    coded = docs.withColumn("_coded", run(text_or_empty(text_col)))
-    return coded.select(*(F.col(f"`{c}`") for c in docs.columns), "_coded.ids", "_coded.ends")
+    name = free_name(docs, "coded")
+    coded = docs.withColumn(name, run(text_or_empty(text_col)))
+    return coded.select(*(F.col(f"`{c}`") for c in docs.columns), f"{name}.ids", f"{name}.ends")
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", rank_file: str = RANK_FILE) -> DataFrame:
@@ -218,5 +219,6 @@ def encoding_digests(docs: DataFrame, text_col: str = "text", rank_file: str = R
         return pa.StructArray.from_arrays(columns, names)
 
     docs = docs.drop(*(c for c in names if c != text_col))
-    coded = docs.withColumn("_coded", run(text_or_empty(text_col)))
-    return coded.select(*(F.col(f"`{c}`") for c in docs.columns), *(f"_coded.{c}" for c in names))
+    name = free_name(docs, "coded")
+    coded = docs.withColumn(name, run(text_or_empty(text_col)))
+    return coded.select(*(F.col(f"`{c}`") for c in docs.columns), *(f"{name}.{c}" for c in names))

@@ -353,7 +353,9 @@ def lm_scores(docs: DataFrame, is_training: Column, text_col: str = "text") -> D
         scorer.model = train(training, scorer.frequent, frequency)
     packed = pickle.dumps(scorer)
 
-    scored = docs.select(*(F.col(f"`{c}`") for c in others), _score(text, packed).alias("_s"))
+    # Other columns travel in one struct, so that none of their names can clash.
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others))
+    scored = docs.select(rest.alias("rest"), _score(text, packed).alias("_s"))
     scored = scored.select("*", F.monotonically_increasing_id().alias("_row"))
     scored = written(scored, "lm_scored")  # from here on the row numbers are fixed
     # The counts of all other words, where there are any.
@@ -366,7 +368,7 @@ def lm_scores(docs: DataFrame, is_training: Column, text_col: str = "text") -> D
     per_token = F.lit(float(np.log10(total + distinct + 1)))
     score = F.col("_s.model_log") + rare_log if total else F.lit(0.0)
     return joined.select(
-        *(F.col(f"`{c}`") for c in others), F.col("_s.n_tokens").alias("n_tokens"),
+        *(F.col("rest")[c].alias(c) for c in others), F.col("_s.n_tokens").alias("n_tokens"),
         (F.col("_s.n_head") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("_s.head_log") + rare_log - F.col("_s.n_tokens") * per_token).alias("base_score"),

@@ -124,7 +124,7 @@ def mix(
     sources = items.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = source_targets(sources, weights, max_copies)
     n_sources = sources.count()
-    levels = _copy_levels(items.filter("size > 0"), sources, n_sources, max_copies)
+    levels = _copy_levels(items, sources, n_sources, max_copies)
     sources = written(levels.select("source", "source_size", "target", "n", "level"), "mix_targets")
 
     whole, part = F.floor(_copies(max_copies)), _copies(max_copies) - F.floor(_copies(max_copies))

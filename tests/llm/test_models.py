@@ -1,0 +1,212 @@
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cases import ROWS, awkward, empty
+from gatetally.llm import lm, pii, quality
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def test_held_out_quality(spark):
+    from gatetally.llm.queries import op5_quality_classifier
+
+    scored = op5_quality_classifier(spark, SF_DIR)
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    rows = scored.join(labels, "doc_id").filter("held_out").collect()
+    assert len(rows) > 50
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
+    good = [r.score for r in rows if r.quality == 1]
+    bad = [r.score for r in rows if r.quality == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+    for r in scored.collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+
+
+def test_quality_of_awkward_rows(spark):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (5, None), (99, 1), (None, 0), (10, 1)], "doc_id long, label int")
+    weights = quality.train(awkward(spark), labels)
+    got = quality.classify(awkward(spark), weights).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if not (r.text or "").strip()}) == 1
+    assert quality.classify(empty(spark), weights).collect() == []
+    unlearnt = quality.train(awkward(spark), labels.limit(0))
+    assert {r.score for r in quality.classify(awkward(spark), unlearnt).collect()} == {0.5}
+
+
+def test_learner_equals_plain_updates():
+    """The vectorised steps against a dictionary of z and n per feature."""
+    rnd, leader = np.random.default_rng(3), quality.Leader()
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(50):
+        at = np.unique(rnd.integers(0, 20, 5))
+        x, label = rnd.random(len(at)), int(rnd.integers(0, 2))
+        leader.learn(at, x, label)
+        w = {i: weight(i) for i in at}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at, x, strict=True))))
+        for i, v in zip(at, x, strict=True):
+            g = (p - label) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+            n[i] += g * g
+    assert leader.weights(np.arange(20)) == pytest.approx([weight(i) for i in range(20)])
+
+
+# --- personal data
+
+
+def plain_base(text):
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+    patterns = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]",
+    )
+    found = []
+    for k, pattern in enumerate(patterns):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            good = (
+                k == 0 or (k == 1 and all(int(x) <= 255 for x in m[0].split(".")))
+                or (k == 2 and 14 <= len(d) <= 19 and luhn(d)) or (k == 3 and 10 <= len(d) <= 15)
+            )
+            if good:
+                found.append((m.start(), k, m.end()))
+    return sorted(found)
+
+
+def test_base_spans_equal_plain_patterns():
+    rnd = np.random.default_rng(4)
+    signs = np.array(list("a1 2.@+-()3.4@é5 0"))
+    for _ in range(30_000):
+        text = "".join(rnd.choice(signs, rnd.integers(0, 40)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_base_spans_take_linear_time():
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "(1) " * 60_000):
+        pii.candidates(text, pii.base_spans(text))
+
+
+def test_personal_data_of_awkward_rows(spark):
+    got = pii.find_pii(awkward(spark)).collect()
+    assert len(got) == len(ROWS)
+    texts = {r[0]: r[1] for r in ROWS}
+    for r in got:
+        base = [(s.start, pii.KINDS.index(s.kind), s.end) for s in r.spans if s.base]
+        assert base == plain_base(texts[r.doc_id] or "")
+        assert r.word == "word"
+    assert pii.find_pii(empty(spark)).collect() == []
+
+
+def test_method_adds_spans_and_leaves_clean_text(spark):
+    rows = [(i, f"please mail jane.doe{i} [at] example [dot] com today or call tel (030) 555 {1000 + i} 22") for i in range(60)]
+    rows += [(100 + i, f"room {i}, token = 4929348385146307, meet at noon, version 1.2.3") for i in range(60)]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i in range(60):
+        said = {(s.kind, texts[i][s.start : s.end]) for s in got[i].spans}
+        assert ("email", f"jane.doe{i} [at] example [dot] com") in said
+        assert got[100 + i].spans == []
+
+
+def test_estimation_finds_reliable_labelers():
+    rnd = np.random.default_rng(5)
+    true = rnd.random(20_000) < 0.4
+    accuracy = (0.95, 0.9, 0.85, 0.8, 0.6)
+    votes = np.stack([np.where(rnd.random(len(true)) < a, true, ~true) * 2 - 1 for a in accuracy], axis=1)
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    believed = pii.estimate(patterns, counts.astype(float))
+    assert np.mean((believed[at.ravel()] > 0.5) == true) > 0.95
+
+
+# --- language model
+
+
+def plain_scores(rows):
+    tokens = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b"\n"] for i, t in rows}
+    counts = Counter(w for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in own)
+    total = sum(counts.values())
+    per = math.log10(total + len(counts) + 1)
+    return {
+        i: (len(own), sum(counts[w] > 0 for w in own), total, sum(math.log10(counts[w] + 1) - per for w in own))
+        for i, own in tokens.items()
+    }
+
+
+@pytest.mark.parametrize("head", [400_000, 50])
+def test_base_scores_and_better_model(spark, monkeypatch, head):
+    """With few words sent to the tasks, the counts of most are joined; the results are the same."""
+    from gatetally.llm.queries import op6_lm_scores
+
+    monkeypatch.setattr(lm, "HEAD", head)
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    wanted, got = plain_scores([tuple(r) for r in rows]), op6_lm_scores(spark, SF_DIR).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, known, total, base = wanted[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(base)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+    held_out = [r for r in got if r.held_out]
+    if head > 50:
+        assert sum(r.score for r in held_out) > sum(r.base_score for r in held_out)
+
+
+def test_probabilities_add_up():
+    """Over all words that were seen, and one that wasn't in each class, they make 1."""
+    rnd = np.random.default_rng(7)
+    words = [lm.END, *{b"w%d" % x for x in rnd.integers(0, 9999, 3000)}]
+    counts = rnd.integers(1, 50, len(words)).astype(float)
+    frequent = {w: i for i, w in enumerate(words[: lm.FREQUENT])}
+    mass = np.ones(lm.SYMBOLS)
+    for w, c in zip(words, counts, strict=True):
+        if w not in frequent:
+            mass[lm.word_class(w)] += c + 1
+    flat = rnd.normal(0, 0.5, len(lm.Model.start(np.ones(lm.SYMBOLS)).flat()))
+    model = lm.Model.of(flat)
+    scorer = lm.Scorer(words, counts, frequent, model, mass[lm.FREQUENT :]).ready()
+    context = b"w1 zzz "
+    seen = scorer.score([context + w for w in words[1:]])[3]
+    # The last two tokens of each are the word and the end; the end's part is taken off by texts without.
+    contexts = np.array([[lm.word_class(b"zzz"), frequent.get(b"w1", lm.word_class(b"w1"))]])
+    z = model.normalisers(contexts)[0]
+    symbols = np.arange(lm.SYMBOLS)
+    logs = (model.predicted(np.repeat(contexts, lm.SYMBOLS, 0)) * model.target[symbols]).sum(axis=1) + model.bias - z
+    by_symbol = np.exp(logs.astype(float))
+    assert by_symbol.sum() == pytest.approx(1, abs=1e-4)
+    total = sum(by_symbol[frequent[w]] for w in frequent)
+    for w, c in zip(words, counts, strict=True):
+        if w not in frequent:
+            total += by_symbol[lm.word_class(w)] * (c + 1) / mass[lm.word_class(w)]
+    total += sum(by_symbol[k] / mass[k] for k in range(lm.FREQUENT, lm.SYMBOLS))
+    assert total == pytest.approx(1, abs=1e-4)
+    assert np.all(np.asarray(seen) < 0)
+
+
+def test_scores_of_awkward_rows(spark):
+    docs = awkward(spark).withColumn("score", F.lit("other"))
+    got = lm.lm_scores(docs, quality.fold("doc_id", 7) != 2).collect()
+    wanted = plain_scores([r[:2] for r in ROWS[:-1]])
+    assert len(got) == len(ROWS)
+    assert {r.doc_id: r.n_tokens for r in got} == {i: w[0] for i, w in wanted.items()}
+    assert all(r.score < 0 and r.base_score < 0 for r in got)
+    nothing = lm.lm_scores(docs, F.lit(False)).collect()
+    assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in nothing} == {(0, 0, 0.0, 0.0)}
+    assert lm.lm_scores(empty(spark), F.lit(True)).collect() == []
