@@ -18,8 +18,10 @@ SAMPLES = 32
 _BITS = 21
 #: Ranks are kept in steps of 2^-25 from -64 on, above 31 bits that tell the term and its level.
 _RANK_STEPS, _RANK_FROM, _ID_BITS = float(1 << 25), 64.0, 31
-#: Stands before a digest that goes along among the words; no word contains a line feed.
-_MARK = "\n"
+_LAST_STEP = (1 << 32) - 1
+#: Stands before a digest that goes along among the words; no word contains a line feed. It has a weight
+#: so small that its ranks are the last: any word comes before it.
+_MARK, _MARK_LOG_WEIGHT = "\n", -200.0
 _DIGEST_PARTS = 8
 
 
@@ -39,8 +41,10 @@ def _sampled(term: Column, log_weight: Column, sample: int) -> Column:
     level = F.floor(log_weight / r + beta)
     rank = F.ln(c) - r * (level - beta) - r
     steps = ((rank + F.lit(_RANK_FROM)) * F.lit(_RANK_STEPS)).cast("bigint")
-    told = F.xxhash64(second, level).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    return F.shiftleft(F.greatest(steps, F.lit(0).cast("bigint")), _ID_BITS).bitwiseOR(told)
+    steps = F.greatest(F.least(steps, F.lit(_LAST_STEP)), F.lit(0).cast("bigint"))
+    # Levels are small numbers; times an odd constant they change the term's own bits.
+    told = second.bitwiseXOR(level * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+    return F.shiftleft(steps, _ID_BITS).bitwiseOR(told)
 
 
 def _words(text: Column) -> Column:
@@ -66,12 +70,12 @@ def _signatures(texts: DataFrame, whats: list[str], digest_of: str) -> DataFrame
     counts = words.groupBy("key", "what", "word").agg(F.count("*").alias("n"))
     is_word = ~F.col("word").startswith(_MARK)
     terms = counts.select(
-        "key", "what", "word", is_word.alias("is_word"),
-        F.xxhash64("word").alias("term"), F.ln(F.col("n").cast("double")).alias("log_weight"),
+        "key", "what", "word", is_word.alias("is_word"), F.xxhash64("word").alias("term"),
+        F.when(is_word, F.ln(F.col("n").cast("double"))).otherwise(_MARK_LOG_WEIGHT).alias("log_weight"),
     )
+    # Without a condition around it, Spark works out what a sample's expression has several times once.
     samples = [
-        F.min(F.when(F.col("is_word"), _sampled(F.col("term"), F.col("log_weight"), i))).alias(f"s{i}")
-        for i in range(SAMPLES)
+        F.min(_sampled(F.col("term"), F.col("log_weight"), i)).alias(f"s{i}") for i in range(SAMPLES)
     ]
     digits = [F.conv(F.substring("word", 2 + 8 * i, 8), 16, 10).cast("bigint") for i in range(_DIGEST_PARTS)]
     parts = [F.min(F.when(~F.col("is_word"), d)).alias(f"d{i}") for i, d in enumerate(digits)]
@@ -134,7 +138,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = written(_signatures(texts, ["text", "edited"], "edited"), "fingerprint_samples")
 
     # A text without words has no row here; of the edited text there is always one, for its digest.
-    samples = F.transform(F.array(*(F.col(f"s{i}") for i in range(SAMPLES))), lambda s: s.bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
+    told = lambda s: F.when(s < _LAST_STEP << _ID_BITS, s.bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
+    samples = F.transform(F.array(*(F.col(f"s{i}") for i in range(SAMPLES))), told)
     own = signed.filter("what = 0").select("key", samples.alias("own"))
     digest = F.concat(*(_hex8(F.col(f"d{i}")) for i in range(_DIGEST_PARTS)))
     edited = signed.filter("what = 1").select("key", samples.alias("edited"), digest.alias("edited_sha256"))
