@@ -35,9 +35,12 @@ PLACES = 2
 NOISE, BATCH, RATE = 48, 4096, 0.15
 #: Words with at least one in so many of all training tokens are sent to the scoring tasks: so they are
 #: as many at most, whatever the corpus. The others' counts are joined.
-HEAD = 400_000
+HEAD = 200_000
 #: Words counted in a task before they are handed on.
-FLUSH = 300_000
+FLUSH = 200_000
+#: Words whose symbols a training task keeps, and texts that a scoring task works on at once.
+KEPT = 200_000
+TEXTS = 500
 
 #: Stands for the end of a text; no word contains a line feed.
 END = b"\n"
@@ -66,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, ["word", "c"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in (t for i in range(0, len(batch), TEXTS) for t in batch.column(0).slice(i, TEXTS).to_pylist()):
             counts.update(words(text))
             counts[END] += 1
             if len(counts) > FLUSH:
@@ -176,7 +179,7 @@ def _contexts(symbols: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
 
 def _symbol_trainer(frequent: dict[bytes, int], model: Model, frequency: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = Cache(lambda w: frequent[w] if w in frequent else word_class(w))
+        symbol = Cache(lambda w: frequent[w] if w in frequent else word_class(w), most=KEPT)
         trainer, n = Trainer(Model.of(model.flat()), frequency), 0
         end, rest, waiting = frequent[END], [], 0
 
@@ -191,7 +194,7 @@ def _symbol_trainer(frequent: dict[bytes, int], model: Model, frequency: np.ndar
                 trainer.learn(contexts[part], symbols[part])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t for i in range(0, len(batch), TEXTS) for t in batch.column(0).slice(i, TEXTS).to_pylist()):
                 own = [*words(text), END]
                 rest.append(np.fromiter(map(symbol.__getitem__, own), np.uint16, len(own)))
                 waiting += len(own)
@@ -229,9 +232,9 @@ class Scorer:
         self.known_normalisers = np.full(SYMBOLS**PLACES, np.nan, np.float32)
         return self
 
-    def score(self, texts: list[bytes]) -> tuple[list, ...]:
-        """Per text: tokens, known head tokens, sums of log counts (all and those of tail classes),
-        the model's log-probabilities without tail counts, and its other words with their counts."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter]]:
+        """Per text: tokens, known head tokens, the sum of their log counts, the model's log-probability
+        but for the counts of other words, and these words with how often they are there."""
         split = [[*words(t), END] for t in texts]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         starts = np.cumsum(lengths) - lengths
@@ -276,19 +279,27 @@ _SCORED = "n_tokens bigint, n_head bigint, head_log double, model_log double, ot
 
 
 def _score(text: Column, packed: bytes) -> Column:
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pair))
     names = ["n_tokens", "n_head", "head_log", "model_log", "others"]
+    kind = pa.struct(list(zip(names, kinds, strict=True)))
 
     @F.arrow_udf(_SCORED)
     def run(texts: pa.Array) -> pa.Array:
-        scorer, parts = _ready(packed), []
-        all_texts = texts.to_pylist()
-        for i in range(0, len(all_texts), 500):
-            parts.append(scorer.score(all_texts[i : i + 500]))
-        numbers = [pa.array(np.concatenate([p[j] for p in parts]) if parts else []) for j in range(4)]
-        others = [[{"word": w, "n": n} for w, n in c.items()] for p in parts for c in p[4]]
-        numbers = [a.cast(t) for a, t in zip(numbers, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-        return pa.StructArray.from_arrays([*numbers, pa.array(others, kind)], names)
+        scorer, parts = _ready(packed), [pa.array([], kind)]
+        for i in range(0, len(texts), TEXTS):
+            *numbers, others = scorer.score(texts.slice(i, TEXTS).to_pylist())
+            ends = np.cumsum([0, *map(len, others)]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays(
+                [
+                    pa.array([w for c in others for w in c], pa.binary()),
+                    pa.array([n for c in others for n in c.values()], pa.int64()),
+                ],
+                ["word", "n"],
+            )
+            columns = [pa.array(x).cast(kind.field(j).type) for j, x in enumerate(numbers)]
+            parts.append(pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(ends, pairs)], names))
+        return pa.concat_arrays([p.cast(kind) for p in parts])
 
     return run(text)
 
