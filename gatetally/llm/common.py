@@ -39,5 +39,10 @@ def word_count(text: Column) -> Column:
 
 
 def salted_uniform(seed: int, *columns: Column) -> Column:
-    """A number above 0 and below 1 that depends on the columns alone, so reruns agree."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 12) + 0.5) / F.lit(float(2**52))
+    """A number above 0 and below 1 that depends on the columns alone, so reruns agree.
+
+    It is made of 52 bits of a digest that other engines have, too.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in columns)).cast("binary"))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+    return (bits + 0.5) / F.lit(float(2**52))

@@ -32,7 +32,52 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+# Targets: sources in order of limit over weight; those before the first that keeps below its limit are
+# full. Copies: the same inside a source, with 3 copies as the limit and log(1 + size) as the weight.
+# Pareto sampling: in order of the rank, up to the words that whole copies leave.
+MIX_SOURCES = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents),
+s0 AS (
+  SELECT source, sum(size) AS source_size, 3.0 * sum(size)::DOUBLE AS cap,
+         [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source),
+s1 AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level,
+         row_number() OVER o AS k
+  FROM s0 WINDOW o AS (ORDER BY cap / weight, source ROWS UNBOUNDED PRECEDING)),
+s AS (
+  SELECT source, source_size, CASE WHEN held * weight < cap THEN held * weight ELSE cap END AS target
+  FROM s1, (SELECT coalesce(arg_min(level, k), 'infinity'::DOUBLE) AS held FROM s1 WHERE level * weight < cap)),
+i0 AS (
+  SELECT d.*, s.target, ln(1.0::DOUBLE + size) AS inclusion,
+         (('0x' || substr(md5('0:' || doc_id || ':' || size), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size > 0),
+i1 AS (
+  SELECT *, (target - 3 * (sum(size) OVER o - size)) / (sum(size * inclusion) OVER r) AS level, row_number() OVER o AS k
+  FROM i0 WINDOW o AS (PARTITION BY source ORDER BY inclusion DESC, doc_id ROWS UNBOUNDED PRECEDING),
+                 r AS (PARTITION BY source ORDER BY inclusion DESC, doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+i2 AS (
+  SELECT i1.*, least(3.0::DOUBLE, coalesce(held, 'infinity'::DOUBLE) * inclusion) AS c
+  FROM i1 LEFT JOIN (SELECT source, arg_min(level, k) AS held FROM i1 WHERE level * inclusion < 3 GROUP BY source) x
+    ON i1.source IS NOT DISTINCT FROM x.source),
+i3 AS (
+  SELECT *, floor(c) AS whole, c - floor(c) AS part, target - sum(floor(c) * size) OVER (PARTITION BY source) AS rest FROM i2),
+i4 AS (
+  SELECT *, u * (1 - part) / (u * (1 - part) + part * (1 - u)) AS rank FROM i3),
+i5 AS (
+  SELECT doc_id, source, size, whole, part > 0 AND
+         sum(CASE WHEN part > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY part > 0 DESC, rank ROWS UNBOUNDED PRECEDING)
+           - size / 2.0 <= rest AS drawn
+  FROM i4)
+SELECT d.doc_id, d.source, d.size, s.source_size::BIGINT AS source_size, s.target,
+       CAST(coalesce(i5.whole + CASE WHEN i5.drawn THEN 1 ELSE 0 END, 0) * d.size AS BIGINT) AS taken
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN i5 ON d.doc_id = i5.doc_id
+"""
+
 ORACLES = {
+    "op3_mix_sources": MIX_SOURCES,
     "op4_chat_formatting": CHAT_FORMATTING,
     "op9_exact_dedup": EXACT_DEDUP,
 }
