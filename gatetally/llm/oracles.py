@@ -76,7 +76,34 @@ SELECT d.doc_id, d.source, d.size, s.source_size::BIGINT AS source_size, s.targe
 FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN i5 ON d.doc_id = i5.doc_id
 """
 
+# Classes of equal sets of five-word n-grams, all pairs of classes that share one, and what is reached from
+# each class over pairs at 0.8 or more.
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+gr AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+g AS (SELECT doc_id, md5(string_agg(gram, chr(10) ORDER BY gram)) AS digest, count(*) AS n FROM gr GROUP BY doc_id),
+c AS (SELECT digest, min(doc_id) AS copy_id, count(*) AS n_copies FROM g GROUP BY digest),
+m AS (SELECT g.doc_id AS copy_id, g.n, gr.gram FROM g JOIN c ON g.doc_id = c.copy_id JOIN gr ON gr.doc_id = g.doc_id),
+p AS (
+  SELECT a.copy_id AS x, b.copy_id AS y, count(*) AS shared, any_value(a.n + b.n) AS both_n
+  FROM m a JOIN m b ON a.gram = b.gram AND a.copy_id < b.copy_id AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)
+  GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE shared * 100 >= 80 * (both_n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, root) AS (SELECT copy_id, copy_id FROM c UNION SELECT e.y, r.root FROM r JOIN e ON r.x = e.x),
+top AS (SELECT x, min(root) AS class_id FROM r GROUP BY x),
+links AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT w.doc_id, coalesce(top.class_id, w.doc_id) AS class_id, coalesce(c.copy_id, w.doc_id) AS copy_id,
+       coalesce(c.n_copies, 1) AS n_copies, coalesce(links.n_links, 0) AS n_links
+FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN c ON g.digest = c.digest
+LEFT JOIN top ON top.x = c.copy_id LEFT JOIN links ON links.x = c.copy_id
+"""
+
 ORACLES = {
+    "op1_ngram_jaccard_join": NGRAM_JOIN,
     "op3_mix_sources": MIX_SOURCES,
     "op4_chat_formatting": CHAT_FORMATTING,
     "op9_exact_dedup": EXACT_DEDUP,
