@@ -91,6 +91,54 @@ def _copy_levels(items: DataFrame, sources: DataFrame, n_sources: int, max_copie
         )
 
 
+def _rank() -> Column:
+    """Pareto sampling ranks by q, the odds of u over the odds of the part. This is q / (1 + q): it has the
+    same order, lies between 0 and 1, and divides by 0 nowhere."""
+    u, part = F.col("u"), F.col("part")
+    return u * (1 - part) / (u * (1 - part) + part * (1 - u))
+
+
+def _split_copies(items: DataFrame, max_copies: float) -> DataFrame:
+    """``items`` with their certain ``whole`` copies and the ``part`` that is drawn."""
+    copies = _copies(max_copies)
+    return items.select("*", F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("part"))
+
+
+def _limits(items: DataFrame, sources: DataFrame, n_sources: int, max_copies: float) -> DataFrame:
+    """source, limit, last_in: documents of a source are drawn if they rank before ``limit`` or, where
+    there is none, up to ``last_in``.
+
+    A source isn't put in order as a whole. Its ranks are cut into buckets; sums of their words tell
+    in which one the words that are left end, and only that one is ordered.
+    """
+    items = _split_copies(_with_source(items.filter("size > 0"), sources, n_sources), max_copies)
+    sure = items.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
+    buckets = F.ceil(F.col("n") / RANK_BUCKET)
+    drawn = items.filter("part > 0").withColumn("rank", _rank())
+    bucket = F.least(F.floor(F.col("rank") * buckets), buckets - 1)
+    drawn = drawn.select("source", "size", "rank", bucket.alias("bucket"))
+    sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("end", F.sum("words").over(up_to))
+    rest = _with_source(sources, sure, n_sources)
+    rest = rest.select("source", (F.col("target") - F.col("sure")).alias("rest"))
+    last = _with_source(sums, rest, n_sources).filter("end - words <= rest and rest <= end")
+    last = last.groupBy("source").agg(
+        F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("before"), "rest")).alias("last")
+    )
+    last = last.select("source", F.col("last.bucket").alias("last_bucket"), "last.before", "last.rest")
+
+    edge = _with_source(drawn, last, n_sources).filter("bucket = last_bucket")
+    in_order = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("end", F.col("before") + F.sum("size").over(in_order))
+    # A document is in if at least half of its words are among those left.
+    within = F.col("end") - F.col("size") / 2 <= F.col("rest")
+    return edge.groupBy("source").agg(
+        F.min(F.when(~within, F.col("rank"))).alias("limit"),
+        F.max(F.when(within, F.col("rank"))).alias("last_in"),
+    )
+
+
 def mix(
     docs: DataFrame,
     source_col: str = "source",
@@ -127,44 +175,13 @@ def mix(
     levels = _copy_levels(items, sources, n_sources, max_copies)
     sources = written(levels.select("source", "source_size", "target", "n", "level"), "mix_targets")
 
-    whole, part = F.floor(_copies(max_copies)), _copies(max_copies) - F.floor(_copies(max_copies))
-    # Pareto sampling ranks by q, the odds of u over the odds of the part. q / (1 + q) has the same order,
-    # lies between 0 and 1, and divides by 0 nowhere.
-    drawn_odds, part_odds = F.col("u") * (1 - F.col("part")), F.col("part") * (1 - F.col("u"))
-    rank = drawn_odds / (drawn_odds + part_odds)
-    ranked = _with_source(items.filter("size > 0"), sources, n_sources)
-    ranked = ranked.select("*", whole.alias("whole"), part.alias("part"))
-    sure = ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
-    buckets = F.ceil(F.col("n") / RANK_BUCKET)
-    open_rows = ranked.filter("part > 0").withColumn("rank", rank)
-    bucket = F.least(F.floor(F.col("rank") * buckets), buckets - 1)
-    open_rows = open_rows.select("source", "size", "rank", bucket.alias("bucket"))
-    # Words by bucket, then by document within the one bucket of a source in which the words end.
-    sums = open_rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("end", F.sum("words").over(up_to))
-    rest = _with_source(sources, sure, n_sources).select("source", (F.col("target") - F.col("sure")).alias("rest"))
-    last = _with_source(sums, rest, n_sources).filter("end - words <= rest and rest <= end")
-    last = last.groupBy("source").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("before"), "rest")).alias("last"))
-    last = last.select("source", F.col("last.bucket").alias("last_bucket"), "last.before", "last.rest")
-    edge = _with_source(open_rows, last, n_sources).filter("bucket = last_bucket")
-    in_order = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("end", F.col("before") + F.sum("size").over(in_order))
-    within = F.col("end") - F.col("size") / 2 <= F.col("rest")
-    # Below the first rank left out; without any in this bucket, the start of the next bucket.
-    limits = edge.groupBy("source").agg(
-        F.min(F.when(~within, F.col("rank"))).alias("limit"),
-        F.max(F.when(within, F.col("rank"))).alias("last_in"),
-    )
-    limits = written(limits, "mix_limits")
-    params = sources.join(limits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-
-    decided = _with_source(rows.withColumn("u", uniform), params, n_sources)
-    decided = decided.select("*", whole.alias("whole"), part.alias("part"))
-    # A source without limits has nothing left to share out, or takes all it has.
-    drawn = F.when(F.col("part") > 0, F.when(F.col("limit").isNotNull(), rank < F.col("limit")).otherwise(
-        F.coalesce(rank <= F.col("last_in"), F.lit(False))
-    )).otherwise(False)
+    limits = written(_limits(items, sources, n_sources, max_copies), "mix_limits")
+    limits = limits.withColumnRenamed("source", "_s")
+    params = sources.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    decided = _split_copies(_with_source(rows.withColumn("u", uniform), params, n_sources), max_copies)
+    before = F.when(F.col("limit").isNotNull(), _rank() < F.col("limit"))
+    before = before.otherwise(F.coalesce(_rank() <= F.col("last_in"), F.lit(False)))
+    drawn = F.when(F.col("part") > 0, before).otherwise(False)
     copies = F.when(F.col("size") > 0, F.col("whole") + drawn.cast("bigint")).otherwise(0).cast("bigint")
     return decided.select(
         "row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
