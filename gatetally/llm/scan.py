@@ -106,16 +106,23 @@ def merge_pairs(piece, ranks: dict) -> list:
 
 
 class Cache(dict):
-    """Results of ``work`` by word. Long words aren't kept, and it starts anew when it is full."""
+    """Results of ``work`` by word, at most ``most`` of them. Long words aren't kept.
 
-    def __init__(self, work, most: int = 600_000, longest: int = 48):
+    When half of them are new, the older half is dropped; words that come up again count as new. A task's
+    process serves other operators later, so each keeps little.
+    """
+
+    def __init__(self, work, most: int = 200_000, longest: int = 48):
         super().__init__()
-        self.work, self.most, self.longest = work, most, longest
+        self.work, self.half, self.longest, self.older = work, most // 2, longest, {}
 
     def __missing__(self, word):
-        result = self.work(word)
+        result = self.older.get(word)
+        if result is None:
+            result = self.work(word)
         if len(word) <= self.longest:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[word] = result
         return result

@@ -74,7 +74,8 @@ def test_scan_equals_a_plain_loop():
 def test_cache_is_bounded():
     cache = scan.Cache(len, most=10, longest=5)
     assert [cache["x" * (i % 8)] for i in range(100)] == [i % 8 for i in range(100)]
-    assert all(cache[str(i)] == len(str(i)) for i in range(1000)) and len(cache) <= 10
+    assert all(cache[str(i)] == len(str(i)) for i in range(1000)) and len(cache) + len(cache.older) <= 10
+    assert all(cache[str(i % 4)] == 1 for i in range(100)) and cache["3"] == 1
 
 
 def test_counts_of_awkward_rows(spark, piece_model):
