@@ -109,14 +109,20 @@ class Cache(dict):
     """Results of ``work`` by word, at most ``most`` of them. Long words aren't kept.
 
     When half of them are new, the older half is dropped; words that come up again count as new. A task's
-    process serves other operators later, so each keeps little.
+    process serves other operators later, so the cache in use makes the one used before give up its words.
     """
 
-    def __init__(self, work, most: int = 200_000, longest: int = 48):
+    in_use: Cache | None = None
+
+    def __init__(self, work, most: int = 300_000, longest: int = 48):
         super().__init__()
         self.work, self.half, self.longest, self.older = work, most // 2, longest, {}
 
     def __missing__(self, word):
+        if Cache.in_use is not self:
+            if Cache.in_use is not None:
+                Cache.in_use.drop()
+            Cache.in_use = self
         result = self.older.get(word)
         if result is None:
             result = self.work(word)
@@ -126,3 +132,7 @@ class Cache(dict):
                 self.clear()
             self[word] = result
         return result
+
+    def drop(self) -> None:
+        self.clear()
+        self.older = {}

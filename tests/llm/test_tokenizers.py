@@ -76,6 +76,8 @@ def test_cache_is_bounded():
     assert [cache["x" * (i % 8)] for i in range(100)] == [i % 8 for i in range(100)]
     assert all(cache[str(i)] == len(str(i)) for i in range(1000)) and len(cache) + len(cache.older) <= 10
     assert all(cache[str(i % 4)] == 1 for i in range(100)) and cache["3"] == 1
+    other = scan.Cache(len)
+    assert other["ab"] == 2 and len(cache) + len(cache.older) == 0 and cache["abc"] == 3
 
 
 def test_counts_of_awkward_rows(spark, piece_model):
