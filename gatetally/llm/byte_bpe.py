@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import free_name, text_or_empty
-from gatetally.llm.scan import Cache, blocks, codepoints, merge_pairs, scan_states
+from gatetally.llm.scan import Cache, blocks, codepoints, merge_pairs, scan_states, texts_of
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, text_col: str = "text", rank_file: str = RANK_FILE)
         bpe = byte_bpe(rank_file)
         rows = [
             {"ids": ids.astype(np.int32), "ends": bpe.tokens.offsets(ids)}
-            for part in blocks(texts.to_pylist())
+            for part in blocks(texts_of(texts))
             for ids in bpe.encode(part)
         ]
         return pa.array(rows, kind)
@@ -213,7 +213,7 @@ def encoding_digests(docs: DataFrame, text_col: str = "text", rank_file: str = R
     @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def run(texts: pa.Array) -> pa.Array:
         bpe = byte_bpe(rank_file)
-        rows = [bpe.digest(ids) for part in blocks(texts.to_pylist()) for ids in bpe.encode(part)]
+        rows = [bpe.digest(ids) for part in blocks(texts_of(texts)) for ids in bpe.encode(part)]
         n, said, decoded = zip(*rows, strict=True) if rows else ((), (), ())
         columns = [pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
         return pa.StructArray.from_arrays(columns, names)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gatetally.llm.common import WORD, text_or_empty, written
 from gatetally.llm.components import components
-from gatetally.llm.scan import Cache
+from gatetally.llm.scan import Cache, texts_of
 
 N_WORDS = 5
 THRESHOLD = 0.8
@@ -36,6 +36,8 @@ HASHES = BANDS * ROWS
 TOLERANCE = 1e-6
 #: Signature values compared at a time.
 STEP = 32
+#: Pairs compared at a time in a task.
+PAIRS = 40_000
 #: Classes per block of a bucket.
 BLOCK = 512
 #: Up to so many ids (8 bytes each) are broadcast; beyond it they are joined.
@@ -126,7 +128,7 @@ def _sketch(text: Column) -> Column:
     @F.arrow_udf("digest binary, n bigint, signature binary, keys array<bigint>")
     def run(texts: pa.Array) -> pa.Array:
         digests, sizes, signatures = [], [], []
-        for t in texts.to_pylist():
+        for t in texts_of(texts):
             found = shingles(t)
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             sizes.append(len(found))
@@ -146,7 +148,7 @@ def _sketch(text: Column) -> Column:
 def _shingle_bytes(text: Column) -> Column:
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([shingles(t).tobytes() for t in texts_of(texts)], pa.binary())
 
     return run(text)
 
@@ -172,15 +174,15 @@ def _group_starts(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
 
 
 def _pairs_of_groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs inside each group, some hundred thousand at a time."""
+    """Row numbers of all pairs inside each group, ``PAIRS`` at a time."""
     for size in np.unique(sizes[sizes > 1]):
         a, b = np.triu_indices(size, 1)
         own = starts[sizes == size]
-        at_once = max(1, 200_000 // len(a))
+        at_once = max(1, PAIRS // len(a))
         for i in range(0, len(own), at_once):
             some = own[i : i + at_once, None]
-            for j in range(0, len(a), 200_000):
-                yield (some + a[j : j + 200_000]).ravel(), (some + b[j : j + 200_000]).ravel()
+            for j in range(0, len(a), PAIRS):
+                yield (some + a[j : j + PAIRS]).ravel(), (some + b[j : j + PAIRS]).ravel()
 
 
 TILE = ["key", "first", "second"]

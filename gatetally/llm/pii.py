@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import text_or_empty, written
+from gatetally.llm.scan import texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -164,7 +165,7 @@ def scan(text: Column) -> Column:
     @F.arrow_udf("array<struct<start:int,kind:tinyint,end:int,votes:int>>")
     def run(texts: pa.Array) -> pa.Array:
         rows = []
-        for t in texts.to_pylist():
+        for t in texts_of(texts):
             base = base_spans(t)
             row = [(*span, None) for span in base] + candidates(t, base)
             rows.append([dict(zip(("start", "kind", "end", "votes"), x, strict=True)) for x in sorted(row, key=lambda x: x[:2])])

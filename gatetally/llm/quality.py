@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import salted_uniform, text_or_empty
-from gatetally.llm.scan import Cache
+from gatetally.llm.scan import Cache, texts_of
 
 BITS = 18
 #: About so many labelled rows are learnt from; beyond, a random part of them (see ``train``).
@@ -102,7 +102,7 @@ def _learn(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = features(text)
             at, counts = np.unique(found, return_counts=True)
             x = np.concatenate(([1.0], counts / np.sqrt(max(1, len(found)))))
-            seen.append((np.concatenate(([0], at)), x, int(label)))
+            seen.append((np.concatenate(([0], at)).astype(np.int32), x.astype(np.float32), int(label)))
     for k in range(PASSES):
         for i in np.random.default_rng(k).permutation(len(seen)):
             leader.learn(*seen[i])
@@ -145,7 +145,7 @@ def score(text: Column, weights: np.ndarray) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         margins = np.empty(len(texts))
-        for i, t in enumerate(texts.to_pylist()):
+        for i, t in enumerate(texts_of(texts)):
             found = features(t)
             margins[i] = weights[0] + weights[found].sum(dtype=np.float64) / np.sqrt(max(1, len(found)))
         return pa.array(1 / (1 + np.exp(-np.clip(margins, -35, 35))))

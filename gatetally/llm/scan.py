@@ -6,9 +6,10 @@ Also greedy pair merging, which the tokenizers share.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Symbols per chunk of the scan, and symbols that are worked on at once.
 CHUNK = 128
@@ -56,7 +57,18 @@ def _scan_block(symbols: np.ndarray, transitions: np.ndarray, start: int) -> np.
     return out.T.reshape(-1)[: len(symbols)]
 
 
-def blocks(texts: list[str], size: int = BLOCK) -> Iterator[list[str]]:
+def texts_of(column: pa.Array, rows: int = 500) -> Iterator:
+    """The values of a batch's column, made into Python's own some rows at a time.
+
+    Arrow keeps the memory of earlier batches for later ones; what isn't used goes back first, as the
+    tasks of other operators run in the same process.
+    """
+    pa.default_memory_pool().release_unused()
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
+def blocks(texts: Iterable[str], size: int = BLOCK) -> Iterator[list[str]]:
     """``texts`` in runs of about ``size`` code points, so that arrays over a run stay small."""
     run, n = [], 0
     for text in texts:
@@ -114,7 +126,7 @@ class Cache(dict):
 
     in_use: Cache | None = None
 
-    def __init__(self, work, most: int = 300_000, longest: int = 48):
+    def __init__(self, work, most: int = 200_000, longest: int = 48):
         super().__init__()
         self.work, self.half, self.longest, self.older = work, most // 2, longest, {}
 

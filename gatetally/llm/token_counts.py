@@ -10,6 +10,7 @@ What it finds for a segment is kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import text_or_empty
-from gatetally.llm.scan import Cache, blocks, codepoints, merge_pairs, scan_states
+from gatetally.llm.scan import Cache, blocks, codepoints, merge_pairs, scan_states, texts_of
 
 #: The mark that stands for a space.
 SPACE = "▁"
@@ -123,7 +124,7 @@ class Counter:
         extra = {c: len(c.encode()) for c in joined}
         self.segments = Cache(Segments(pieces, extra).count)
 
-    def counts(self, texts: list[str]) -> np.ndarray:
+    def counts(self, texts: Iterable[str]) -> np.ndarray:
         return np.concatenate([self._counts(run) for run in blocks(texts)] or [np.zeros(0, np.int64)])
 
     def _counts(self, texts: list[str]) -> np.ndarray:
@@ -163,7 +164,7 @@ def token_count(text: Column, model: str = "piece_bpe_32k.model") -> Column:
     def count(texts: pa.Array) -> pa.Array:
         import public_tokenizers
 
-        return pa.array(counter(public_tokenizers.path(model)).counts(texts.to_pylist()))
+        return pa.array(counter(public_tokenizers.path(model)).counts(texts_of(texts)))
 
     return count(text)
 
