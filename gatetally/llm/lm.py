@@ -5,17 +5,22 @@ other word belongs to one of some tail classes, by its ending. The model predict
 before it: each context symbol has a vector, scaled by weights for its place, and their sum is multiplied
 with the vectors of all symbols. It is trained against noise from the symbols' frequencies, on all training
 text, partition by partition, and the parameters are averaged. For scoring, batched matrix products give the
-normaliser of each context; inside a tail class a word has its share of the class's smoothed counts. So each
-token has a normalised log-probability, and a text's score is their sum.
+normaliser of each context. Inside a tail class, the words that are frequent enough to learn about, more of
+them the larger the corpus, are leaves of a binary tree, and all others together are one leaf. Each inner
+node has a vector and tells its sides apart by the context, in which these words have vectors of their own.
+Only the words of the last leaf have a share of their smoothed counts. So each token has a normalised
+log-probability, and a text's score is their sum.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import repeat
 
@@ -33,8 +38,13 @@ SYMBOLS = FREQUENT + CLASSES
 DIMENSIONS = 24
 PLACES = 2
 NOISE, BATCH, RATE = 48, 4096, 0.15
-#: Words with at least one in so many of all training tokens are sent to the scoring tasks: so they are
-#: as many at most, whatever the corpus. The others' counts are joined.
+#: A word of a tail class is learnt when its count is the square root of all training tokens, divided by
+#: this, or more. So the learnt words grow about as that root does, and with them the model.
+LEARNT = 100
+#: Dimensions of the learnt words' vectors and steps of their training.
+OWN_DIMENSIONS, OWN_RATE = 16, 0.2
+#: Words with at least one in so many of all training tokens are sent to the scoring tasks, and the learnt
+#: ones. The others' counts are joined.
 HEAD = 200_000
 #: Words counted in a task before they are handed on.
 FLUSH = 200_000
@@ -78,6 +88,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def learnt_from(total: int) -> int:
+    """The count from which on a word is learnt."""
+    return max(2, math.ceil(math.sqrt(total) / LEARNT))
+
+
 @dataclass
 class Model:
     """Parameters: symbol vectors as context and as target, weights by place, biases."""
@@ -165,9 +180,167 @@ class Trainer:
             a += RATE * g / np.sqrt(s)
 
 
+def _huffman(weights: list[float], first: int) -> tuple[list[list[int]], list[float]]:
+    """The path of each leaf from the root on, as twice the node and its side; each node's log odds."""
+    heap = [(w, i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    above, odds = [0] * (2 * len(weights) - 1), []
+    for k in range(len(weights) - 1):
+        left, i = heapq.heappop(heap)
+        right, j = heapq.heappop(heap)
+        above[i], above[j] = 2 * k, 2 * k + 1
+        odds.append(math.log(right / left))
+        heapq.heappush(heap, (left + right, len(weights) + k))
+    paths, root = [], 2 * len(weights) - 2
+    for i in range(len(weights)):
+        path = []
+        while i != root:
+            path.append(2 * first + above[i])
+            i = len(weights) + above[i] // 2
+        paths.append(path[::-1])
+    return paths, odds
+
+
+@dataclass
+class Tree:
+    """The learnt words below the classes. Units are the symbols and then the learnt words; ``steps`` has
+    the paths of all units, ``ends`` where they end: none for frequent words, and a class's own path
+    leads to all its words that are not learnt."""
+
+    symbol: np.ndarray
+    steps: np.ndarray
+    ends: np.ndarray
+    bias: np.ndarray
+    place: np.ndarray
+    context: np.ndarray
+    node: np.ndarray
+
+    @staticmethod
+    def of(classes: list[int], counts: list[float], rest: np.ndarray) -> Tree:
+        """From the learnt words' classes and counts, and the other words' mass in each class. The nodes
+        start with their sides' shares of the counts."""
+        members: list[list[int]] = [[] for _ in range(CLASSES)]
+        for i, k in enumerate(classes):
+            members[k - FREQUENT].append(i)
+        paths: list[list[int]] = [[]] * (SYMBOLS + len(classes))
+        bias: list[float] = []
+        for k, own in enumerate(members):
+            found, odds = _huffman([float(rest[k]), *(counts[i] for i in own)], len(bias))
+            for unit, path in zip([FREQUENT + k, *(SYMBOLS + i for i in own)], found, strict=True):
+                paths[unit] = path
+            bias += odds
+        ends = np.cumsum([0, *map(len, paths)])
+        steps = np.fromiter((x for path in paths for x in path), np.int32, int(ends[-1]))
+        symbol = np.concatenate((np.arange(SYMBOLS), np.array(classes, np.int64))).astype(np.uint16)
+        empty = np.zeros((0, OWN_DIMENSIONS), np.float32)
+        return Tree(symbol, steps, ends, np.array(bias, np.float32), empty, empty, empty)
+
+    def started(self) -> Tree:
+        """With the vectors that training starts from, the same in all tasks."""
+        context = np.random.default_rng(8).normal(0, 0.3, (len(self.symbol), OWN_DIMENSIONS)).astype(np.float32)
+        place = np.ones((PLACES, OWN_DIMENSIONS), np.float32)
+        node = np.zeros((len(self.bias), OWN_DIMENSIONS), np.float32)
+        return Tree(self.symbol, self.steps, self.ends, self.bias.copy(), place, context, node)
+
+    def path(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths of the units' paths, and their nodes and sides (-1 and 1) one after the other."""
+        starts = self.ends[units]
+        lengths = self.ends[units + 1] - starts
+        at = np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+        steps = self.steps[at]
+        return lengths, steps >> 1, ((steps & 1) * 2 - 1).astype(np.float32)
+
+    def predicted(self, contexts: np.ndarray) -> np.ndarray:
+        return sum(self.context[contexts[:, j]] * self.place[j] for j in range(PLACES))
+
+    def logs(self, contexts: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """The log-probabilities of units inside their classes."""
+        out = np.zeros(len(units))
+        below = np.flatnonzero(self.ends[units + 1] > self.ends[units])
+        for i in range(0, len(below), 1 << 15):
+            part = below[i : i + (1 << 15)]
+            lengths, nodes, sides = self.path(units[part])
+            predicted = np.repeat(self.predicted(contexts[part]), lengths, axis=0)
+            x = np.einsum("ij,ij->i", predicted, self.node[nodes]) + self.bias[nodes]
+            out[part] = -np.add.reduceat(np.logaddexp(0, -sides * x).astype(np.float64), np.cumsum(lengths) - lengths)
+        return out
+
+
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values of ``at``, how often each is there, and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[starts], np.diff(starts, append=len(at)), np.add.reduceat(rows[order], starts, axis=0)
+
+
+class TreeTrainer:
+    """Logistic steps, adaptive by row, at the nodes of the paths. Only rows that a batch meets are touched."""
+
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        # The last column of a node's row is its bias.
+        self.node = np.concatenate((tree.node, tree.bias[:, None]), axis=1)
+        self.seen_node, self.seen_context = np.ones(len(self.node), np.float32), np.ones(len(tree.context), np.float32)
+        self.seen_place = np.ones_like(tree.place)
+        self.met_node, self.met_context = np.zeros(len(self.node), np.int64), np.zeros(len(tree.context), np.int64)
+
+    def learn(self, contexts: np.ndarray, units: np.ndarray) -> None:
+        t = self.tree
+        below = np.flatnonzero(t.ends[units + 1] > t.ends[units])
+        if not len(below):
+            return
+        contexts = contexts[below]
+        lengths, nodes, sides = t.path(units[below])
+        own = [t.context[contexts[:, j]] for j in range(PLACES)]
+        predicted = np.ones((len(below), OWN_DIMENSIONS + 1), np.float32)
+        predicted[:, :-1] = sum(x * t.place[j] for j, x in enumerate(own))
+        spread, rows = np.repeat(predicted, lengths, axis=0), self.node[nodes]
+        x = np.einsum("ij,ij->i", spread, rows)
+        d = (sides / (1 + np.exp(np.clip(sides * x, -30, 30))))[:, None]
+        rows *= d
+        d_predicted = np.add.reduceat(rows, np.cumsum(lengths) - lengths, axis=0)[:, :-1]
+        spread *= d
+        place = t.place.copy()
+        for j in range(PLACES):
+            g = np.einsum("ij,ij->j", d_predicted, own[j])
+            self.seen_place[j] += g * g
+            t.place[j] += OWN_RATE * g / np.sqrt(self.seen_place[j])
+        both = np.concatenate([d_predicted * place[j] for j in range(PLACES)])
+        self._step(self.node, self.seen_node, self.met_node, *_summed(nodes, spread))
+        self._step(t.context, self.seen_context, self.met_context, *_summed(contexts.T.ravel(), both))
+
+    @staticmethod
+    def _step(to: np.ndarray, seen: np.ndarray, met: np.ndarray, at: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
+        met[at] += n
+        seen[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        to[at] += OWN_RATE * g / np.sqrt(seen[at])[:, None]
+
+
+#: A trained part comes as rows of so many numbers.
+_WIDTH = OWN_DIMENSIONS + 1
+
+
+def _learnt_rows(trainer: Trainer, below: TreeTrainer, n: int) -> Iterator[pa.RecordBatch]:
+    """i, w, x0 and so on: rows of the model, of the tree's places, nodes and contexts, each with its
+    weight. Rows of the tree that the part's text didn't meet are left out."""
+    flat = trainer.model.flat()
+    rows = [np.resize(np.append(flat, np.zeros(-len(flat) % _WIDTH, np.float32)), (-(-len(flat) // _WIDTH), _WIDTH))]
+    rows += [np.pad(below.tree.place, ((0, 0), (0, 1))), below.node, np.pad(below.tree.context, ((0, 0), (0, 1)))]
+    weights = np.concatenate((np.full(len(rows[0]) + PLACES, n, np.int64), below.met_node, below.met_context))
+    ends = np.cumsum([0, *map(len, rows)])
+    for x, start in zip(rows, ends, strict=False):
+        w = weights[start : start + len(x)]
+        met = np.flatnonzero(w)
+        for i in range(0, len(met), 10_000):
+            at = met[i : i + 10_000]
+            columns = [pa.array(start + at, pa.int64()), pa.array(w[at]), *(pa.array(c) for c in x[at].T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["i", "w", *(f"x{k}" for k in range(_WIDTH))])
+
+
 def _contexts(symbols: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-    """The PLACES symbols before each one; before a text's first there are ends."""
-    contexts = np.full((len(symbols), PLACES), end, np.uint16)
+    """The PLACES symbols, or units, before each one; before a text's first there are ends."""
+    contexts = np.full((len(symbols), PLACES), end, np.int32)
     for j in range(PLACES):
         contexts[j + 1 :, j] = symbols[: -(j + 1)]
         for k in range(j + 1):
@@ -177,58 +350,64 @@ def _contexts(symbols: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return contexts
 
 
-def _symbol_trainer(frequent: dict[bytes, int], model: Model, frequency: np.ndarray):
+def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = Cache(lambda w: frequent[w] if w in frequent else word_class(w), most=KEPT)
+        unit = Cache(lambda w: own[w] if w in own else word_class(w), most=KEPT)
         trainer, n = Trainer(Model.of(model.flat()), frequency), 0
-        end, rest, waiting = frequent[END], [], 0
+        below = TreeTrainer(tree.started())
+        end, rest, waiting = own[END], [], 0
 
-        def steps(run_symbols: list[np.ndarray]) -> None:
-            lengths = np.fromiter(map(len, run_symbols), np.int64, len(run_symbols))
-            symbols = np.concatenate(run_symbols)
+        def steps(run_units: list[np.ndarray]) -> None:
+            lengths = np.fromiter(map(len, run_units), np.int64, len(run_units))
+            units = np.concatenate(run_units)
             starts = np.cumsum(lengths) - lengths
-            contexts = _contexts(symbols, starts, end)
-            order = trainer.random.permutation(len(symbols))
+            contexts = _contexts(units, starts, end)
+            order = trainer.random.permutation(len(units))
             for i in range(0, len(order), BATCH):
                 part = order[i : i + BATCH]
-                trainer.learn(contexts[part], symbols[part])
+                before, targets = contexts[part], units[part]
+                trainer.learn(tree.symbol[before], tree.symbol[targets])
+                below.learn(before, targets)
 
         for batch in batches:
             for text in (t for i in range(0, len(batch), TEXTS) for t in batch.column(0).slice(i, TEXTS).to_pylist()):
-                own = [*words(text), END]
-                rest.append(np.fromiter(map(symbol.__getitem__, own), np.uint16, len(own)))
-                waiting += len(own)
-                n += len(own)
+                tokens = [*words(text), END]
+                rest.append(np.fromiter(map(unit.__getitem__, tokens), np.int32, len(tokens)))
+                waiting += len(tokens)
+                n += len(tokens)
                 if waiting > 64 * BATCH:
                     steps(rest)
                     rest, waiting = [], 0
         if rest:
             steps(rest)
-        flat = trainer.model.flat().astype(np.float64) * n
-        columns = [pa.array([n], pa.int64()), pa.array([flat], pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["n", "weighted"])
+        yield from _learnt_rows(trainer, below, n)
 
     return run
 
 
 @dataclass
 class Scorer:
-    """What the scoring tasks need: head words with symbols and counts, the model, the classes' sums."""
+    """What the scoring tasks need: head words with symbols and counts, the model, the classes' sums
+    (of words that are not learnt), and the learnt words with their units."""
 
     head: list[bytes]
     counts: np.ndarray
     frequent: dict[bytes, int]
     model: Model | None
     class_mass: np.ndarray
+    learnt: dict[bytes, int] = field(default_factory=dict)
+    tree: Tree | None = None
 
     def ready(self) -> Scorer:
         self.place = {w: i for i, w in enumerate(self.head)}
-        symbols = [s if (s := self.frequent.get(w)) is not None else word_class(w) for w in self.head]
-        self.symbols = np.array(symbols, np.uint16)
+        known = self.frequent | self.learnt
+        self.units = np.array([u if (u := known.get(w)) is not None else word_class(w) for w in self.head], np.int32)
         self.log_count = np.log10(self.counts + 1.0)
         self.log_mass = np.zeros(SYMBOLS)
         self.log_mass[FREQUENT:] = np.log10(self.class_mass)
-        self.is_class = np.arange(SYMBOLS) >= FREQUENT
+        self.symbol = np.arange(SYMBOLS, dtype=np.uint16) if self.tree is None else self.tree.symbol
+        units = np.arange(len(self.symbol))
+        self.is_class = (units >= FREQUENT) & (units < SYMBOLS)
         self.known_normalisers = np.full(SYMBOLS**PLACES, np.nan, np.float32)
         return self
 
@@ -243,7 +422,7 @@ class Scorer:
         for own, s, n in zip(split, starts, lengths, strict=True):
             at[s : s + n] = np.fromiter(map(self.place.get, own, repeat(-1)), np.int64, n)
         missing = at < 0
-        symbols = self.symbols[at] if len(self.symbols) else np.zeros(total, np.uint16)
+        units = self.units[at] if len(self.units) else np.zeros(total, np.int32)
         log_count = np.where(missing, 0.0, self.log_count[at]) if len(self.log_count) else np.zeros(total)
         others: list[Counter] = [Counter() for _ in texts]
         which = np.repeat(np.arange(len(texts)), lengths)
@@ -251,12 +430,13 @@ class Scorer:
             k = which[i]
             word = split[k][i - starts[k]]
             others[k][word] += 1
-            symbols[i] = word_class(word)
+            units[i] = word_class(word)
         sums = lambda x: np.add.reduceat(x, starts)
         if self.model is None:
             model_log = np.zeros(total)
         else:
-            contexts = _contexts(symbols, starts, self.frequent[END])
+            before = _contexts(units, starts, self.frequent[END])
+            symbols, contexts = self.symbol[units], self.symbol[before]
             key = contexts[:, 0].astype(np.int64) * SYMBOLS + contexts[:, 1]
             new = np.unique(key[np.isnan(self.known_normalisers[key])])
             self.known_normalisers[new] = self.model.normalisers(np.stack((new // SYMBOLS, new % SYMBOLS), axis=1))
@@ -265,8 +445,11 @@ class Scorer:
                 part = slice(i, i + (1 << 18))
                 raw[part] = (self.model.predicted(contexts[part]) * self.model.target[symbols[part]]).sum(axis=1)
             raw += self.model.bias[symbols] - self.known_normalisers[key]
-            model_log = raw.astype(np.float64) * _LOG10 - self.log_mass[symbols]
-            model_log += np.where(self.is_class[symbols], log_count, 0.0)
+            model_log = raw.astype(np.float64)
+            if self.tree is not None:
+                model_log += self.tree.logs(before, units)
+            model_log *= _LOG10
+            model_log += np.where(self.is_class[units], log_count - self.log_mass[symbols], 0.0)
         return lengths, sums((~missing).astype(np.int64)), sums(log_count), sums(model_log), others
 
 
@@ -310,18 +493,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(texts: DataFrame, frequent: dict[bytes, int], frequency: np.ndarray) -> Model:
-    """The model after one pass over all ``texts``: a partition each, averaged by their tokens."""
-    model = Model.start(frequency)
-    learnt = texts.mapInArrow(_symbol_trainer(frequent, model, frequency), "n bigint, weighted array<double>")
-    learnt = written(learnt, "lm_parts")
-    total = learnt.agg(F.sum("n")).first()[0]
+def train(texts: DataFrame, own: dict[bytes, int], tree: Tree, frequency: np.ndarray) -> tuple[Model, Tree]:
+    """The model and the tree after one pass over all ``texts``: a partition each, averaged by their tokens;
+    a row of the tree by the tokens that met it."""
+    model, names = Model.start(frequency), [f"x{k}" for k in range(_WIDTH)]
+    kind = ", ".join(["i bigint", "w bigint", *(f"{x} float" for x in names)])
+    learnt = texts.mapInArrow(_unit_trainer(own, tree, model, frequency), kind)
     # Summed where they are; as many numbers come back as the model has.
-    sums = learnt.select(F.posexplode("weighted").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    flat = np.zeros(len(model.flat()))
-    got = sums.toArrow()
-    flat[got["i"].to_numpy()] = got["x"].to_numpy()
-    return Model.of(flat / total)
+    sums = [(F.sum(F.col(x) * F.col("w")) / F.sum("w")).cast("float").alias(x) for x in names]
+    got = learnt.groupBy("i").agg(*sums).toArrow()
+    at, rows = got["i"].to_numpy(), np.stack([got[x].to_numpy() for x in names], axis=1)
+    tree, flat = tree.started(), model.flat()
+    n_model = -(-len(flat) // _WIDTH)
+    start = [np.zeros((n_model + PLACES, _WIDTH)), np.concatenate((tree.node, tree.bias[:, None]), axis=1)]
+    every = np.concatenate([*start, np.pad(tree.context, ((0, 0), (0, 1)))]).astype(np.float32)
+    every[at] = rows
+    _, place, node, context = np.split(every, np.cumsum([n_model, PLACES, len(tree.bias)]))
+    tree.place, tree.context = place[:, :-1].copy(), context[:, :-1].copy()
+    tree.node, tree.bias = node[:, :-1].copy(), node[:, -1].copy()
+    return Model.of(every[:n_model].ravel()[: len(flat)]), tree
 
 
 def lm_scores(docs: DataFrame, is_training: Column, text_col: str = "text") -> DataFrame:
@@ -338,8 +528,8 @@ def lm_scores(docs: DataFrame, is_training: Column, text_col: str = "text") -> D
     training = docs.filter(is_training).select(text.alias("text"))
     counts = written(word_counts(training), "lm_counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head_from = max(1, -(-total // HEAD))
-    head = counts.filter(F.col("c") >= head_from).toArrow()  # HEAD rows at most
+    head_from = max(1, min(-(-total // HEAD), learnt_from(total)))
+    head = counts.filter(F.col("c") >= head_from).toArrow()  # few rows beside the corpus: see LEARNT and HEAD
     ranked = sorted(zip(head["c"].to_pylist(), head["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     scorer = Scorer([w for _, w in ranked], np.array([c for c, _ in ranked], np.float64), {}, None, np.ones(CLASSES))
     if total:
@@ -357,11 +547,18 @@ def lm_scores(docs: DataFrame, is_training: Column, text_col: str = "text") -> D
         for w, i in scorer.frequent.items():
             mass[word_class(w)] -= count_of[w] + 1
             frequency[i] = count_of[w]
-        scorer.class_mass = mass[FREQUENT:]
         frequency[FREQUENT:] = mass[FREQUENT:]
         frequency = np.maximum(frequency, 1e-3)
         frequency /= frequency.sum()
-        scorer.model = train(training, scorer.frequent, frequency)
+        # The learnt words' parts are taken off what is left of a class for its other words.
+        least = learnt_from(total)
+        learnt = [w for c, w in ranked if c >= least and w not in scorer.frequent]
+        classes = [word_class(w) for w in learnt]
+        np.subtract.at(mass, classes, [count_of[w] + 1 for w in learnt])
+        scorer.class_mass = mass[FREQUENT:]
+        scorer.learnt = {w: SYMBOLS + i for i, w in enumerate(learnt)}
+        tree = Tree.of(classes, [count_of[w] + 1.0 for w in learnt], scorer.class_mass)
+        scorer.model, scorer.tree = train(training, scorer.frequent | scorer.learnt, tree, frequency)
     packed = pickle.dumps(scorer)
 
     # Other columns travel in one struct, so that none of their names can clash.

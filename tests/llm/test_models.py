@@ -200,6 +200,47 @@ def test_probabilities_add_up():
     assert np.all(np.asarray(seen) < 0)
 
 
+def test_probabilities_of_learnt_words_add_up():
+    """A class's learnt words and the leaf of its others make 1 in any context; untrained, by their counts."""
+    rnd = np.random.default_rng(8)
+    counts, rest = rnd.integers(1, 50, 3000) + 1.0, rnd.integers(1, 500, lm.CLASSES).astype(float)
+    classes = [*rnd.integers(lm.FREQUENT, lm.SYMBOLS - 1, 3000).tolist()]  # the last class has none
+    tree = lm.Tree.of(classes, counts.tolist(), rest).started()
+    units = np.arange(len(tree.symbol))
+    for trained in (False, True):
+        if trained:
+            tree.node = rnd.normal(0, 1, tree.node.shape).astype(np.float32)
+        contexts = np.repeat(rnd.integers(0, len(units), (1, 2)), len(units), axis=0)
+        p = np.exp(tree.logs(contexts, units))
+        assert np.all(p[: lm.FREQUENT] == 1) and p[lm.SYMBOLS - 1] == 1
+        assert np.bincount(tree.symbol, p)[lm.FREQUENT :] == pytest.approx(np.ones(lm.CLASSES), abs=1e-4)
+        if not trained:
+            mass = np.concatenate((np.zeros(lm.FREQUENT), rest, counts))
+            share = mass / np.maximum(np.bincount(tree.symbol, mass), 1e-9)[tree.symbol]
+            assert p[lm.FREQUENT :] == pytest.approx(share[lm.FREQUENT :], rel=1e-3)
+
+
+def test_context_tells_words_of_one_class(spark):
+    """Beside 600 more frequent words, two of equal counts and endings are told apart by what is before them."""
+    rnd = np.random.default_rng(9)
+    fillers = np.repeat([f"filler{i}" for i in range(600)], 250)
+    rnd.shuffle(fillers)
+    texts = [" ".join(fillers[i : i + 100]) for i in range(0, len(fillers), 100)]
+    texts += ["red leftening", "blue rightening"] * 200
+    asked = ["red leftening", "red rightening", "blue leftening", "blue rightening"]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(-i, t, False) for i, t in enumerate(asked, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(1)
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs, F.col("learn")).filter("not learn").collect()}
+    assert got[-1] > got[-2] + 0.1 and got[-4] > got[-3] + 0.1
+
+
+def test_learnt_words_grow_with_the_corpus():
+    """About as the square root of the tokens, where a word's count is a share over its rank."""
+    sizes = [10**k for k in (6, 8, 10)]
+    learnt = [0.06 * n / lm.learnt_from(n) for n in sizes]
+    assert learnt[0] > lm.FREQUENT and learnt[1] > 5 * learnt[0] and learnt[2] > 5 * learnt[1]
+
+
 def test_scores_of_awkward_rows(spark):
     docs = awkward(spark).withColumn("score", F.lit("other"))
     got = lm.lm_scores(docs, quality.fold("doc_id", 7) != 2).collect()
