@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gatetally.llm.common import text_or_empty, written
 
-SAMPLES = 32
+SAMPLES = 48
 #: Resolution of the uniform numbers, three of which come from one 64-bit hash.
 _BITS = 21
 #: Ranks are kept in steps of 2^-25 from -64 on, above 31 bits that tell the term and its level.

@@ -193,3 +193,14 @@ def test_samples_weigh_repeats(spark):
         rows += [(2 * i + 1, a.replace("x", f"x{i}").replace("y", f"y{i}")), (2 * i, b.replace("x", f"x{i}").replace("y", f"y{i}"))]
     got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.col("doc_id") % 2 == 1).collect()
     assert np.mean([r.near_next for r in got]) == pytest.approx(20 / 60, abs=0.03)
+
+
+def test_likeness_of_near_copies_is_close(spark):
+    """Pairs that share 8 of 10 words; with 32 samples the standard error would be 0.071."""
+    rows = []
+    for i in range(500):
+        common = " ".join(f"c{i}_{k}" for k in range(8))
+        rows += [(2 * i + 1, f"{common} a{i}"), (2 * i, f"{common} b{i}")]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.col("doc_id") % 2 == 1).collect()
+    near = [r.near_next for r in got]
+    assert np.mean(near) == pytest.approx(0.8, abs=0.01) and np.std(near) < 0.064
