@@ -115,15 +115,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last third replaced by as much of the start of the next document, in falling
     order of ids; the least is followed by the greatest. A fingerprint is the text of its samples, empty
-    for a text without words. A null text is empty; a null id is the least. An id stands for
-    one document: of rows that repeat an id the least text is used. An empty table gives an empty result;
-    other columns play no part.
+    for a text without words. A null text is empty; a null id is the least. Different texts
+    under one id, or without an id, are documents of their own, ordered by their SHA-256; rows that repeat both
+    id and text are one. An empty table gives an empty result; other columns play no part.
     """
     least = F.lit(-(2**63)).cast("bigint")
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), least).alias("key"), text_or_empty(text_col).alias("text"))
     keys = written(base.select("key", F.length("text").cast("bigint").alias("n_chars")), "fingerprint_keys")
+    the_id = F.col("key")
     if keys.count() != keys.select("key").distinct().count():
-        base = base.groupBy("key").agg(F.min("text").alias("text"))
+        each = F.struct(F.col("key").alias("id"), F.sha2("text", 256).alias("digest"))
+        base = base.groupBy(each.alias("key")).agg(F.min("text").alias("text"))
+        the_id = F.col("key.id")
         keys = base.select("key", F.length("text").cast("bigint").alias("n_chars"))
     order = _next_keys(keys)
 
@@ -149,7 +152,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = joined.withColumns({c: F.coalesce(c, none) for c in ("own", "after")})
     text = lambda c: F.array_join(F.transform(c, _hex8), "")
     return joined.select(
-        F.when(F.col("key") != least, F.col("key")).alias(id_col), "n_chars", "edited_sha256",
+        F.when(the_id != least, the_id).alias(id_col), "n_chars", "edited_sha256",
         text(F.col("own")).alias("fingerprint"), text(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("after")).alias("near_next"),

@@ -204,3 +204,10 @@ def test_likeness_of_near_copies_is_close(spark):
     got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.col("doc_id") % 2 == 1).collect()
     near = [r.near_next for r in got]
     assert np.mean(near) == pytest.approx(0.8, abs=0.01) and np.std(near) < 0.064
+
+
+def test_texts_that_share_an_id_keep_their_rows(spark):
+    rows = [(None, "a b c"), (None, "d e"), (7, "x y"), (7, "z w v u"), (7, "x y"), (8, "q")]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter({(i, len(t)) for i, t in rows})
+    assert len({r.fingerprint for r in got}) == 5
