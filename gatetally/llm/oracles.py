@@ -102,9 +102,65 @@ FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN c ON g.digest = c.digest
 LEFT JOIN top ON top.x = c.copy_id LEFT JOIN links ON links.x = c.copy_id
 """
 
+# Phrases of one to four words inside pieces, counted by language; the least score over the cuts; candidates
+# that a longer one covers go.
+COLLOCATIONS = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM documents),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.*, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y
+  FROM c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < k),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, j, fl.f AS l, fr.f AS r,
+         ((2000000::HUGEINT * cuts.a::HUGEINT) // (fl.f::HUGEINT + fr.f::HUGEINT))::BIGINT AS score
+  FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = cuts.x JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = cuts.y),
+least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_phrases AS (
+  SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k),
+covering AS (SELECT lang, phrase, max(a) AS a FROM inner_phrases GROUP BY ALL),
+kept AS (
+  SELECT least.* FROM least LEFT JOIN covering v ON v.lang = least.lang AND v.phrase = least.phrase
+  WHERE v.a IS NULL OR 100::HUGEINT * v.a < 80::HUGEINT * least.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score FROM ranked r JOIN n ON n.lang = r.lang WHERE r.rank <= 2000
+"""
+
+# Every window of 35 words as text; the words of those that are there more than once go.
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n_words FROM d),
+s AS (
+  SELECT *, CASE WHEN i + 34 <= n_words THEN sha256(string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS passage
+  FROM w),
+r AS (SELECT passage FROM s WHERE passage IS NOT NULL GROUP BY passage HAVING count(*) > 1),
+m AS (SELECT s.*, r.passage IS NOT NULL AS repeated FROM s LEFT JOIN r ON r.passage = s.passage),
+c AS (
+  SELECT *, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": NGRAM_JOIN,
     "op3_mix_sources": MIX_SOURCES,
     "op4_chat_formatting": CHAT_FORMATTING,
     "op9_exact_dedup": EXACT_DEDUP,
+    "op12_collocations": COLLOCATIONS,
+    "op13_substring_dedup": SUBSTRING_DEDUP,
 }

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from gatetally.llm import chat, pii, quality
 from gatetally.llm.byte_bpe import encoding_digests
+from gatetally.llm.collocations import collocations
 from gatetally.llm.common import table, written
 from gatetally.llm.exact_dedup import exact_dedup
 from gatetally.llm.fingerprints import fingerprints
 from gatetally.llm.lm import lm_scores
 from gatetally.llm.mixing import mix
 from gatetally.llm.ngram_join import ngram_join
+from gatetally.llm.substring_dedup import substring_dedup
 from gatetally.llm.token_counts import token_counts
 
 
@@ -97,6 +99,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lengths = F.transform("removed", lambda s: s["end"] - s["start"])
+    n_removed = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda n, length: n + length)
+    return cut.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -108,4 +121,6 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_collocations": op12_collocations,
+    "op13_substring_dedup": op13_substring_dedup,
 }
