@@ -6,8 +6,8 @@ mined completely at its own lowered support, level by level: words, then pairs o
 frequent, then longer phrases all of whose pairs are. The phrases that any shard found are candidates, and
 all of them are counted exactly over all shards.
 
-A shard is a part of the data, not a task: its phrases are counted by 64-bit hash in every block of text
-and added up behind a shuffle. The candidates of a level go to the tasks as a bit filter of a fixed size.
+A shard is a part of the data, not a task: its phrases are counted by hash in every block of text and added
+up behind a shuffle. The candidates of a level go to the tasks as a bit filter of a bounded size.
 Hashes that meet, there or in the counts, only make more candidates; the last count is by the phrases.
 """
 
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import text_or_empty, written
+from gatetally.llm.hashfilter import HashFilter, Sizes, bucketed, filter_of
 from gatetally.llm.scan import blocks, texts_of
-from gatetally.llm.wordhash import byte_table, has_bit, joined_bytes, mixed, run_hashes, word_hashes, word_spans
+from gatetally.llm.wordhash import byte_table, joined_bytes, mixed, run_hashes, word_hashes, word_spans
 
 SUPPORT = 30
 LONGEST = 4
@@ -33,14 +34,12 @@ COVERED = 80
 UNKNOWN = "und"
 #: More shards lower the local support; at SUPPORT of them every phrase would be a candidate.
 SHARDS = 4
-#: log2 of the bits of a level's filter: 16 MB, whatever the size of the corpus.
-FILTER_BITS = 27
+#: Bytes of text for each bit of a level's filter, up to the filter's bound.
+BYTES_PER_BIT = 16
 #: Code points that are worked on at once.
 BLOCK = 1 << 22
 #: Up to so many pairs of shard and language are broadcast with their supports.
 BROADCAST_SUPPORTS = 100_000
-#: Bits in a row of Spark's bitmap aggregate.
-_SEGMENT = 1 << 15
 
 _LOWERED = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\n\x0b\x0c\r" + b"\t",
@@ -70,7 +69,7 @@ class _Pieces:
     def hashes(self, places: np.ndarray, length: int) -> np.ndarray:
         return self.words[places] if length == 1 else run_hashes(self.words, places, length)
 
-    def possible(self, length: int, filters: list[np.ndarray]) -> np.ndarray:
+    def possible(self, length: int, filters: list[HashFilter]) -> np.ndarray:
         """Places of phrases whose words and, of longer ones, pairs are all in the filters before."""
         places = self.places(length)
         if length == 1:
@@ -78,21 +77,18 @@ class _Pieces:
         part = min(length - 1, 2)
         inside = np.zeros(len(self.words), bool)
         at = self.places(part)
-        inside[at] = in_filter(filters[part - 1], self.hashes(at, part))
+        inside[at] = filters[part - 1].has(self.hashes(at, part))
         good = inside[places]
         for i in range(1, length - part + 1):
             good &= inside[places + i]
         return places[good]
 
 
-def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return has_bit(bits, hashes >> np.uint64(64 - FILTER_BITS))
-
-
-def _blocks_by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list[str]]]:
-    """Shard, language and texts, from columns of these."""
+def _blocks_by_group(batches: Iterator[pa.RecordBatch], by_shard: bool) -> Iterator[tuple[int, str, list[str]]]:
+    """Shard (or 0), language and texts, from columns of these."""
     for batch in batches:
-        groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        shards = batch.column(0).to_pylist() if by_shard else [0] * len(batch)
+        groups = list(zip(shards, batch.column(1).to_pylist(), strict=True))
         done = 0
         for texts in blocks(texts_of(batch.column(2)), BLOCK):
             by_group: dict[tuple[int, str], list[str]] = {}
@@ -103,41 +99,42 @@ def _blocks_by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, s
                 yield shard, lang, own
 
 
-def _local_counts(lengths: range, filters: list[np.ndarray]) -> Callable:
-    """Occurrences by shard, language and hash in a block; with words, their sum under a null hash."""
+def _local_hashes(lengths: range, filters: list[HashFilter], support: int, sizes: Sizes) -> Callable:
+    """Hashes of possible phrases by bucket, a block's; with words, their number under a null bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, lang, texts in _blocks_by_group(batches):
+        for shard, lang, texts in _blocks_by_group(batches, True):
             pieces = _Pieces(lang, texts)
             for length in lengths:
                 hashes = pieces.hashes(pieces.possible(length, filters), length)
-                found, n = np.unique(hashes, return_counts=True)
-                found, n = pa.array(found.view(np.int64)), pa.array(n, pa.int64())
+                buckets, rests = bucketed(hashes, support, sizes)
+                n = pa.nulls(len(buckets), pa.int64())
                 if length == 1:
-                    found = pa.concat_arrays([found, pa.nulls(1, pa.int64())])
+                    buckets = pa.concat_arrays([buckets, pa.nulls(1, pa.int64())])
+                    rests = pa.concat_arrays([rests, pa.nulls(1, pa.binary())])
                     n = pa.concat_arrays([n, pa.array([len(hashes)], pa.int64())])
                 size = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(shard, pa.int32()), size), pa.repeat(pa.scalar(lang, pa.string()), size), found, n],
-                    ["shard", "lang", "hash", "n"],
+                    [pa.repeat(pa.scalar(shard, pa.int32()), size), pa.repeat(pa.scalar(lang, pa.string()), size), buckets, rests, n],
+                    ["shard", "lang", "bucket", "hashes", "n"],
                 )
 
     return run
 
 
-def _phrase_counts(longest: int, filters: list[np.ndarray]) -> Callable:
+def _phrase_counts(longest: int, filters: list[HashFilter]) -> Callable:
     """Occurrences in a block of every candidate: words joined by one space.
 
     Phrases are told apart by two hashes of different words' hashes, 128 bits together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lang, texts in _blocks_by_group(batches):
+        for _, lang, texts in _blocks_by_group(batches, False):
             pieces, again = _Pieces(lang, texts), _Pieces(lang, texts, salt=1)
             for length in range(1, longest + 1):
                 places = pieces.places(length)
                 hashes = pieces.hashes(places, length)
-                good = in_filter(filters[min(length, len(filters)) - 1], hashes)
+                good = filters[min(length, len(filters)) - 1].has(hashes)
                 places, hashes = places[good], hashes[good]
                 if not len(places):
                     continue
@@ -165,17 +162,6 @@ def _phrase_counts(longest: int, filters: list[np.ndarray]) -> Callable:
     return run
 
 
-def _filter_of(frequent: DataFrame) -> np.ndarray:
-    """The bits of the hashes of a table; it has 2^FILTER_BITS of them, however many hashes there are."""
-    place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    bit = F.pmod(place, F.lit(_SEGMENT))
-    parts = frequent.groupBy(F.floor(place / _SEGMENT).alias("segment")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-    whole = np.zeros(((1 << FILTER_BITS) // _SEGMENT, _SEGMENT // 8), np.uint8)
-    for segment, bits in parts.collect():
-        whole[segment] = np.frombuffer(bits, np.uint8)
-    return whole.reshape(-1)
-
-
 def phrase_counts(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST
 ) -> tuple[DataFrame, DataFrame]:
@@ -187,27 +173,29 @@ def phrase_counts(
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
     shard = F.pmod(F.xxhash64(text), F.lit(SHARDS)).cast("int")
     texts = docs.select(shard.alias("shard"), lang.alias("lang"), text.alias("text"))
-    counted = "shard int, lang string, hash long, n long"
+    n_bytes = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    sizes = Sizes(n_bytes, BYTES_PER_BIT)
 
-    def local(lengths: range, filters: list[np.ndarray]) -> DataFrame:
-        counts = texts.mapInArrow(_local_counts(lengths, filters), counted)
-        return counts.groupBy("shard", "lang", "hash").agg(F.sum("n").alias("n"))
+    def local(lengths: range, filters: list[HashFilter]) -> DataFrame:
+        run = _local_hashes(lengths, filters, support, sizes)
+        return texts.mapInArrow(run, "shard int, lang string, bucket long, hashes binary, n long")
 
     words = written(local(range(1, 2), []), "collocation_words")
-    of_shard = words.filter("hash is null").select("shard", "lang", F.col("n").alias("words"))
+    of_shard = words.filter("n > 0").groupBy("shard", "lang").agg(F.sum("n").alias("words"))
     totals = of_shard.groupBy("lang").agg(F.sum("words").alias("n"))
     share = F.col("words").cast("decimal(20,0)") * support
     needs = of_shard.join(totals, "lang").withColumn("share", share)
     needs = needs.selectExpr("shard", "lang", "(share + n - 1) div n AS need")
-    needs = written(needs.filter("need > 0"), "collocation_supports")
+    needs = written(needs, "collocation_supports")
     if needs.count() <= BROADCAST_SUPPORTS:
         needs = F.broadcast(needs)
 
-    filters: list[np.ndarray] = []
+    filters: list[HashFilter] = []
     for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
         if lengths:
-            counts = words.filter("hash is not null") if lengths[0] == 1 else local(lengths, filters)
-            filters.append(_filter_of(counts.join(needs, ["shard", "lang"]).filter("n >= need")))
+            hashes = words if lengths[0] == 1 else local(lengths, filters)
+            hashes = hashes.filter("bucket is not null").join(needs, ["shard", "lang"])
+            filters.append(filter_of(hashes.select("bucket", "shard", "need", "hashes"), sizes, by=("shard",)))
 
     exact = texts.mapInArrow(_phrase_counts(longest, filters), "lang string, length int, phrase string, n long")
     exact = exact.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support)

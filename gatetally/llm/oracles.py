@@ -102,6 +102,80 @@ FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN c ON g.digest = c.digest
 LEFT JOIN top ON top.x = c.copy_id LEFT JOIN links ON links.x = c.copy_id
 """
 
+# Cheapest edits by dynamic programming over a conversation's rows: for each state of the roles written so far
+# (e nothing, s, u, a) the least (cost, audit), with the repaired rows that belong to it.
+def _edit(state: str, cost: str, initial: str, written: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'p': {state}.p || '{initial}', 'r': {state}.r || {written}}}"
+
+
+def _insert(state: str, role: str) -> str:
+    return _edit(state, "3", "I", f"chr(10) || '{role}:'")
+
+
+def _rerole(state: str, role: str) -> str:
+    return _edit(state, "CASE WHEN bad = 'x' THEN 1000000000 WHEN bad = 't' THEN 6 ELSE 3 END", "R", f"chr(10) || '{role}:' || text")
+
+
+def _keep(state: str, initial: str) -> str:
+    cost = f"CASE WHEN bad = 'x' OR left(role, 1) <> '{initial}' THEN 1000000000 WHEN bad = 't' THEN 3 ELSE 0 END"
+    return _edit(state, cost, "K", "chr(10) || role || ':' || text")
+
+
+def _least(*paths: str) -> str:
+    return f"list_sort([{', '.join(paths)}])[1]"
+
+
+_FAR = "{'c': 1000000000, 'p': '', 'r': ''}"
+CHAT_REPAIR = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) AS c
+    FROM range(256) AS bytes(i))),
+d0 AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+             lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+  FROM conversations, crc),
+d1 AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d0 JOIN (SELECT unnest([1, 2]) AS copy) ON copy = 1 OR fault = 3 WHERE fault <> 0),
+d AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d1),
+f AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS initial_before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault
+  FROM d),
+l AS (SELECT conv_id, i, role, text, CASE fault WHEN 'truncated' THEN 't' WHEN 'none' THEN 'n' ELSE 'x' END AS bad FROM f),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+closed AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'p': '', 'r': ''}} AS e, {_FAR} AS s,
+         {{'c': 3, 'p': 'I', 'r': chr(10) || 'user:'}} AS u, {{'c': 6, 'p': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS a
+  FROM ids
+  UNION ALL
+  SELECT conv_id, i, e, s, u, {_least("a", _insert("u", "assistant"))} AS a FROM (
+    SELECT conv_id, i, e, s, {_least("u", _insert("e", "user"), _insert("s", "user"), _insert("a", "user"))} AS u, a FROM (
+      SELECT c.conv_id, l.i, {_edit("e", "4", "D")} AS e, {_least(_edit("s", "4", "D"), _keep("e", "s"))} AS s,
+             {_least(_edit("u", "4", "D"), *(f(x, y) for x in "esa" for f, y in ((_rerole, "user"), (_keep, "u"))))} AS u,
+             {_least(_edit("a", "4", "D"), _rerole("u", "assistant"), _keep("u", "a"))} AS a
+      FROM closed c JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.i = c.i + 1))),
+best AS (
+  SELECT conv_id, {_least("e", "a")} AS b FROM closed QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (initial_before IS NOT NULL AND initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.c::BIGINT AS cost, b.p AS audit,
+       sha256(substr(b.r, 2)) AS repaired_sha256
+FROM best LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
 # Phrases of one to four words inside pieces, counted by language; the least score over the cuts; candidates
 # that a longer one covers go.
 COLLOCATIONS = f"""
@@ -161,6 +235,7 @@ ORACLES = {
     "op3_mix_sources": MIX_SOURCES,
     "op4_chat_formatting": CHAT_FORMATTING,
     "op9_exact_dedup": EXACT_DEDUP,
+    "op11_chat_repair": CHAT_REPAIR,
     "op12_collocations": COLLOCATIONS,
     "op13_substring_dedup": SUBSTRING_DEDUP,
 }

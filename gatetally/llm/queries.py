@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatetally.llm import chat, pii, quality
 from gatetally.llm.byte_bpe import encoding_digests
+from gatetally.llm.chat_repair import damaged, repair_conversations
 from gatetally.llm.collocations import collocations
 from gatetally.llm.common import table, written
 from gatetally.llm.exact_dedup import exact_dedup
@@ -99,6 +100,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    return repair_conversations(damaged(rows), rows).withColumnRenamed("conv", "conv_id")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -121,6 +128,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_chat_repair": op11_chat_repair,
     "op12_collocations": op12_collocations,
     "op13_substring_dedup": op13_substring_dedup,
 }

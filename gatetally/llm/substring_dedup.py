@@ -5,14 +5,14 @@ first length are counted by hash; only where two adjoining ones both repeat is t
 length counted; and so on, up to the length asked for, whose windows are made of two overlapping ones.
 There the candidates that are left are compared by digests of their words, which decides.
 
-What a level leaves behind is a bit filter of a fixed size, over the hashes that repeat. It never misses
+What a level leaves behind is a bit filter of a bounded size, over the hashes that repeat. It never misses
 a repeated window; where it takes a window for repeated that isn't, the last level finds out.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import text_or_empty, written
+from gatetally.llm.hashfilter import HashFilter, Sizes, bucketed, filter_of
 from gatetally.llm.scan import blocks, texts_of
-from gatetally.llm.wordhash import has_bit, joined_bytes, packed, run_hashes, word_hashes, word_spans
+from gatetally.llm.wordhash import joined_bytes, run_hashes, word_hashes, word_spans
 
 WINDOW = 35
 #: The first length is the window's, halved until it is at most this.
 FIRST = 9
-#: log2 of the bits of a level's filter: 32 MB, whatever the size of the corpus.
-FILTER_BITS = 28
-#: Bytes of text whose windows meet in one bucket; there are more buckets for more text.
-BUCKET_BYTES = 1 << 22
-#: log2 of the least and most buckets.
-BUCKETS = (6, 24)
+#: Bytes of text for each bit of a level's filter, up to the filter's bound.
+BYTES_PER_BIT = 16
+#: Bytes of a window's digest, which decides.
+DIGEST = 12
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def lengths_to(window: int) -> list[int]:
@@ -55,14 +56,14 @@ class _Words:
         self.counts = last - self.first
         self.text_end = np.repeat(last, self.counts)
 
-    def candidates(self, lengths: list[int], filters: list[np.ndarray]) -> np.ndarray:
+    def candidates(self, lengths: list[int], filters: list[HashFilter]) -> np.ndarray:
         """Where windows of the last length start that no shorter length has ruled out."""
         at = np.arange(len(self.words))
         for i, length in enumerate(lengths):
             if i:
                 repeated = np.zeros(len(self.words), bool)
                 hashes = run_hashes(self.words, at, lengths[i - 1])
-                repeated[at] = has_bit(filters[i - 1], hashes >> np.uint64(64 - FILTER_BITS))
+                repeated[at] = filters[i - 1].has(hashes)
                 other = at + (length - lengths[i - 1])
                 inside = other < len(self.words)
                 at = at[inside][repeated[at[inside]] & repeated[other[inside]]]
@@ -79,90 +80,121 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[st
             done += len(texts)
 
 
-def _hashes_by_bucket(lengths: list[int], filters: list[np.ndarray], bits: int) -> Callable:
-    """Sorted 32-bit hashes of candidate windows by bucket; one that a block has twice is there twice."""
+def _hashes_by_bucket(lengths: list[int], filters: list[HashFilter], sizes: Sizes) -> Callable:
+    """Hashes of candidate windows by bucket; one that a block has twice is there twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, words in _words_of(batches):
             at = words.candidates(lengths, filters)
-            hashes, counts = np.unique(run_hashes(words.words, at, lengths[-1]), return_counts=True)
-            hashes = np.repeat(hashes, np.minimum(counts, 2))
-            buckets = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-            values = (hashes >> np.uint64(32 - bits)).astype(np.uint32)
-            cuts = np.flatnonzero(buckets[1:] != buckets[:-1]) + 1
-            if len(buckets):
-                numbers = buckets[np.concatenate(([0], cuts))]
-                parts = [part.tobytes() for part in np.split(values, cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(parts, pa.binary())], ["bucket", "hashes"])
+            buckets, hashes = bucketed(run_hashes(words.words, at, lengths[-1]), 2, sizes)
+            needs = pa.repeat(pa.scalar(2), len(buckets))
+            yield pa.RecordBatch.from_arrays([buckets, needs, hashes], ["bucket", "need", "hashes"])
 
     return run
 
 
-def _repeated_bits(bits: int) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's part of the filter: the bits of hashes that are there more than once."""
+def _level(texts: DataFrame, lengths: list[int], filters: list[HashFilter], sizes: Sizes) -> HashFilter:
+    """The filter over the hashes of windows of the last length that occur more than once."""
+    shape = "bucket long, need long, hashes binary"
+    return filter_of(texts.mapInArrow(_hashes_by_bucket(lengths, filters, sizes), shape), sizes)
 
-    def run(table: pa.Table) -> pa.Table:
-        values = np.concatenate([np.frombuffer(part, np.uint32) for part in table.column("hashes").to_pylist()])
-        values.sort()
-        repeated = values[1:][values[1:] == values[:-1]]
-        part = packed(repeated >> np.uint32(32 + bits - FILTER_BITS), 1 << (FILTER_BITS - bits))
-        return pa.table([table.column("bucket").slice(0, 1), pa.array([part], pa.binary())], ["bucket", "bits"])
 
-    return run
+def _normalised(text: str) -> bytes:
+    return b" ".join(text.encode().split())
 
 
-def _level(texts: DataFrame, lengths: list[int], filters: list[np.ndarray], bits: int) -> np.ndarray:
-    """The filter over the hashes of windows of the last length that occur more than once."""
-    hashed = texts.mapInArrow(_hashes_by_bucket(lengths, filters, bits), "bucket long, hashes binary")
-    parts = hashed.groupBy("bucket").applyInArrow(_repeated_bits(bits), "bucket long, bits binary")
-    # 2^FILTER_BITS bits altogether, however large the corpus.
-    whole = np.zeros((1 << bits, (1 << (FILTER_BITS - bits)) // 8), np.uint8)
-    for batch in parts.toArrow().to_batches():
-        for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            whole[bucket] = np.frombuffer(part.as_buffer(), np.uint8)
-    return whole.reshape(-1)
+def _runs(members: np.ndarray) -> list[dict[str, int]]:
+    """Runs of set places, as (start, end)."""
+    turns = np.flatnonzero(np.diff(np.concatenate(([0], members.view(np.int8), [0])))).tolist()
+    return [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
 
 
-def _normalised(text: str) -> bytes:
-    return b" ".join(text.encode().split())
+def _places(runs: list[dict[str, int]]) -> np.ndarray:
+    return np.concatenate([np.arange(r["start"], r["end"]) for r in runs])
+
+
+def _digests(text: str, places: np.ndarray, window: int) -> np.ndarray:
+    """The digests of windows of a text whose words are joined by one space, a row of bytes each."""
+    data = text.encode()
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts = np.concatenate(([0], spaces + 1))[places].tolist()
+    ends = np.concatenate((spaces, [len(data)]))[places + window - 1].tolist()
+    joined = b"".join([blake2b(data[a:b], digest_size=DIGEST).digest() for a, b in zip(starts, ends, strict=True)])
+    return np.frombuffer(joined, np.uint8).reshape(-1, DIGEST)
+
+
+def _numbers(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as two numbers each."""
+    digests = np.ascontiguousarray(digests)
+    return np.ascontiguousarray(digests[:, :8]).view(np.uint64)[:, 0], np.ascontiguousarray(digests[:, 8:]).view(np.uint32)[:, 0]
 
 
-def _candidate_rows(lengths: list[int], filters: list[np.ndarray], id_type: pa.DataType) -> Callable:
-    """Texts with candidates, their windows' places and digests; ``key`` is a number of the row."""
-    window = lengths[-1]
+def _candidate_rows(lengths: list[int], filters: list[HashFilter], id_type: pa.DataType) -> Callable:
+    """Texts with candidates and the runs of these. ``block`` is a number of the block of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 33
+        block = TaskContext.get().partitionId() << 33
         for ids, texts, words in _words_of(batches):
             at = words.candidates(lengths, filters)
-            rows = np.searchsorted(words.first, at, "right") - 1
+            candidate = np.zeros(len(words.words), bool)
+            candidate[at] = True
             # Texts without words start where the next one does; the last to start there has the words.
-            which, cuts = np.unique(rows, return_index=True)
-            for row, places in zip(which.tolist(), np.split(at, cuts[1:]), strict=True):
-                text = _normalised(texts[row])
-                spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-                starts = np.concatenate(([0], spaces + 1))
-                ends = np.concatenate((spaces, [len(text)]))
-                places = places - words.first[row]
-                digests = b"".join(
-                    hashlib.blake2b(text[a:b], digest_size=16).digest()
-                    for a, b in zip(starts[places].tolist(), ends[places + window - 1].tolist(), strict=True)
-                )
-                both = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([key]), ids.slice(row, 1).cast(id_type), pa.array([text.decode()]),
-                        pa.array([places.astype(np.int32)], pa.list_(pa.int32())),
-                        pa.array([both[:, 0]], pa.list_(pa.int64())), pa.array([both[:, 1]], pa.list_(pa.int64())),
-                    ],
-                    ["key", "id", "words", "places", "h1", "h2"],
-                )
-                key += 1
+            rows = np.unique(np.searchsorted(words.first, at, "right") - 1).tolist()
+            first = words.first.tolist()
+            runs = [_runs(candidate[first[i] : first[i] + int(words.counts[i])]) for i in rows]
+            kept = pa.array([_normalised(texts[i]).decode() for i in rows], pa.string())
+            own = ids.take(pa.array(rows, pa.int64())).cast(id_type)
+            numbers = pa.repeat(pa.scalar(block, pa.int64()), len(rows))
+            yield pa.RecordBatch.from_arrays([numbers, own, kept, pa.array(runs, _SPANS)], ["block", "id", "words", "runs"])
+            block += 1
 
     return run
 
 
-def _straight_rows(lengths: list[int], filters: list[np.ndarray], id_type: pa.DataType) -> Callable:
+def _digests_by_bucket(window: int, sizes: Sizes) -> Callable:
+    """Digests of candidates by bucket and block; one that a batch has twice or more is there twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks_of = batch.column(0).to_numpy()
+            found = [_digests(text, _places(runs), window) for text, runs in zip(texts_of(batch.column(1), 50), texts_of(batch.column(2), 50), strict=True)]
+            if not found:
+                continue
+            block = np.repeat(blocks_of, [len(x) for x in found])
+            digests = np.concatenate(found)
+            high, low = _numbers(digests)
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            third = np.zeros(len(order), bool)
+            third[2:] = (high[2:] == high[:-2]) & (low[2:] == low[:-2])
+            order, bucket = order[~third], (high[~third] >> np.uint64(64 - sizes.buckets)).astype(np.int64)
+            by_block = np.lexsort((block[order], bucket))
+            order, bucket = order[by_block], bucket[by_block]
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[order[1:]] != block[order[:-1]])) + 1
+            starts = np.concatenate(([0], cuts))
+            parts = [digests[part].tobytes() for part in np.split(order, cuts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[starts]), pa.array(block[order[starts]]), pa.array(parts, pa.binary())], ["bucket", "block", "digests"]
+            )
+
+    return run
+
+
+def _single(table: pa.Table) -> pa.Table:
+    """Of a bucket's digests those that are there once only, by block."""
+    parts = [np.frombuffer(part, np.uint8).reshape(-1, DIGEST) for part in table.column("digests").to_pylist()]
+    which, digests = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
+    high, low = _numbers(digests)
+    order = np.lexsort((low, high))
+    same = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    single = order[~(np.concatenate(([False], same)) | np.concatenate((same, [False])))]
+    single = single[np.argsort(which[single], kind="stable")]
+    rows, starts = np.unique(which[single], return_index=True)
+    found = [digests[part].tobytes() for part in np.split(single, starts[1:])] if len(rows) else []
+    return pa.table([table.column("block").take(pa.array(rows)), pa.array(found, pa.binary())], ["block", "digests"])
+
+
+def _straight_rows(lengths: list[int], filters: list[HashFilter], id_type: pa.DataType) -> Callable:
     """Texts without candidates: they are kept as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,20 +218,21 @@ def _without(window: int, id_type: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, kept, spans = [], [], []
-            for text, places in zip(texts_of(batch.column(1), 50), texts_of(batch.column(2), 50), strict=True):
-                words = text.split(" ")
+            for text, runs, single in zip(*(texts_of(batch.column(i), 50) for i in (1, 2, 3)), strict=True):
+                places, words = _places(runs), text.split(" ")
+                if single:
+                    unique = {part[i : i + DIGEST] for part in single for i in range(0, len(part), DIGEST)}
+                    digests = _digests(text, places, window).tobytes()
+                    places = places[[digests[i : i + DIGEST] not in unique for i in range(0, len(digests), DIGEST)]]
                 covered = np.zeros(len(words) + 1, np.int32)
-                places = np.asarray(places or [], np.int64)
                 covered[places] += 1
                 covered[places + window] -= 1
                 gone = np.cumsum(covered[:-1]) > 0
-                turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).tolist()
-                spans.append([{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)])
+                spans.append(_runs(gone))
                 kept.append(" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]))
                 n_words.append(len(words))
-            removed = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(id_type), pa.array(n_words, pa.int64()), pa.array(kept, pa.string()), removed],
+                [batch.column(0).cast(id_type), pa.array(n_words, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, _SPANS)],
                 ["id", "n_words", "kept_text", "removed"],
             )
 
@@ -226,25 +259,25 @@ def substring_dedup(
     id_kind = texts.schema["id"].dataType
     id_type = texts.select("id").limit(0).toArrow().schema.field("id").type
     n_bytes = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    bits = min(max((n_bytes // BUCKET_BYTES).bit_length(), BUCKETS[0]), BUCKETS[1])
+    sizes = Sizes(n_bytes, BYTES_PER_BIT)
     lengths, filters = lengths_to(window), []
     for i in range(1, len(lengths)):
-        filters.append(_level(texts, lengths[:i], filters, bits))
+        filters.append(_level(texts, lengths[:i], filters, sizes))
 
-    kind = id_kind.simpleString()
+    kind, spans = id_kind.simpleString(), "array<struct<start: long, end: long>>"
     found = texts.mapInArrow(
-        _candidate_rows(lengths, filters, id_type),
-        f"key long, id {kind}, words string, places array<int>, h1 array<long>, h2 array<long>",
+        _candidate_rows(lengths, filters, id_type), f"block long, id {kind}, words string, runs {spans}"
+    )
+    found = written(found, "substring_candidates", "zstd")
+    # What comes back are the candidates that are there once, the few that the filters have let through.
+    digests = found.select("block", "words", "runs").mapInArrow(
+        _digests_by_bucket(window, sizes), "bucket long, block long, digests binary"
     )
-    found = written(found, "substring_candidates")
-    windows = found.select("key", F.explode(F.arrays_zip("places", "h1", "h2")).alias("w"))
-    windows = windows.select("key", "w.places", "w.h1", "w.h2")
-    repeated = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    places = windows.join(repeated, ["h1", "h2"]).groupBy("key").agg(F.collect_list("places").alias("places"))
-    of_candidates = found.select("key", "id", "words").join(places, "key", "left").select("id", "words", "places")
-    spans = "removed array<struct<start: long, end: long>>"
+    single = digests.groupBy("bucket").applyInArrow(_single, "block long, digests binary")
+    single = single.groupBy("block").agg(F.collect_list("digests").alias("single"))
+    of_candidates = found.join(single, "block", "left").select("id", "words", "runs", "single")
     shape = f"id {kind}, n_words long, kept_text string"
-    cut = of_candidates.mapInArrow(_without(window, id_type), f"{shape}, {spans}")
+    cut = of_candidates.mapInArrow(_without(window, id_type), f"{shape}, removed {spans}")
     straight = texts.mapInArrow(_straight_rows(lengths, filters, id_type), shape)
-    straight = straight.select("*", F.from_json(F.lit("[]"), "array<struct<start: long, end: long>>").alias("removed"))
+    straight = straight.select("*", F.from_json(F.lit("[]"), spans).alias("removed"))
     return straight.unionAll(cut).withColumnRenamed("id", id_col)
