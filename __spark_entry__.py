@@ -21,8 +21,10 @@ from gatetally.constants import (
     ONE_MINUTE,
 )
 from gatetally.functions import epoch_millis
+from gatetally.functions.busiest import busiest_seconds
 from gatetally.operators import (
     aggregate_by_window,
+    apply_to_windows,
     count_by_window,
     drop_headers,
     malformed_rows,
@@ -31,15 +33,15 @@ from gatetally.operators import (
 from gatetally.plans import (
     REPORTS,
     all_report_lines,
-    durations_of,
     report_lines,
     report_named,
     run_batch,
 )
+from gatetally.session import SETTINGS, STATE_STORE
 from gatetally.sinks import start_batches, start_text
 from gatetally.sinks.streams import AVAILABLE_NOW
 from gatetally.sources import gateway_lines, read_lines, with_header
-from gatetally.streaming import query_name, run_stream
+from gatetally.streaming import run_stream
 from gatetally.workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +238,7 @@ def batch_job_with_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log files in, four reports out, by one streaming query per window length."""
+    """Log files in, four reports out, by one streaming query."""
     folder = shared_folder(spark, "stream_job")
     _lines(spark, sf_dir).write.text(f"{folder}/logs")
     run_stream(
@@ -246,11 +248,8 @@ def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{folder}/checkpoints",
         trigger=AVAILABLE_NOW,
     )
-    written = [
-        spark.read.schema("value string, report string").text(f"{folder}/reports/{query_name(d)}")
-        for d in durations_of()
-    ]
-    return written[0].unionAll(written[1]).select("report", "value")
+    written = spark.read.schema("value string, report string").text(f"{folder}/reports")
+    return written.select("report", "value")
 
 
 def service_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +268,32 @@ def service_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.select("microservice", end, "calls", "methods", "first_ms", "last_ms")
 
 
+def _busiest(logs: DataFrame) -> DataFrame:
+    """The seconds with the most calls of each service and minute: a function of ours over whole windows."""
+    logs = logs.withColumn("millis", epoch_millis(F.col("timestamp")))
+    found = apply_to_windows(logs, ONE_MINUTE, ["microservice"], busiest_seconds(60), ["millis"])
+    return found.select("microservice", epoch_millis(F.col("window_end")).alias("end_ms"), "second", "calls")
+
+
+def busiest_seconds_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _busiest(_logs(spark, sf_dir))
+
+
+def busiest_seconds_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stream, in state that the function builds up; finished windows only."""
+    folder = shared_folder(spark, "busiest")
+    session = _streaming_session(spark)
+    # Arbitrary state needs this store, whatever the session that is given has.
+    session.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    found = _busiest(parse_gateway_logs(_stream(session, sf_dir)))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    start_batches(found, write, f"{folder}/checkpoint", AVAILABLE_NOW).awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/rows").select(found.columns)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """All four reports on /root/testdata/sf0.001."""
     return all_reports(spark, "/root/testdata/sf0.001")
@@ -297,6 +322,8 @@ def queries() -> dict[str, Query]:
         "batch_job_with_quarantine": batch_job_with_quarantine,
         "stream_job": stream_job,
         "service_activity": service_activity,
+        "busiest_seconds": busiest_seconds_by_minute,
+        "busiest_seconds_append": busiest_seconds_append,
         **LLM_QUERIES,
     }
 
@@ -343,6 +370,19 @@ def _all_reports_sql(append: bool = False, where: str = "") -> str:
     )
 
 
+def _busiest_sql(finished: str = "") -> str:
+    return (
+        _LOGS
+        + """, counts AS (
+  SELECT microservice, ms // 60000 AS minute, (ms // 1000 % 60)::INT AS second, count(*) AS calls
+  FROM logs GROUP BY ALL),
+ranked AS (
+  SELECT *, max(calls) OVER (PARTITION BY microservice, minute) AS most FROM counts)
+SELECT microservice, (minute + 1) * 60000 AS end_ms, second, calls FROM ranked WHERE calls = most """
+        + finished
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     whole_line = _LINE.format(service="'svc-' || (user_id % 8)")
     short_line = _LINE.format(service="''")
@@ -387,5 +427,7 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT microservice, (ms // 300000 + 1) * 300000 AS end_ms, count(*) AS calls, "
         "count(DISTINCT type) AS methods, min(ms) AS first_ms, max(ms) AS last_ms "
         "FROM logs GROUP BY microservice, ms // 300000",
+        "busiest_seconds": _busiest_sql(),
+        "busiest_seconds_append": _busiest_sql("AND (minute + 1) * 60000 <= (SELECT max(ms) - 3500 FROM logs)"),
         **LLM_ORACLES,
     }

@@ -23,6 +23,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--interval", default=RESCAN_INTERVAL, help="time between micro-batches")
     parser.add_argument("--max-files", type=int, help="files read per micro-batch, at most")
     parser.add_argument("--max-file-age", help="a stream ignores new files older than this, next to the newest")
+    parser.add_argument("--archive", help="directory that a stream moves the files to that it has read")
+    parser.add_argument("--retention", help="age, such as 7d, at which files leave a stream's account of its output")
     parser.add_argument("--out-files", type=int, help="tasks that write per micro-batch, at most")
     args = parser.parse_args(arguments)
 
@@ -41,6 +43,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
         quarantine=args.quarantine,
         trigger=AVAILABLE_NOW if args.once else {"processingTime": args.interval},
         files=args.out_files,
+        archive=args.archive,
+        retention=args.retention,
         **{name: value for name, value in options.items() if value},
     )
 

@@ -6,19 +6,18 @@ from gatetally.plans.reports import (
     REPORTS,
     Report,
     all_report_lines,
-    duration_lines,
     durations_of,
     format_lines,
     report_counts,
     report_lines,
     report_named,
+    stream_lines,
 )
 
 __all__ = [
     "REPORTS",
     "Report",
     "all_report_lines",
-    "duration_lines",
     "durations_of",
     "format_lines",
     "malformed_records",
@@ -27,6 +26,7 @@ __all__ = [
     "report_lines",
     "report_named",
     "run_batch",
+    "stream_lines",
     "table_records",
     "write_reports",
 ]

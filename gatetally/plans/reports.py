@@ -93,20 +93,47 @@ def _line_of(reports: Sequence[Report]) -> Column:
     )
 
 
-def duration_lines(
-    logs: DataFrame, reports: Sequence[Report], delay: str = WATERMARK_DELAY
+def _window_ends(logs: DataFrame, durations: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``logs`` with the end of each record's window of every length, and the columns' names by length."""
+    ends = {duration: f"window_end_{i}" for i, duration in enumerate(durations)}
+    for duration, end in ends.items():
+        logs = logs.withColumn(end, F.window("timestamp", duration)["end"])
+    return logs, ends
+
+
+def _report_rows(reports: Sequence[Report], keys: Sequence[str], types: dict[str, str], ends: dict[str, str]) -> Column:
+    """A row per report: its key and the end of its window."""
+    rows = (
+        F.struct(
+            _report_key(report, keys, types).alias("key"),
+            F.col(ends[report.duration]).alias("window_end"),
+        )
+        for report in reports
+    )
+    return F.explode(F.array(*rows)).alias("row")
+
+
+def stream_lines(
+    logs: DataFrame, reports: Sequence[Report] = REPORTS, delay: str = WATERMARK_DELAY
 ) -> DataFrame:
-    """Lines of several reports with windows of one length: (report, value). For streams, too.
+    """Lines of several reports, whatever their windows, out of one aggregation: (report, value).
+
+    Each record becomes a row per report, with the end of the report's window, and these are counted by
+    report, window end and keys together: before the shuffle, so that what fans out are the rows of one
+    partition and not what is sent. A stream thus reads and parses its text once, has one watermark and
+    one state, and commits all reports together.
 
-    Each record becomes a row per report, which are counted by report, keys and window together:
-    before the shuffle, so that what fans out are the rows of one partition and not what is sent.
+    The window ends come out of a generator, where Spark loses track of the event time. They take over the
+    mark that ``withWatermark`` sets on it, so a window is written, and a record late, by the window's end.
     """
-    (duration,) = durations_of(reports)
     keys = list(dict.fromkeys(key for report in reports for key in report.keys))
     types = dict(logs.select(*keys).dtypes)
-    rows = F.explode(F.array(*(_report_key(report, keys, types) for report in reports)))
-    fanned = with_event_time(logs, delay=delay).select("timestamp", rows.alias("row"))
-    counts = count_by_window(fanned.select("timestamp", "row.*"), duration, ["report", *keys])
+    timed, ends = _window_ends(with_event_time(logs, delay=delay), durations_of(reports))
+    mark = timed.schema["timestamp"].metadata
+    fanned = timed.select(_report_rows(reports, keys, types, ends)).select(
+        "row.key.*", F.col("row.window_end").alias("window_end", metadata=mark)
+    )
+    counts = fanned.groupBy("report", "window_end", *keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.select("report", _line_of(reports).alias("value"))
 
 
@@ -118,25 +145,14 @@ def all_report_lines(logs: DataFrame, reports: Sequence[Report] = REPORTS) -> Da
     parsed and shuffled once however many reports there are; what is fanned out are counts.
     """
     if logs.isStreaming:
-        raise ValueError("a stream has one query per window length; use duration_lines")
-    durations = durations_of(reports)
+        raise ValueError("a stream counts once for all reports; use stream_lines")
     keys = list(dict.fromkeys(key for report in reports for key in report.keys))
-    ends = {duration: f"window_end_{i}" for i, duration in enumerate(durations)}
     types = dict(logs.select(*keys).dtypes)
-
-    for duration, end in ends.items():
-        logs = logs.withColumn(end, F.window("timestamp", duration)["end"])
+    logs, ends = _window_ends(logs, durations_of(reports))
     counts = logs.groupBy(*ends.values(), *keys).agg(F.count(F.lit(1)).alias("n"))
 
-    rows = [
-        F.struct(
-            _report_key(report, keys, types).alias("key"),
-            F.col(ends[report.duration]).alias("window_end"),
-        )
-        for report in reports
-    ]
     return (
-        counts.select(F.explode(F.array(*rows)).alias("row"), "n")
+        counts.select(_report_rows(reports, keys, types, ends), "n")
         .groupBy("row.key.report", "row.window_end", *(f"row.key.{key}" for key in keys))
         .agg(F.sum("n").alias("n"))
         .select("report", _line_of(reports).alias("value"))

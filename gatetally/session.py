@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 SETTINGS = {
     # Small shuffle partitions are merged and uneven ones split while a batch query runs.
     "spark.sql.adaptive.enabled": "true",
@@ -15,7 +17,7 @@ SETTINGS = {
     # Report queries of one session share the executors evenly.
     "spark.scheduler.mode": "FAIR",
     # Window state is kept on executor disk, not on the heap, and saved as changes.
-    "spark.sql.streaming.stateStore.providerClass": (
+    STATE_STORE: (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

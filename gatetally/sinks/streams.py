@@ -31,12 +31,18 @@ def start_text(
     trigger: Trigger = CONTINUOUS,
     name: str | None = None,
     by: Sequence[str] = (),
+    retention: str | None = None,
 ) -> StreamingQuery:
     """Append lines as text files to the directory ``path``, each exactly once.
 
-    Columns named in ``by`` go into the names of directories below it, ``<column>=<value>``.
+    Columns named in ``by`` go into the names of directories below it, ``<column>=<value>``. The sink
+    keeps an account of its files in ``path``. With ``retention``, files of batches that are older leave
+    it, so that it stops growing: they stay where they are, but a read of ``path`` as a whole no longer
+    finds them.
     """
     writer = _writer(lines, checkpoint, trigger, name).format("text")
+    if retention is not None:
+        writer = writer.option("retention", retention)
     return (writer.partitionBy(*by) if by else writer).start(path)
 
 

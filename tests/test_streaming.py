@@ -19,7 +19,6 @@ from gatetally.sources import lines_from, read_lines
 from gatetally.streaming import (
     await_all,
     count_late_rows,
-    query_name,
     run_stream,
     start_reports,
 )
@@ -59,7 +58,7 @@ def read_logs(spark, folder, **options):
 
 def report_folder(output, name):
     """Where the streaming job writes a report."""
-    return f"{output}/{query_name(report_named(name).duration)}/report={name}"
+    return f"{output}/report={name}"
 
 
 def written_report(spark, output, name):
@@ -224,8 +223,8 @@ def test_job(spark, folder):
     )
 
 
-@pytest.mark.parametrize("old", ["records", "parse", "countOfAPIPerMinute"])
-def test_checkpoints_of_a_query_per_report_are_refused(spark, folder, old):
+@pytest.mark.parametrize("old", ["records", "parse", "countOfAPIPerMinute", "1-minute", "5-minutes"])
+def test_checkpoints_of_several_queries_are_refused(spark, folder, old):
     add_file(f"{folder}/in", 0, FIVE_MINUTES)
     os.makedirs(f"{folder}/c/{old}")
     with pytest.raises(ValueError, match="other queries"):
@@ -236,13 +235,11 @@ def test_checkpoints_of_a_query_per_report_are_refused(spark, folder, old):
 def test_job_keeps_reading(spark, folder):
     os.makedirs(f"{folder}/in")
     logs = read_logs(spark, f"{folder}/in")
-    queries = start_reports(logs, f"{folder}/out", f"{folder}/c", trigger=CONTINUOUS)
-    assert [query.name for query in queries] == ["1-minute", "5-minutes"]
+    query = start_reports(logs, f"{folder}/out", f"{folder}/c", trigger=CONTINUOUS)
     try:
         for number, lines in enumerate((PER_MINUTE, [line("17:31:00")])):
             add_file(f"{folder}/in", number, lines)
-            for query in queries:
-                query.processAllAvailable()
+            query.processAllAvailable()
         assert written_report(spark, f"{folder}/out", "countOfAPIPerMinute") == [
             report(SERVICE, 1520900820000, 2),
             report(SERVICE, 1520901000000, 2),
@@ -251,8 +248,7 @@ def test_job_keeps_reading(spark, folder):
             report(SERVICE, 1520901000000, 4)
         ]
     finally:
-        for query in queries:
-            query.stop()
+        query.stop()
 
 
 def test_job_with_late_records(spark, folder):
@@ -272,6 +268,69 @@ def test_job_with_late_records(spark, folder):
     ]
 
 
+def test_all_reports_are_one_query(spark, folder):
+    """One source, one scan, one watermark and one state; the state has a row per open window and key."""
+    add_file(f"{folder}/in", 0, FIVE_MINUTES)
+    query = start_reports(read_logs(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/c", trigger=AVAILABLE_NOW)
+    query.awaitTermination()
+    assert os.listdir(f"{folder}/c") == ["reports"]
+    first, last = query.recentProgress[0], query.recentProgress[-1]
+    assert len(first["sources"]) == len(first["stateOperators"]) == 1
+    assert first["numInputRows"] == len(FIVE_MINUTES)
+    assert last["eventTime"]["watermark"] == "2018-03-13T00:42:58.500Z"
+    done = sum(len(written_report(spark, f"{folder}/out", r.name)) for r in REPORTS)
+    whole = sum(
+        report_lines(parse_gateway_logs(lines_from(spark, FIVE_MINUTES)), r).count() for r in REPORTS
+    )
+    assert last["stateOperators"][0]["numRowsTotal"] == whole - done > 0
+
+
+def files_under(folder):
+    return sorted(f"{where}/{name}" for where, _, names in os.walk(folder) for name in names)
+
+
+def test_neither_input_nor_account_grow(spark, folder):
+    """Many batches, with a restart: files move away when read, and the sink forgets old ones."""
+    where = (f"{folder}/in", f"{folder}/out", f"{folder}/c")
+    options = {"trigger": AVAILABLE_NOW, "maxFilesPerTrigger": 1, "archive": f"{folder}/read", "retention": "1s"}
+    settings = {
+        f"spark.sql.streaming.{name}": value
+        for name, value in {
+            "fileSink.log.compactInterval": 3, "fileSink.log.cleanupDelay": 1, "minBatchesToRetain": 2,
+            "fileSource.log.compactInterval": 3, "fileSource.log.cleanupDelay": 1,
+        }.items()
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for run in range(2):
+            for number in range(run * 12, run * 12 + 12):
+                add_file(f"{folder}/in", number, [line(f"17:{10 + number}:00"), line(f"17:{10 + number}:01")])
+            run_stream(spark, *where, **options)
+            time.sleep(1.1)
+        # One more batch, by which what came before is done and old.
+        add_file(f"{folder}/in", 24, [line("17:59:00")])
+        run_stream(spark, *where, **options)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    # The last batches' files may still be there: they move when a later batch is done.
+    left, moved = files_under(f"{folder}/in"), files_under(f"{folder}/read")
+    assert len(left) <= 3 and len(left) + len(moved) == 25
+    minutes = written_report(spark, f"{folder}/out", "countOfAPIPerMinute")
+    ends = [1520900820000 + 60000 * (i - 16) for i in range(24)]
+    assert minutes == sorted(report(SERVICE, end, 2) for end in ends)
+    # 24 windows of a minute and 4 of five have been written for two reports each.
+    log = f"{folder}/out/_spark_metadata"
+    entries = {name: sum(text.startswith("{") for text in open(f"{log}/{name}")) for name in os.listdir(log) if name[0] != "."}
+    assert sum(entries.values()) < 40 and len(entries) <= 8
+
+
+def test_archive_takes_a_single_reader(spark, folder):
+    with pytest.raises(ValueError, match="two queries read"):
+        run_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/c", quarantine=f"{folder}/q", archive=f"{folder}/a")
+
+
 def test_year_of_five_digits_closes_no_window(spark, folder):
     bad = line("17:26:04").replace("2018-", "+12018-", 1)
     for number, lines in enumerate([[line("17:26:04")], [bad], [line("17:26:05"), line("17:40:00")]]):
@@ -288,8 +347,8 @@ def test_number_of_output_files(spark, folder):
     add_file(f"{folder}/in", 0, lines)
     logs = read_logs(spark, f"{folder}/in")
     which = [PER_MINUTE_REPORT]
-    await_all(start_reports(logs, f"{folder}/many", f"{folder}/c1", which, AVAILABLE_NOW))
-    await_all(start_reports(logs, f"{folder}/one", f"{folder}/c2", which, AVAILABLE_NOW, files=1))
+    start_reports(logs, f"{folder}/many", f"{folder}/c1", which, AVAILABLE_NOW).awaitTermination()
+    start_reports(logs, f"{folder}/one", f"{folder}/c2", which, AVAILABLE_NOW, files=1).awaitTermination()
     many, one = (report_folder(f"{folder}/{name}", which[0].name) for name in ("many", "one"))
     assert written(spark, many) == written(spark, one)
     assert len(written(spark, one)) == 40
@@ -332,7 +391,10 @@ def test_job_goes_on_after_a_malformed_line(spark, folder):
 
     # Without the place again: malformed lines fail the job, and none is lost when it is back.
     add_file(f"{folder}/in", 2, ["other,line", line("17:40:00")])
-    with pytest.raises(StreamingQueryException, match="Malformed gateway log line"):
+    with (
+        pytest.raises(StreamingQueryException, match="Malformed gateway log line"),
+        pytest.warns(UserWarning, match="set apart before"),
+    ):
         run_stream(spark, *where, **options)
     run_stream(spark, *where, quarantine=f"{folder}/bad", **options)
     assert written(spark, f"{folder}/bad") == ["other,line", "short,line"]
@@ -372,7 +434,7 @@ def test_own_sink(spark, folder):
 def test_joint_reports_are_for_static_frames(spark, folder):
     from gatetally.plans import all_report_lines
 
-    with pytest.raises(ValueError, match="one query per window length"):
+    with pytest.raises(ValueError, match="stream_lines"):
         all_report_lines(read_logs(spark, folder))
 
 
