@@ -1,23 +1,25 @@
 """Exact duplicates by two-pass Bloom filtering.
 
-Pass one enters each text's hash into a blocked Bloom filter and keeps the bits that were entered more
-than once. Pass two tests every row against those bits. A row with a bit that isn't among them has no
-equal and goes straight through; only the others, which possibly repeat, are shuffled by their digest
-and grouped exactly. False positives cost a shuffled row and never change a result.
+Pass one enters each text's 64-bit hash and makes a blocked Bloom filter of those entered more than once. Its
+size is bounded, so it always goes to the rows and they never to it. Pass two tests every row. A row that has a
+bit outside the filter has no equal and goes straight through; only the others, which possibly repeat, are
+set apart, shuffled by their digest and grouped exactly. False positives cost a shuffled row and never change
+a result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from gatetally.llm.common import text_or_empty, written
 
-#: Bits of the filter per row. It is blocked: all bits of a hash lie in one 64-bit word.
-BITS_PER_ROW = 32
+#: Bits of the filter per row, and of a block of it; all bits of a hash lie in one block.
+BITS_PER_ROW, BLOCK_BITS = 32, 15
 BITS_PER_HASH = 3
-#: At most this many filter words (16 bytes each) are broadcast; beyond it they are joined by word.
-BROADCAST_WORDS = 1_000_000
+#: At most so many blocks of 4 KB: 32 MB are broadcast, however many rows there are.
+BLOCKS = 1 << 13
 #: A group is large if it holds more than this share of all rows, so there are at most 1000 of them.
 LARGE_GROUP = 1 / 1000
 
@@ -29,95 +31,88 @@ def normalised(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def _mask(hashed: Column) -> Column:
-    mask = F.lit(0).cast("bigint")
-    for i in range(BITS_PER_HASH):
-        bit = F.shiftrightunsigned(hashed, 40 + 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
-    return mask
+def _places(hashed: Column) -> list[Column]:
+    """The bits of a hash in its block."""
+    low = F.lit((1 << BLOCK_BITS) - 1)
+    return [F.shiftrightunsigned(hashed, BLOCK_BITS * i).bitwiseAND(low) for i in range(BITS_PER_HASH)]
 
 
-def repeated_bits(hashes: DataFrame, words: int) -> DataFrame:
-    """word, bits: the filter's bits that more than one row of ``hashes`` (column ``hash``) entered.
+def _block(hashed: Column, blocks: int) -> Column:
+    """A hash's block, from bits that its places don't take."""
+    return F.shiftrightunsigned(hashed, BLOCK_BITS * BITS_PER_HASH).bitwiseAND(F.lit(blocks - 1))
 
-    Rows are counted by word and bits before they are shuffled, so copies of one text cost little.
+
+def blocks_for(rows: int) -> int:
+    return min(BLOCKS, 1 << max(0, (rows * BITS_PER_ROW >> BLOCK_BITS).bit_length()))
+
+
+def repeated_filter(hashes: DataFrame, blocks: int) -> DataFrame:
+    """block, bits: the filter of the hashes (column ``hash``) that are there more than once.
+
+    What is shuffled is a hash and a count per text of a partition. Spark's bitmaps are or-ed before they
+    are shuffled and behind it.
     """
-    word = F.col("hash").bitwiseAND(F.lit(words - 1))
-    entered = hashes.select(word.alias("word"), _mask(F.col("hash")).alias("mask"))
-    entered = entered.groupBy("word", "mask").agg(F.count("*").alias("n"))
-    return entered.filter("n > 1").groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    places = F.explode(F.array(*_places(F.col("hash")))).alias("place")
+    entered = repeated.select(_block(F.col("hash"), blocks).alias("block"), places)
+    return entered.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
+
+
+def possibly_repeated(hashed: Column, bits: Column) -> Column:
+    """Whether all bits of a hash are in its block; not so where there is no block."""
+    is_in = F.lit(True)
+    for place in _places(hashed):
+        byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10)
+        of_byte = F.call_function("shiftright", byte.cast("int"), place.bitwiseAND(F.lit(7)).cast("int"))
+        is_in = is_in & (of_byte.bitwiseAND(F.lit(1)) == 1)
+    return F.coalesce(is_in, F.lit(False))
+
+
+def _content(docs: DataFrame) -> Column:
+    """A hash of a row's columns, by which rows of one id and text are told apart."""
+    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
+    return F.xxhash64(*(F.col("row")[c] for c in plain)) if plain else F.lit(0).cast("bigint")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of equal texts the row with the largest id is kept. A null text equals an empty one. Null ids are
-    smaller than all others. Of rows that repeat both text and id one is kept. An empty table gives an
+    smaller than all others. Of rows that repeat both text and id one is kept, by a hash of its columns (maps
+    aside), so reruns agree on its content. Texts of any length are hashed whole. An empty table gives an
     empty result. Columns of ``docs`` named like the four are replaced; others may have any names.
+
+    ``docs`` is read three times: for the hashes, for the rows that possibly repeat, and for those that go
+    straight through; no operator of Spark's has two outputs. Each text's SHA-256 is worked out once.
     """
     added = ("keep_id", "group_size", "kept", "text_sha256")
     docs = docs.drop(*(c for c in added if c not in (id_col, text_col)))
-    digest = F.sha2(normalised(text_or_empty(text_col)), 256)
-    hashes = docs.select(F.col(id_col).alias("id"), digest.alias("digest"))
-    hashes = written(hashes.select("id", "digest", F.xxhash64("digest").alias("hash")), "dedup_hashes")
-    rows = hashes.count()
-    words = 1 << max(6, (rows * BITS_PER_ROW // 64).bit_length())
-
-    filter_words = written(repeated_bits(hashes, words), "dedup_filter")
-    if filter_words.count() <= BROADCAST_WORDS:
-        filter_words = F.broadcast(filter_words)
-
-    def possibly_repeated(df: DataFrame) -> DataFrame:
-        """Rows of ``df`` (column ``hash``) with ``repeats``, by the filter."""
-        found = df.withColumn("word", F.col("hash").bitwiseAND(F.lit(words - 1)))
-        found = found.join(filter_words, "word", "left")
-        mask = _mask(F.col("hash"))
-        repeats = F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))
-        return found.withColumn("repeats", repeats).drop("word", "bits")
-
-    by_id = possibly_repeated(hashes).filter("repeats").groupBy("digest", "id")
-    groups = (
-        by_id.agg(F.count("*").alias("n"))
-        .groupBy("digest")
-        .agg(
-            F.max("id").alias("keep_id"),
-            F.sum("n").alias("group_size"),
-            F.coalesce(F.max_by("n", "id"), F.sum("n")).alias("keepers"),
-        )
-        .filter("group_size > 1")
+    # Other columns travel in one struct, so that none of their names can clash.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    whole = docs.select(row, F.col(id_col).alias("id"), normalised(text_or_empty(text_col)).alias("text"))
+    hashed = whole.withColumn("hash", F.xxhash64("text"))
+    rows = docs.count()
+    blocks = blocks_for(rows)
+    found = F.broadcast(written(repeated_filter(hashed, blocks), "dedup_filter"))
+    tested = hashed.withColumn("block", _block(F.col("hash"), blocks)).join(found, "block", "left")
+    repeats = possibly_repeated(F.col("hash"), F.col("bits"))
+    digest = F.sha2("text", 256).alias("digest")
+
+    straight = tested.filter(~repeats).select(
+        "row", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), digest
     )
+    possible = tested.filter(repeats).select("row", "id", digest, F.monotonically_increasing_id().alias("nr"))
+    possible = written(possible, "dedup_possible")
+    order = F.struct(F.col("id").isNotNull().alias("has"), "id", _content(docs).alias("content"), "nr")
+    groups = possible.groupBy("digest").agg(F.max(order).alias("best"), F.count("*").alias("group_size"))
+    groups = groups.select("digest", F.col("best.id").alias("keep_id"), F.col("best.nr").alias("best_nr"), "group_size")
     groups = written(groups, "dedup_groups")
-    large = F.col("group_size") > F.lit(max(1.0, rows * LARGE_GROUP))
-
-    # Other columns travel in one struct, so that none of their names can clash.
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    whole = whole.withColumn("id", F.col("row")[id_col])
-    whole = whole.withColumn("digest", F.sha2(normalised(F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))), 256))
-    tested = possibly_repeated(whole.withColumn("hash", F.xxhash64("digest"))).drop("hash")
-
-    straight = tested.filter("not repeats").select(
-        "row", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
-        F.lit(True).alias("kept"), "digest",
-    )
     # Rows of large groups meet their few group rows by broadcast, so that no task gets such a group.
-    possible = tested.filter("repeats")
-    in_large = F.broadcast(groups.filter(large).withColumn("large", F.lit(True)))
-    possible = possible.join(in_large, "digest", "left")
-    of_large = possible.filter("large")
-    others = possible.filter("large is null").drop("large", "keep_id", "group_size", "keepers")
-    others = others.join(groups.filter(~large), "digest", "left").withColumn("large", F.lit(False))
-    matched = of_large.unionByName(others)
-    matched = matched.select(
-        "row", "id", "digest", F.coalesce("keep_id", F.when(F.col("group_size").isNull(), F.col("id"))).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        F.coalesce("keepers", F.lit(1).cast("bigint")).alias("keepers"),
-    )
-    is_keeper = F.col("id").eqNullSafe(F.col("keep_id"))
-    clear = matched.filter(~is_keeper | (F.col("keepers") == 1)).withColumn("kept", is_keeper)
-    # Rows that repeat the kept row's id as well: the first of them stays.
-    tied = matched.filter(is_keeper & (F.col("keepers") > 1))
-    first = Window.partitionBy("digest").orderBy(F.lit(0))
-    tied = tied.withColumn("kept", F.row_number().over(first) == 1)
-    columns = ("row", "keep_id", "group_size", "kept", "digest")
-    result = straight.unionAll(clear.select(*columns)).unionAll(tied.select(*columns))
+    large = F.col("group_size") > F.lit(max(1.0, rows * LARGE_GROUP))
+    in_large = F.broadcast(groups.filter(large))
+    columns = ("row", "keep_id", "group_size", (F.col("nr") == F.col("best_nr")).alias("kept"), "digest")
+    of_large = possible.join(in_large, "digest").select(*columns)
+    others = possible.join(in_large.select("digest"), "digest", "left_anti")
+    others = others.join(groups.filter(~large), "digest").select(*columns)
+    result = straight.unionAll(of_large).unionAll(others)
     return result.select("row.*", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cases import ROWS, awkward, empty
 from gatetally.llm import exact_dedup as module
-from gatetally.llm.exact_dedup import exact_dedup, repeated_bits
+from gatetally.llm.exact_dedup import blocks_for, exact_dedup, possibly_repeated, repeated_filter
 
 
 def lowered(text):
@@ -56,10 +56,10 @@ def test_empty_table(spark):
     assert exact_dedup(empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
-def test_many_rows_with_a_large_group(spark, monkeypatch, broadcast):
-    """A third of the rows under one text; the filter broadcast and joined."""
-    monkeypatch.setattr(module, "BROADCAST_WORDS", broadcast)
+@pytest.mark.parametrize("blocks", [1, 2**13])
+def test_many_rows_with_a_large_group(spark, monkeypatch, blocks):
+    """A third of the rows under one text; also with a filter of the least size."""
+    monkeypatch.setattr(module, "BLOCKS", blocks)
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"),
         F.when(F.col("id") % 3 == 0, "Same").otherwise(F.concat(F.lit("t"), (F.col("id") % 1500).cast("string"))).alias("text"),
@@ -72,13 +72,43 @@ def test_many_rows_with_a_large_group(spark, monkeypatch, broadcast):
         assert row.kept == (row.doc_id == row.keep_id)
 
 
-def test_filter_misses_no_repeat(spark):
+@pytest.mark.parametrize("blocks", [1, 8])
+def test_filter_misses_no_repeat(spark, blocks):
     hashes = spark.range(4000).select((F.xxhash64(F.col("id") % 3000)).alias("hash"))
-    bits = repeated_bits(hashes, 4096)
-    mask = module._mask(F.col("hash"))
-    word = F.col("hash").bitwiseAND(F.lit(4095))
-    tested = hashes.withColumn("word", word).join(bits, "word", "left")
-    tested = tested.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False)))
+    found = repeated_filter(hashes, blocks)
+    tested = hashes.withColumn("block", module._block(F.col("hash"), blocks)).join(found, "block", "left")
+    tested = tested.withColumn("maybe", possibly_repeated(F.col("hash"), F.col("bits")))
     counts = tested.groupBy("hash").agg(F.count("*").alias("n"), F.min("maybe").alias("maybe"))
     assert counts.filter("n > 1 and not maybe").count() == 0
-    assert counts.filter("n = 1 and maybe").count() < 200
+    assert counts.filter("n = 1 and maybe").count() < 40
+
+
+def test_filter_is_bounded():
+    assert [blocks_for(n) for n in (0, 1, 10_000, 10**12)] == [1, 1, 16, 2**13]
+
+
+def test_rows_that_pass_are_not_shuffled(spark):
+    """Two reads of the table in the result; what is shuffled there are rows set apart, and their groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert sum("documents.parquet" in line for line in scans) == 1  # the other rows are in a table by now
+    straight = plan[: plan.index("dedup_possible")]
+    assert "documents.parquet" in straight and "Exchange hashpartitioning" not in straight
+    assert "Window" not in plan and "Python" not in plan
+
+
+def test_of_repeated_rows_the_content_decides(spark):
+    rows = [(7, "Same", "b"), (7, "same", "a"), (7, "SAME", "c"), (None, "x", "1"), (None, "X", "2")]
+    kept = []
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, other string")
+        kept.append(sorted((r.text, r.other) for r in exact_dedup(frame).collect() if r.kept))
+    assert kept[0] == kept[1] and len(kept[0]) == 2
+
+
+def test_text_ids_and_maps(spark):
+    frame = spark.createDataFrame([("a", "x", {"k": 1}), ("b", "X", {"k": 2}), ("b", "y", {})], "doc_id string, text string, m map<string, int>")
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup(frame).collect()) == [
+        ("a", "b", False), ("b", "b", True), ("b", "b", True),
+    ]
