@@ -14,6 +14,7 @@ Hashes that meet, there or in the counts, only make more candidates; the last co
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import text_or_empty, written
-from gatetally.llm.hashfilter import HashFilter, Sizes, bucketed, filter_of
+from gatetally.llm.hashfilter import GATHERED, Gathered, HashFilter, Sizes, bucketed, filter_of
 from gatetally.llm.scan import blocks, texts_of
 from gatetally.llm.wordhash import byte_table, joined_bytes, mixed, run_hashes, word_hashes, word_spans
 
@@ -37,7 +38,7 @@ SHARDS = 4
 #: Bytes of text for each bit of a level's filter, up to the filter's bound.
 BYTES_PER_BIT = 16
 #: Code points that are worked on at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Up to so many pairs of shard and language are broadcast with their supports.
 BROADCAST_SUPPORTS = 100_000
 
@@ -100,28 +101,34 @@ def _blocks_by_group(batches: Iterator[pa.RecordBatch], by_shard: bool) -> Itera
 
 
 def _local_hashes(lengths: range, filters: list[HashFilter], support: int, sizes: Sizes) -> Callable:
-    """Hashes of possible phrases by bucket, a block's; with words, their number under a null bucket."""
+    """Hashes of possible phrases by shard, language and bucket; with words, their number under a null bucket."""
+
+    def rows(gathered: Gathered, least: int) -> Iterator[pa.RecordBatch]:
+        for (shard, lang), hashes in gathered.taken(least):
+            buckets, rests = bucketed(hashes, support, sizes)
+            yield _row_batch(shard, lang, buckets, rests, pa.nulls(len(buckets), pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, n_words = Gathered(), Counter()
         for shard, lang, texts in _blocks_by_group(batches, True):
             pieces = _Pieces(lang, texts)
             for length in lengths:
                 hashes = pieces.hashes(pieces.possible(length, filters), length)
-                buckets, rests = bucketed(hashes, support, sizes)
-                n = pa.nulls(len(buckets), pa.int64())
-                if length == 1:
-                    buckets = pa.concat_arrays([buckets, pa.nulls(1, pa.int64())])
-                    rests = pa.concat_arrays([rests, pa.nulls(1, pa.binary())])
-                    n = pa.concat_arrays([n, pa.array([len(hashes)], pa.int64())])
-                size = len(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(shard, pa.int32()), size), pa.repeat(pa.scalar(lang, pa.string()), size), buckets, rests, n],
-                    ["shard", "lang", "bucket", "hashes", "n"],
-                )
+                gathered.add((shard, lang), hashes)
+                n_words[shard, lang] += len(hashes) if length == 1 else 0
+            yield from rows(gathered, GATHERED)
+        yield from rows(gathered, 1)
+        for (shard, lang), n in n_words.items():
+            yield _row_batch(shard, lang, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([n], pa.int64()))
 
     return run
 
 
+def _row_batch(shard: int, lang: str, buckets: pa.Array, hashes: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    shards, langs = pa.repeat(pa.scalar(shard, pa.int64()), len(n)), pa.repeat(pa.scalar(lang, pa.string()), len(n))
+    return pa.RecordBatch.from_arrays([shards, langs, buckets, hashes, n], ["shard", "lang", "bucket", "hashes", "n"])
+
+
 def _phrase_counts(longest: int, filters: list[HashFilter]) -> Callable:
     """Occurrences in a block of every candidate: words joined by one space.
 
@@ -171,14 +178,14 @@ def phrase_counts(
     """
     text = text_or_empty(text_col)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
-    shard = F.pmod(F.xxhash64(text), F.lit(SHARDS)).cast("int")
+    shard = F.pmod(F.xxhash64(text), F.lit(SHARDS))
     texts = docs.select(shard.alias("shard"), lang.alias("lang"), text.alias("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     sizes = Sizes(n_bytes, BYTES_PER_BIT)
 
     def local(lengths: range, filters: list[HashFilter]) -> DataFrame:
         run = _local_hashes(lengths, filters, support, sizes)
-        return texts.mapInArrow(run, "shard int, lang string, bucket long, hashes binary, n long")
+        return texts.mapInArrow(run, "shard long, lang string, bucket long, hashes binary, n long")
 
     words = written(local(range(1, 2), []), "collocation_words")
     of_shard = words.filter("n > 0").groupBy("shard", "lang").agg(F.sum("n").alias("words"))
@@ -195,7 +202,7 @@ def phrase_counts(
         if lengths:
             hashes = words if lengths[0] == 1 else local(lengths, filters)
             hashes = hashes.filter("bucket is not null").join(needs, ["shard", "lang"])
-            filters.append(filter_of(hashes.select("bucket", "shard", "need", "hashes"), sizes, by=("shard",)))
+            filters.append(filter_of(hashes.select("bucket", "shard", "need", "hashes"), sizes))
 
     exact = texts.mapInArrow(_phrase_counts(longest, filters), "lang string, length int, phrase string, n long")
     exact = exact.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support)

@@ -7,7 +7,7 @@ enough is always in the filter; others are in it now and then, the more, the mor
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from gatetally.llm.wordhash import has_bit, packed
 
 #: Bytes of text whose hashes meet in one bucket; there are more buckets for more text.
-BUCKET_BYTES = 1 << 22
+BUCKET_BYTES = 1 << 24
 #: log2 of the least and most buckets, and of the least and most bits of a filter: 32 MB at most.
 BUCKETS, BITS = (6, 24), (20, 28)
 #: Bytes of a hash that are sent to its bucket.
 _REST = 3
+#: Hashes that a task gathers before it deals them out.
+GATHERED = 1 << 21
 
 
 class Sizes:
@@ -42,6 +44,25 @@ class HashFilter:
         return has_bit(self.bits.value, hashes >> np.uint64(64 - self.log_bits))
 
 
+class Gathered:
+    """Hashes by group, gathered over the blocks of a task, so that what is sent is few rows."""
+
+    def __init__(self) -> None:
+        self.groups: dict = {}
+        self.size = 0
+
+    def add(self, group, hashes: np.ndarray) -> None:
+        self.groups.setdefault(group, []).append(hashes)
+        self.size += len(hashes)
+
+    def taken(self, least: int = GATHERED) -> Iterator[tuple[object, np.ndarray]]:
+        """Group and hashes of all there is, once it is ``least`` or more."""
+        if self.size >= least:
+            groups, self.groups, self.size = self.groups, {}, 0
+            for group, parts in groups.items():
+                yield group, np.concatenate(parts)
+
+
 def bucketed(hashes: np.ndarray, most: int, sizes: Sizes) -> tuple[pa.Array, pa.Array]:
     """Buckets, and the rests of the hashes in each, in order; each at most ``most`` times."""
     found, n = np.unique(hashes, return_counts=True)
@@ -56,13 +77,13 @@ def bucketed(hashes: np.ndarray, most: int, sizes: Sizes) -> tuple[pa.Array, pa.
 
 
 def _frequent_bits(sizes: Sizes) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's part of the filter: the bits of the hashes that reach the need of their rows."""
+    """A bucket's part of the filter: the bits of the hashes that reach the need of their rows in a shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        needs = table.column("need").to_numpy()
+        shards, needs = table.column("shard").to_numpy(), table.column("need").to_numpy()
         places = []
-        for need in np.unique(needs):
-            own = table.column("hashes").filter(pa.array(needs == need))
+        for shard, need in {*zip(shards.tolist(), needs.tolist(), strict=True)}:
+            own = table.column("hashes").filter(pa.array((shards == shard) & (needs == need)))
             rests = np.frombuffer(b"".join(own.to_pylist()), np.uint8).reshape(-1, _REST)
             values = np.zeros((len(rests), 4), np.uint8)
             values[:, :_REST] = rests
@@ -77,15 +98,15 @@ def _frequent_bits(sizes: Sizes) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def filter_of(hashes: DataFrame, sizes: Sizes, by: tuple[str, ...] = ()) -> HashFilter:
-    """The filter of a table (bucket, need, hashes): of the hashes that are there ``need`` times or more.
+def filter_of(hashes: DataFrame, sizes: Sizes) -> HashFilter:
+    """The filter of a table (bucket, shard, need, hashes): of the hashes that a shard has ``need`` times.
 
-    Rows that differ in the columns ``by`` are counted apart. Need is 1 or more.
+    Need is 1 or more.
     """
-    parts = hashes.groupBy("bucket", *by).applyInArrow(_frequent_bits(sizes), "bucket long, bits binary")
+    parts = hashes.groupBy("bucket").applyInArrow(_frequent_bits(sizes), "bucket long, bits binary")
     # The bits are bounded, whatever the size of the table.
     whole = np.zeros((1 << sizes.buckets, (1 << (sizes.bits - sizes.buckets)) // 8), np.uint8)
     for batch in parts.toArrow().to_batches():
         for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            whole[bucket] |= np.frombuffer(part.as_buffer(), np.uint8)
+            whole[bucket] = np.frombuffer(part.as_buffer(), np.uint8)
     return HashFilter(hashes.sparkSession.sparkContext.broadcast(whole.reshape(-1)), sizes.bits)

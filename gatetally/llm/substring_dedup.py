@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import text_or_empty, written
-from gatetally.llm.hashfilter import HashFilter, Sizes, bucketed, filter_of
+from gatetally.llm.hashfilter import GATHERED, Gathered, HashFilter, Sizes, bucketed, filter_of
 from gatetally.llm.scan import blocks, texts_of
 from gatetally.llm.wordhash import joined_bytes, run_hashes, word_hashes, word_spans
 
@@ -81,21 +81,27 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[st
 
 
 def _hashes_by_bucket(lengths: list[int], filters: list[HashFilter], sizes: Sizes) -> Callable:
-    """Hashes of candidate windows by bucket; one that a block has twice is there twice."""
+    """Hashes of candidate windows by bucket; one that is gathered twice or more is there twice."""
+
+    def rows(gathered: Gathered, least: int) -> Iterator[pa.RecordBatch]:
+        for _, hashes in gathered.taken(least):
+            buckets, rests = bucketed(hashes, 2, sizes)
+            shards, needs = (pa.repeat(pa.scalar(n), len(buckets)) for n in (0, 2))
+            yield pa.RecordBatch.from_arrays([buckets, shards, needs, rests], ["bucket", "shard", "need", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = Gathered()
         for _, _, words in _words_of(batches):
-            at = words.candidates(lengths, filters)
-            buckets, hashes = bucketed(run_hashes(words.words, at, lengths[-1]), 2, sizes)
-            needs = pa.repeat(pa.scalar(2), len(buckets))
-            yield pa.RecordBatch.from_arrays([buckets, needs, hashes], ["bucket", "need", "hashes"])
+            gathered.add(None, run_hashes(words.words, words.candidates(lengths, filters), lengths[-1]))
+            yield from rows(gathered, GATHERED)
+        yield from rows(gathered, 1)
 
     return run
 
 
 def _level(texts: DataFrame, lengths: list[int], filters: list[HashFilter], sizes: Sizes) -> HashFilter:
     """The filter over the hashes of windows of the last length that occur more than once."""
-    shape = "bucket long, need long, hashes binary"
+    shape = "bucket long, shard long, need long, hashes binary"
     return filter_of(texts.mapInArrow(_hashes_by_bucket(lengths, filters, sizes), shape), sizes)
 
 

@@ -101,8 +101,8 @@ def test_filter_has_what_is_frequent(spark):
         for need, own in ((1, hashes[:1000]), (2, hashes[1000:2000]), (3, hashes[2000:])):
             for part in (own, own[:500], own[:100]):
                 buckets, rests = bucketed(part, 9, sizes)
-                rows += zip(buckets.to_pylist(), [need] * len(buckets), rests.to_pylist(), strict=True)
-        made = filter_of(spark.createDataFrame(rows, "bucket long, need long, hashes binary"), sizes)
+                rows += zip(buckets.to_pylist(), [need % 2] * len(buckets), [need] * len(buckets), rests.to_pylist(), strict=True)
+        made = filter_of(spark.createDataFrame(rows, "bucket long, shard long, need long, hashes binary"), sizes)
         frequent = np.concatenate((hashes[:1000], hashes[1000:1500], hashes[2000:2100]))
         assert made.has(frequent).all()
         assert made.has(hashes[1500:2000]).mean() < 0.01 and made.has(hashes[2100:]).mean() < 0.01
