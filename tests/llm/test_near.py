@@ -135,18 +135,15 @@ def test_components_equal_brute_force(spark):
 
 
 def brute_edits(rows):
-    """doc_id -> (n_chars, edited text, next text)."""
-    own = {}
-    for doc_id, text in rows:
-        text = text or ""
-        own[doc_id] = min(own.get(doc_id, text), text)
-    order = sorted(own, reverse=True)
-    edits = {}
-    for i, doc_id in enumerate(order):
-        text, after = own[doc_id], own[order[(i + 1) % len(order)]]
+    """(id, n_chars, edited text, own text, next text) of each row."""
+    key = lambda row: (row[0] is not None, 0 if row[0] is None else row[0], hashlib.sha256((row[1] or "").encode()).hexdigest())
+    order = [(i, text or "") for i, text in sorted(rows, key=key, reverse=True)]
+    edits = []
+    for k, (doc_id, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
         m = len(text) // 3
-        edits[doc_id] = (len(text), text[: len(text) - m] + after[:m], after)
-    return own, edits
+        edits.append((doc_id, len(text), text[: len(text) - m] + after[:m], text, after))
+    return edits
 
 
 def jaccard(a, b):
@@ -161,16 +158,18 @@ def test_fingerprints(spark, which):
     else:
         docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 400")
         rows = [(r.doc_id, r.text) for r in docs.collect()]
-    (own, edits), got = brute_edits(rows), fingerprints(docs).collect()
-    assert sorted(r.doc_id for r in got) == sorted(own)
+    edits, got = brute_edits(rows), fingerprints(docs).collect()
+    told = lambda doc_id, n, sha: (doc_id is not None, doc_id, n, sha)
+    got.sort(key=lambda r: told(r.doc_id, r.n_chars, r.edited_sha256))
+    edits.sort(key=lambda e: told(*e[:2], hashlib.sha256(e[2].encode()).hexdigest()))
+    assert len(got) == len(edits)
     errors, by_text = [], {}
-    for r in got:
-        n_chars, edited, after = edits[r.doc_id]
-        assert r.n_chars == n_chars
+    for r, (doc_id, n_chars, edited, own, after) in zip(got, edits, strict=True):
+        assert (r.doc_id, r.n_chars) == (doc_id, n_chars)
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         for near, other in ((r.near_edited, edited), (r.near_next, after)):
-            errors.append(near - jaccard(own[r.doc_id], other))
-        for text, print_ in ((own[r.doc_id], r.fingerprint), (edited, r.edited_fingerprint)):
+            errors.append(near - jaccard(own, other))
+        for text, print_ in ((own, r.fingerprint), (edited, r.edited_fingerprint)):
             assert by_text.setdefault(text, print_) == print_
             assert len(print_) == (8 * SAMPLES if WORD.search(text) else 0)
     if which == "documents":
@@ -206,8 +205,20 @@ def test_likeness_of_near_copies_is_close(spark):
     assert np.mean(near) == pytest.approx(0.8, abs=0.01) and np.std(near) < 0.064
 
 
-def test_texts_that_share_an_id_keep_their_rows(spark):
-    rows = [(None, "a b c"), (None, "d e"), (7, "x y"), (7, "z w v u"), (7, "x y"), (8, "q")]
+def test_rows_that_share_an_id_keep_their_rows(spark):
+    rows = [(None, "a b c"), (None, "d e"), (7, "x y"), (7, "z w v u"), (7, "x y"), (7, "x y"), (8, "q")]
     got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter({(i, len(t)) for i, t in rows})
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in rows)
     assert len({r.fingerprint for r in got}) == 5
+    expected = Counter((i, n, hashlib.sha256(e.encode()).hexdigest()) for i, n, e, _, _ in brute_edits(rows))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
+    # Of three equal rows two are followed by their equal.
+    assert sorted(r.near_next for r in got if r.doc_id == 7 and r.n_chars == 3)[-2:] == [1.0, 1.0]
+
+
+def test_fingerprints_of_text_ids(spark):
+    rows = [("b", "x y z w"), (None, "q r s"), ("a", "u v"), ("0", "t")]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    expected = Counter((i, hashlib.sha256(e.encode()).hexdigest()) for i, _, e, _, _ in brute_edits([(i or "", t) for i, t in rows]))
+    assert Counter((r.doc_id or "", r.edited_sha256) for r in got) == expected
+    assert [r.doc_id for r in got if r.fingerprint and r.n_chars == 5] == [None]
