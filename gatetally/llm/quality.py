@@ -96,18 +96,27 @@ class Leader:
 
 
 def _learn(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    leader, seen = Leader(), []
+    """The weights of each part, from rows in the order of parts."""
+    part, seen = None, []
     for batch in rows:
-        for text, label in zip(batch["text"], batch["label"], strict=True):
-            found = features(text)
+        for now, text, label in zip(batch["part"], batch["text"], batch["label"], strict=True):
+            if now != part and seen:
+                yield _learnt(seen)
+                seen = []
+            part, found = now, features(text)
             at, counts = np.unique(found, return_counts=True)
             x = np.concatenate(([1.0], counts / np.sqrt(max(1, len(found)))))
             seen.append((np.concatenate(([0], at)).astype(np.int32), x.astype(np.float32), int(label)))
+    if seen:
+        yield _learnt(seen)
+
+
+def _learnt(seen: list[tuple[np.ndarray, np.ndarray, int]]) -> pd.DataFrame:
+    leader = Leader()
     for k in range(PASSES):
         for i in np.random.default_rng(k).permutation(len(seen)):
             leader.learn(*seen[i])
-    if seen:
-        yield pd.DataFrame({"n": [len(seen)], "w": [leader.weights().astype(np.float32).tobytes()]})
+    return pd.DataFrame({"n": [len(seen)], "w": [leader.weights().astype(np.float32).tobytes()]})
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -129,9 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     used = labels.filter(salted_uniform(5, F.col("_id")) <= share)
     # The sample is bounded by TRAIN_ROWS, so it is sent to the documents.
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.join(F.broadcast(used), "_id").select("text", "label", F.xxhash64("_id").alias("part"))
-    rows = rows.repartition(PARTS, "part").sortWithinPartitions("part", "text", "label").select("text", "label")
-    learnt = rows.mapInPandas(_learn, "n bigint, w binary").collect()  # a row per part
+    part = F.pmod(F.xxhash64("_id"), F.lit(PARTS)).alias("part")
+    rows = rows.join(F.broadcast(used), "_id").select("text", "label", part)
+    # More tasks than parts, so that few parts share one; the parts are the same with any number of tasks.
+    rows = rows.repartition(4 * PARTS, "part").sortWithinPartitions("part", "text", "label")
+    learnt = rows.mapInPandas(_learn, "n bigint, w binary").collect()  # a row for each of PARTS
     total = sum(r["n"] for r in learnt)
     weights = np.zeros(1 << BITS)
     for r in learnt:
