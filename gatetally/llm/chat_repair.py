@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatetally.llm.common import written
+from gatetally.llm.common import null_safe, written
 from gatetally.llm.wordhash import BLANKS
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
@@ -384,11 +384,11 @@ def repair_conversations(rows: DataFrame, conversations: DataFrame) -> DataFrame
         # A row of 16 numbers stands for 2^BLOCK_BITS rows here, and a row of one for a state below.
         behind = tables.groupBy("conv").applyInPandas(_costs_behind, shape)
         key = ["block", "conv"]
-        met = _null_safe_join(several, behind, key).select("conv", "block", "letters", "ends", "last")
+        met = null_safe(several, behind, key).select("conv", "block", "letters", "ends", "last")
         each = written(met.mapInPandas(_slice_audits(False), f"conv string, block long, {spec}"), "repair_audits")
         states = each.select("conv", "block", "state", "behind").groupBy("conv")
         states = states.applyInPandas(_states_before, "conv string, block long, state int")
-        taken = _null_safe_join(each, states, ["block", "state", "conv"]).select("conv", "block", "audit", "cost")
+        taken = null_safe(each, states, ["block", "state", "conv"]).select("conv", "block", "audit", "cost")
         audits = audits.unionAll(taken)
 
     # One stream per conversation: that it is there, then each slice's audit and after it the slice's rows.
@@ -396,7 +396,7 @@ def repair_conversations(rows: DataFrame, conversations: DataFrame) -> DataFrame
     turn = F.lit(None).cast("string").alias("turn")
     low, empty = F.lit(-1).cast("bigint"), F.lit("")
     heads = heads.select("conv", low.alias("block"), low.alias("at"), F.lit(-1).alias("kind"), turn, empty.alias("role"), empty.alias("text"), *nothing)
-    marks = _null_safe_join(slices.drop("letters"), audits, ["block", "conv"])
+    marks = null_safe(slices.drop("letters"), audits, ["block", "conv"])
     marks = marks.select("conv", "block", low.alias("at"), F.lit(0).alias("kind"), turn, empty.alias("role"), F.col("audit").alias("text"), "blank", "duplicate", "truncated", "cost")
     lines = ordered.select("conv", "block", "at", F.lit(1).alias("kind"), F.col("turn").cast("string").alias("turn"), "role", "text", *nothing)
     stream = heads.unionAll(marks).unionAll(lines).repartition("conv").sortWithinPartitions("conv", "block", "kind", "at")
@@ -404,11 +404,3 @@ def repair_conversations(rows: DataFrame, conversations: DataFrame) -> DataFrame
     repaired = stream.mapInPandas(_repaired, f"conv string, {counts}, audit string, repaired_sha256 string")
     return repaired.withColumn("conv", F.col("conv").cast(conv_type))
 
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """An inner join by columns of the same names; nulls are equal. The columns of ``left`` come first."""
-    renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"right_{k}"))
-    return left.join(renamed, on).drop(*(f"right_{k}" for k in keys))

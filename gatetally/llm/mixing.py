@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatetally.llm.common import salted_uniform, text_or_empty, word_count, written
+from gatetally.llm.common import null_safe, salted_uniform, text_or_empty, word_count, written
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -20,6 +20,8 @@ MAX_COPIES = 3
 RANK_BUCKET = 2000
 
 
+#: Up to so many pairs of id and size that rows share are broadcast; beyond, they are joined.
+BROADCAST_SHARED = 500_000
 #: Up to so many sources their table (under 100 bytes a row) is broadcast; beyond, it is joined.
 BROADCAST_SOURCES = 100_000
 
@@ -139,6 +141,25 @@ def _limits(items: DataFrame, sources: DataFrame, n_sources: int, max_copies: fl
     )
 
 
+def _numbered(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """The ``rows`` whose id and size other rows have, too, with a random number ``u`` of their own.
+
+    Their texts' digests tell them apart, and rows that are alike in all three are numbered: inside each part
+    of the written table, behind as many as the parts before have.
+    """
+    key = ["id", "size", "digest"]
+    repeated = null_safe(rows, shared, ["id", "size"]).withColumn("nr", F.monotonically_increasing_id())
+    repeated = written(repeated.withColumn("part", F.spark_partition_id()), "mix_repeated")
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = repeated.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = F.row_number().over(Window.partitionBy(*key, "part").orderBy("nr"))
+    numbered = null_safe(repeated.withColumn("within", within), parts, [*key, "part"])
+    place = F.col("before") + F.col("within")
+    u = salted_uniform(F.col("seed"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key), place)
+    return written(numbered.withColumn("u", u).drop("nr", "part", "before", "within"), "mix_repeated")
+
+
 def mix(
     docs: DataFrame,
     source_col: str = "source",
@@ -152,23 +173,39 @@ def mix(
 
     ``size`` counts the words of the text, ``taken`` is copies times size. Inside a source longer
     documents have better odds: their inclusion grows with the logarithm of their size. The words
-    taken from a source differ from its target by half a document at most. Random numbers depend
-    on id and size alone, so reruns agree and rows that repeat an id are drawn together.
+    taken from a source differ from its target by half a document at most.
+
+    Each row is drawn for itself, by a random number of its id and size. Where rows share both, as without ids,
+    the text's digest and a number among equal rows go into it as well. So reruns agree on what is taken.
 
-    A null source is a source of its own, the last. A null or empty text has size 0 and 0 copies. An
-    empty table gives an empty result. Columns of ``docs`` named like the five are replaced.
+    A null source is a source of its own, the last. A null or empty text has size 0 and 0 copies. Ids may be
+    null, repeated and of any type. An empty table gives an empty result. Columns of ``docs`` named like the
+    five are replaced.
     """
     added = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c not in added or c in (source_col, text_col, id_col)]
+    text = text_or_empty(text_col)
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"),
         F.col(source_col).cast("string").alias("source"),
-        word_count(text_or_empty(text_col)).alias("size"),
+        word_count(text).alias("size"),
         F.col(id_col).alias("id"),
     )
-    rows = rows.withColumn("inclusion", F.log1p("size"))
-    uniform = salted_uniform(seed, F.col("id"), F.col("size"))
-    items = written(rows.select("source", "size", "inclusion", uniform.alias("u")), "mix_items")
+    rows = rows.withColumn("inclusion", F.log1p("size")).withColumn("seed", F.lit(str(seed)))
+    by_id = salted_uniform(seed, F.col("id"), F.col("size"))
+    items = written(rows.select("id", "source", "size", "inclusion", by_id.alias("u")), "mix_items")
+    shared = items.filter("size > 0").groupBy("id", "size").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(shared.select("id", "size"), "mix_shared")
+    n_shared = shared.count()
+    rows = rows.withColumn("u", by_id)
+    if n_shared:
+        few = F.broadcast(shared) if n_shared <= BROADCAST_SHARED else shared
+        digest = F.sha2(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")), 256)
+        repeated = _numbered(rows.drop("u").withColumn("digest", digest), few).select(rows.columns)
+        rows = null_safe(rows, few, ["id", "size"], "left_anti").unionByName(repeated)
+        items = null_safe(items, few, ["id", "size"], "left_anti").unionByName(repeated.select(items.columns))
+        items = written(items, "mix_items")
+    items = items.drop("id")
     sources = items.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = source_targets(sources, weights, max_copies)
     n_sources = sources.count()
@@ -178,7 +215,7 @@ def mix(
     limits = written(_limits(items, sources, n_sources, max_copies), "mix_limits")
     limits = limits.withColumnRenamed("source", "_s")
     params = sources.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    decided = _split_copies(_with_source(rows.withColumn("u", uniform), params, n_sources), max_copies)
+    decided = _split_copies(_with_source(rows, params, n_sources), max_copies)
     before = F.when(F.col("limit").isNotNull(), _rank() < F.col("limit"))
     before = before.otherwise(F.coalesce(_rank() <= F.col("last_in"), F.lit(False)))
     drawn = F.when(F.col("part") > 0, before).otherwise(False)

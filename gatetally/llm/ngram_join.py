@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatetally.llm.common import WORD, text_or_empty, written
+from gatetally.llm.common import WORD, null_safe, text_or_empty, written
 from gatetally.llm.components import components
 from gatetally.llm.scan import Cache, texts_of
 
@@ -40,7 +40,7 @@ STEP = 32
 PAIRS = 40_000
 #: Classes per block of a bucket.
 BLOCK = 512
-#: Up to so many ids (8 bytes each) are broadcast; beyond it they are joined.
+#: Up to so many classes (their number, id and text hash) are broadcast; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 
 _WORDS = re.compile(WORD)
@@ -274,50 +274,56 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, copy_id, n_copies, n_links: one row per row of ``docs``.
+    """doc_id, class_id, copy_id, n_copies, n_links, text_hash, stays: one row per row of ``docs``.
 
     ``copy_id`` is the least id with the same set of n-grams, ``n_copies`` the number of such rows.
     ``n_links`` is the number of other such classes whose similarity reaches the threshold, and
-    ``class_id`` the least ``copy_id`` that is linked, directly or through others.
-
-    A null text equals an empty one. A text without words has no links and is a class of its own; an id
-    stands for one document. Rows with a null id are copies of others at most, and have no links of their
-    own. An empty table gives an empty result; other columns play no part.
+    ``class_id`` the least ``copy_id`` that is linked, directly or through others. ``stays`` is true for one row
+    of all that are linked, of those with the least id; ``text_hash`` is the XXH64 of the text, by which rows
+    that share an id are told apart.
+
+    Classes are those of equal sets, whatever the ids: ids may be null (after all others), shared by several
+    texts, repeated, and of any type that has an order. A null text equals an empty one. A text without words
+    has no links and is a class of its own. Texts are taken whole. An empty table gives an empty result; other
+    columns play no part.
     """
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    sketched = docs.select("id", _sketch(F.col("text")).alias("s")).select("id", "s.*")
-    sketched = written(sketched, "ngram_sketches")
-    classes = sketched.filter("n > 0").groupBy("digest").agg(
-        F.min("id").alias("copy_id"), F.count("*").alias("n_copies")
-    )
-    classes = written(classes, "ngram_classes")
-
-    # A class is the row of its least id; copies in other rows go no further.
-    # One row per id, even where an id is repeated.
-    several = classes.filter("n_copies > 1").select("digest", F.col("copy_id").alias("_least"))
-    single = sketched.filter("n > 0 and id is not null").join(several, "digest", "left")
-    reps = single.filter("_least is null or id = _least").select("id", "n", "signature", "keys")
-    reps = written(reps.dropDuplicates(["id"]), "ngram_classes")
-
-    members = reps.select("id", F.explode("keys").alias("key"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    sketched = docs.select("id", "text_hash", _sketch(F.col("text")).alias("s")).select("id", "text_hash", "s.*")
+    # A number of the row, which stands for its class from here on; it is fixed by being written.
+    sketched = written(sketched.withColumn("nr", F.monotonically_increasing_id()), "ngram_sketches")
+    best = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "nr")).alias("best")
+    classes = sketched.filter("n > 0").groupBy("digest").agg(best, F.count("*").alias("n_copies"))
+    classes = written(classes.select("digest", "best", "best.nr", "n_copies"), "ngram_classes")
+
+    # Copies in other rows than the class's own go no further.
+    several = classes.filter("n_copies > 1").select("digest", F.col("nr").alias("_own"))
+    single = sketched.filter("n > 0").join(several, "digest", "left")
+    reps = single.filter("_own is null or nr = _own").select("nr", "id", "text_hash", "n", "signature", "keys")
+    reps = written(reps, "ngram_classes")
+
+    members = reps.select("nr", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = members.join(buckets, "key").select("key", "id", blocks.alias("blocks"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiles = members.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.join(buckets, "key").select("key", "nr", blocks.alias("blocks"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("nr"), F.col("blocks")).cast("int"))
+    tiles = members.select("key", "nr", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select(
-        "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id"
+        "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "nr"
     )
-    tiles = tiles.join(reps.select("id", "n", "signature"), "id")
+    tiles = tiles.join(reps.select("nr", "n", "signature"), "nr").withColumnRenamed("nr", "id")
     pruned = tiles.repartition(*TILE).sortWithinPartitions(*TILE, "id").mapInPandas(
         _prune, "key bigint, first int, second int, id bigint, partners array<bigint>"
     )
     pruned = written(pruned, "ngram_candidates")
 
-    ids = pruned.select("id").distinct()
-    n_ids = ids.count()
-    chosen = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
-    sets = docs.join(chosen, "id").dropDuplicates(["id"]).select("id", _shingle_bytes(F.col("text")).alias("shingles"))
+    # The candidates' texts, by id and hash: rows that repeat both have one text, and one of them is taken.
+    chosen = pruned.select(F.col("id").alias("nr")).distinct()
+    n_chosen = chosen.count()
+    chosen = chosen.join(reps.select("nr", "id", "text_hash"), "nr")
+    chosen = F.broadcast(chosen) if n_chosen <= BROADCAST_IDS else chosen
+    texts = null_safe(docs, chosen, ["id", "text_hash"]).dropDuplicates(["nr"])
+    sets = texts.select(F.col("nr").alias("id"), _shingle_bytes(F.col("text")).alias("shingles"))
     verified = pruned.join(sets, "id").repartition(*TILE).sortWithinPartitions(*TILE, "id").mapInPandas(
         _verify, "id bigint, n_links bigint, label bigint"
     )
@@ -325,14 +331,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     n_links = verified.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     joined = components(verified.select(F.col("id").alias("u"), F.col("label").alias("v")))
-    linked = n_links.join(joined, "id", "left").withColumnRenamed("id", "copy_id")
+    linked = n_links.join(joined, "id", "left").withColumnRenamed("id", "nr")
     # Classes of one row without links need no join: only the others' tables are joined.
-    linked = classes.join(linked, "copy_id", "left").filter("n_copies > 1 or n_links is not null")
-    linked = written(linked, "ngram_linked")
-    result = sketched.select("id", "digest").join(linked, "digest", "left")
-    copy_id = F.coalesce("copy_id", "id")
+    linked = classes.join(linked, "nr", "left").filter("n_copies > 1 or n_links is not null")
+    linked = written(linked.withColumn("component", F.coalesce("component", "nr")), "ngram_linked")
+    firsts = linked.groupBy("component").agg(F.min("best").alias("first"))
+    linked = linked.join(firsts, "component").select("digest", "best", "first", "n_copies", "n_links")
+    result = sketched.select("id", "text_hash", "nr", "digest").join(linked, "digest", "left")
+    alone = F.col("first").isNull()
     return result.select(
-        F.col("id").alias(id_col), F.coalesce("component", copy_id).alias("class_id"), copy_id.alias("copy_id"),
+        F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("copy_id"),
         F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"),
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+        "text_hash", (alone | (F.col("nr") == F.col("first.nr"))).alias("stays"),
     )

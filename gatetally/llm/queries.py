@@ -20,7 +20,8 @@ from gatetally.llm.token_counts import token_counts
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
