@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -136,6 +138,92 @@ def test_estimation_finds_reliable_labelers():
     assert np.mean((believed[at.ravel()] > 0.5) == true) > 0.95
 
 
+def planted(n, seed):
+    """Rows with spans that the strict patterns miss, and texts that look like them; what is to be found."""
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice(["lorem", "ipsum", "dolor", "sit", "amet", "sed", "elit"])
+
+    def digits(k):
+        return "".join(rnd.choice("0123456789") for _ in range(k))
+
+    def card(valid, between):
+        while True:
+            number = rnd.choice(["4", "51", "53"]) + digits(15)
+            number = number[:16]
+            if pii.luhn(number) == valid:
+                return between.join(number[i : i + 4] for i in range(0, 16, 4))
+
+    rows, wanted = [], set()
+    for i in range(n):
+        kind = i % 10
+        parts = [word() for _ in range(rnd.randint(3, 12))]
+        true = {
+            0: ("email", f"mail {word()}{digits(2)} [at] {word()}{digits(1)} [dot] com"),
+            1: ("phone", f"call (0{digits(2)}) {digits(3)} {digits(4)}"),
+            2: ("card", f"visa {card(True, '.')}"),
+            3: ("ip", f"server 10[.]{rnd.randint(0, 255)}[.]{rnd.randint(0, 255)}[.]7"),
+            4: ("email", f"mail {word()}@{word()}.org"),
+        }.get(kind)
+        false = {
+            5: f"serial id={card(False, '.')}", 6: f"on {rnd.randint(1950, 2020)}-0{rnd.randint(1, 9)}-{rnd.randint(10, 28)}",
+            7: f"we met at {word()} dot {word()}", 8: f"build 9.999.0.1 of {digits(3)}",
+        }.get(kind)
+        if true:
+            cue, said = true[1].split(" ", 1)
+            parts.append(f"{cue} {said}")
+        elif false:
+            parts.append(false)
+        parts += [word() for _ in range(rnd.randint(1, 6))]
+        text = " ".join(parts)
+        if true:
+            at = text.index(said)
+            wanted.add((i, true[0], at, at + len(said)))
+        rows.append((i, text))
+    return rows, wanted
+
+
+def test_precision_and_recall_on_planted_spans(spark):
+    found, added = {}, {}
+    for n in (300, 3000):
+        rows, wanted = planted(n, 4)
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        found[n] = {(r.doc_id, s.kind, s.start, s.end) for r in pii.find_pii(frame).collect() for s in r.spans}
+        added[n] = {x for x in wanted if x[0] % 10 != 4}
+        assert len(found[n] & added[n]) >= 0.95 * len(added[n])
+        assert len(found[n] & wanted) >= 0.95 * len(found[n])
+    # The same rows with more beside them: what was found with all in favour is found again.
+    assert found[300] & added[300] <= found[3000]
+
+
+def test_all_in_favour_is_never_lost(spark):
+    """Valid card numbers that the base pattern can't take, among ever more numbers that are none."""
+    assert pii.luhn("4550997810720808")
+    good = [(i, "paid by 7.4550.9978.1072.0808 x visa 4550.9978.1072.0808 x") for i in range(3)]
+    for n in (30, 3000):
+        noise = [(100 + i, f"no. {i:04d}.{i * 7 % 9999:04d}.{i * 13 % 9999:04d}.{i * 31 % 9999:04d} and {i}") for i in range(n)]
+        frame = spark.createDataFrame(good + noise, "doc_id long, text string")
+        rows = {r.doc_id: r.spans for r in pii.find_pii(frame).filter("doc_id < 100").collect()}
+        assert all(any(s.kind == "card" and not s.base for s in spans) for spans in rows.values())
+
+
+def test_pii_query_against_plain_patterns(spark):
+    """Counts, digest and spans of the registered query over the whole table."""
+    from gatetally.llm.queries import op7_pii
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    rows = op7_pii(spark, SF_DIR).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = plain_base(texts[r.doc_id])
+        said = [f"{pii.KINDS[k]}:{start}:{end}" for start, k, end in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(said) <= set(spans)
+        places = [(int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0])) for x in spans]
+        assert places == sorted(places)
+
+
 # --- language model
 
 
