@@ -172,7 +172,9 @@ def encode(docs: DataFrame, text_col: str = "text", rank_file: str = RANK_FILE)
     """All rows and columns of ``docs`` with ``ids`` and ``ends``: tokens, and where in the text's
     UTF-8 bytes each ends.
 
-    A null or empty text has no tokens. Columns of ``docs`` named like the two are replaced.
+    A null or empty text has no tokens. Rows that repeat a text are encoded each; a text may be of any
+    length. An empty table gives an empty result. Columns of ``docs`` named like the two are replaced; others
+    may have any names.
     """
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64()))])
 
@@ -193,7 +195,10 @@ def encode(docs: DataFrame, text_col: str = "text", rank_file: str = RANK_FILE)
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", rank_file: str = RANK_FILE) -> DataFrame:
-    """All rows and columns with ``decoded``: the bytes of the ids. Null ids decode to no bytes."""
+    """All rows and columns with ``decoded``: the bytes of the ids. Null ids decode to no bytes.
+
+    A column that is named so already is replaced. An empty table gives an empty result.
+    """
 
     @F.arrow_udf("binary")
     def run(ids: pa.Array) -> pa.Array:
@@ -206,7 +211,9 @@ def decode(coded: DataFrame, ids_col: str = "ids", rank_file: str = RANK_FILE) -
 def encoding_digests(docs: DataFrame, text_col: str = "text", rank_file: str = RANK_FILE) -> DataFrame:
     """All rows and columns of ``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
-    As ``encode`` followed by ``decode``, without moving the ids out of the task that makes them.
+    As ``encode`` followed by ``decode``, without moving the ids out of the task that makes them. Nulls, empty
+    and long texts and repeated rows are as there; an empty table gives an empty result. Columns named like the
+    three are replaced.
     """
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
 

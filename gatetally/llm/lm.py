@@ -46,6 +46,8 @@ OWN_DIMENSIONS, OWN_RATE = 16, 0.2
 #: Words with at least one in so many of all training tokens are sent to the scoring tasks, and the learnt
 #: ones. The others' counts are joined.
 HEAD = 200_000
+#: A part that trains by itself has about so many tokens at least, however many files or splits there are.
+PART_TOKENS = 2_000_000
 #: Words counted in a task before they are handed on.
 FLUSH = 200_000
 #: Words whose symbols a training task keeps, and texts that a scoring task works on at once.
@@ -493,9 +495,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(texts: DataFrame, own: dict[bytes, int], tree: Tree, frequency: np.ndarray) -> tuple[Model, Tree]:
-    """The model and the tree after one pass over all ``texts``: a partition each, averaged by their tokens;
-    a row of the tree by the tokens that met it."""
+def train(
+    texts: DataFrame, total: int, own: dict[bytes, int], tree: Tree, frequency: np.ndarray
+) -> tuple[Model, Tree]:
+    """The model and the tree after one pass over all ``texts`` (``total`` tokens): a part each, averaged by
+    their tokens; a row of the tree by the tokens that met it. Parts are partitions, put together where they
+    are so small that they would hardly learn."""
+    texts = texts.coalesce(max(1, total // PART_TOKENS))
     model, names = Model.start(frequency), [f"x{k}" for k in range(_WIDTH)]
     kind = ", ".join(["i bigint", "w bigint", *(f"{x} float" for x in names)])
     learnt = texts.mapInArrow(_unit_trainer(own, tree, model, frequency), kind)
@@ -519,8 +525,12 @@ def lm_scores(docs: DataFrame, is_training: Column, text_col: str = "text") -> D
 
     The tokens of a text are its words in lower case (A-Z only) and one end. Rows where
     ``is_training`` are learnt from; all are scored. ``base_score`` sums log10((c + 1) / (N + V + 1));
-    ``score`` is the model's log10 probability. A null or empty text is its end alone. Without
-    training tokens nothing is known and both scores are 0. Columns named like the five are replaced.
+    ``score`` is the model's log10 probability. A null or empty text is its end alone; texts are taken whole,
+    and rows that repeat a text count each. Without training tokens nothing is known and both scores are 0. An
+    empty table gives an empty result. Columns named like the five are replaced; others may have any names.
+
+    Parts of the training text learn by themselves from the same start, so ``score``, and nothing else,
+    depends a little on how the text is split into partitions; with the same splits reruns agree.
     """
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c not in (*added, text_col)]
@@ -558,7 +568,7 @@ def lm_scores(docs: DataFrame, is_training: Column, text_col: str = "text") -> D
         scorer.class_mass = mass[FREQUENT:]
         scorer.learnt = {w: SYMBOLS + i for i, w in enumerate(learnt)}
         tree = Tree.of(classes, [count_of[w] + 1.0 for w in learnt], scorer.class_mass)
-        scorer.model, scorer.tree = train(training, scorer.frequent | scorer.learnt, tree, frequency)
+        scorer.model, scorer.tree = train(training, total, scorer.frequent | scorer.learnt, tree, frequency)
     packed = pickle.dumps(scorer)
 
     # Other columns travel in one struct, so that none of their names can clash.

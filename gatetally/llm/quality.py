@@ -129,8 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Weights learnt from the rows of ``docs`` that have a label (``labels``: id, label 0 or 1).
 
     With more than ``TRAIN_ROWS`` labels each is used with the same probability, by its id alone, so
-    that about as many are. Null labels and labels without a document are ignored. Without labels all
-    weights are 0 and every score is 0.5.
+    that about as many are. Null labels and labels without a document are ignored; a label counts for each
+    row of its id, and a null id has none. Null texts are empty, whole texts are learnt from. Without labels or
+    rows all weights are 0 and every score is 0.5. Rows are dealt to PARTS by their id and put in order there,
+    so the weights don't depend on the number of tasks or the order of rows.
     """
     labels = labels.select(F.col(id_col).alias("_id"), F.col("label").cast("int").alias("label"))
     labels = labels.filter("label in (0, 1)")
@@ -167,7 +169,8 @@ def score(text: Column, weights: np.ndarray) -> Column:
 def classify(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` and ``predicted`` (1 from 0.5).
 
-    A null text is scored as an empty one. Columns named like the two are replaced.
+    A null text is scored as an empty one, whole texts of any length are, and rows that repeat a text alike.
+    An empty table gives an empty result. Columns named like the two are replaced; others may have any names.
     """
     docs = docs.drop(*(c for c in ("score", "predicted") if c != text_col))
     scored = docs.withColumn("score", score(text_or_empty(text_col), weights))

@@ -173,7 +173,9 @@ def token_counts(docs: DataFrame, text_col: str = "text", limit: int = 4096) ->
     """All rows and columns of ``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit``.
 
     Whole texts are counted, without begin, end or special tokens; special strings are plain text.
-    A null or empty text has no tokens. Columns of ``docs`` named like the three are replaced.
+    A null or empty text has no tokens. Rows that repeat a text are counted each; a text may be of any
+    length, as blocks of it are worked on in turn. An empty table gives an empty result. Columns of ``docs``
+    named like the three are replaced; others may have any names.
     """
     added = ("n_bytes", "n_tokens", "over_limit")
     docs = docs.drop(*(c for c in added if c != text_col))

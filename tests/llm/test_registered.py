@@ -20,7 +20,7 @@ SF_DIR = "/root/testdata/sf0.01"
 
 
 def test_a_query_per_operator():
-    assert [sum(name.startswith(f"op{n}_") for name in driver.queries()) for n in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{n}_") for name in driver.queries()) for n in range(1, 14)] == [1] * 13
     assert QUERIES.keys() <= driver.queries().keys() and "pipeline" in driver.queries()
 
 

@@ -110,3 +110,37 @@ def test_encoding_of_awkward_rows(spark, byte_model):
 def test_null_ids_decode_to_nothing(spark):
     df = spark.range(1).select(F.lit(None).cast("array<int>").alias("ids"))
     assert bytes(decode(df).first().decoded) == b""
+
+
+# --- the registered queries, over the whole table
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_count_query_equals_the_library(spark, documents, piece_model):
+    from gatetally.llm.queries import op2_token_counts
+
+    rows = op2_token_counts(spark, SF_DIR).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(documents)
+    for r in rows:
+        text = documents[r.doc_id]
+        n = len(piece_model.encode(text))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 4096)
+
+
+def test_encoding_query_equals_the_library(spark, documents, byte_model):
+    from gatetally.llm.queries import op10_byte_bpe
+
+    rows = op10_byte_bpe(spark, SF_DIR).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(documents)
+    for r in rows:
+        text = documents[r.doc_id]
+        ids = byte_model.encode_ordinary(text)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
