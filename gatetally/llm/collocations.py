@@ -39,6 +39,8 @@ SHARDS = 4
 BYTES_PER_BIT = 16
 #: Code points that are worked on at once.
 BLOCK = 1 << 21
+#: Parts that a language's candidates are ranked in before they are ranked together.
+SALTS = 16
 #: Up to so many pairs of shard and language are broadcast with their supports.
 BROADCAST_SUPPORTS = 100_000
 
@@ -257,7 +259,11 @@ def collocations(
     kept = best.join(longer, ["lang", "phrase"], "left").filter(
         f"longest_a IS NULL OR cast(longest_a AS decimal(20,0)) * 100 < cast(a AS decimal(20,0)) * {covered}"
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.select("lang", "phrase", "a", "b.l", "b.r", "b.score").withColumn("rank", F.row_number().over(order))
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    kept = kept.select("lang", "phrase", "a", "b.l", "b.r", "b.score").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    # The first of a language are among the first of each of its parts, so no task ranks all its phrases.
+    in_part = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
+    ranked = kept.withColumn("rank", in_part).filter(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     ranked = ranked.filter(F.col("rank") <= top).join(totals, "lang")
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
