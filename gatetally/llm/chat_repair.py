@@ -27,7 +27,7 @@ from gatetally.llm.wordhash import BLANKS
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 #: log2 of the rows of a block.
 BLOCK_BITS = 14
-#: Rows of pandas that are gathered for one run over their slices: letters, at most, but for one slice.
+#: Slices are worked on together up to about so many letters.
 LETTERS = 1 << 18
 
 #: States: nothing written, a system row, a user row, an assistant row last. The first and last may end.
@@ -103,11 +103,11 @@ class Slices:
         for step in range(1, int(sizes.max(initial=0)) + 1):
             at = after[: np.searchsorted(left, -step, "right")] - step
             cost = self._consuming(at, costs[at + 1])
-            # An insertion is worth it once at most: two lead back, or to a state that one leads to.
+            # One or two insertions before the row: a third would lead where the first has led.
             costs[at] = np.minimum(np.minimum(cost, cost[:, _NEXT] + INSERT), cost[:, _NEXT[_NEXT]] + 2 * INSERT)
         return np.minimum(costs, _FAR)
 
-    def _arcs(self) -> tuple[np.ndarray, np.ndarray]:
+    def _arcs(self) -> np.ndarray:
         """(edit, node): the node that an optimal edit leads to, or -1, in the order of the edits' initials."""
         n = len(self.codes)
         rows = np.arange(n)[:, None]
