@@ -15,35 +15,34 @@ from pyspark.sql.types import IntegralType, StructType
 from gatetally.llm.common import text_or_empty, written
 
 SAMPLES = 48
-#: Resolution of the uniform numbers, three of which come from one 64-bit hash.
-_BITS = 21
-#: Ranks are kept in steps of 2^-25 from -64 on, above 31 bits that tell the term and its level.
+#: One 64-bit hash gives four uniform numbers of so many bits for the gamma variates, and one of the rest.
+_BITS, _REST_BITS = 13, 12
+#: Ranks are kept in steps of 2^-25 from -64 on, above 31 bits that tell the term and its level. Weights are 1 or
+#: more, so no rank is above 32.
 _RANK_STEPS, _RANK_FROM, _ID_BITS = float(1 << 25), 64.0, 31
-_LAST_STEP = (1 << 32) - 1
 #: A word's part in a document: in its text only, in the edited one only, or in both as often. An empty
 #: word is none, and has a part of its own.
 _OWN, _EDITED, _BOTH, _NONE = range(4)
 
 
-def _uniform(hashed: Column, place: int) -> Column:
+def _uniform(hashed: Column, place: int, bits: int = _BITS) -> Column:
     """Above 0 and below 1, from bits of a hash."""
-    field = F.shiftrightunsigned(hashed, place * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
-    return (field + F.lit(0.5)) / F.lit(float(1 << _BITS))
+    field = F.shiftrightunsigned(hashed, place * _BITS).bitwiseAND(F.lit((1 << bits) - 1))
+    return (field + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
 def _sampled(term: Column, log_weight: Column, sample: int) -> Column:
     """A term's rank in a sample and what tells it, in one number: the least of a text is its sample."""
-    first, second = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
+    hashed = F.xxhash64(term, F.lit(sample))
     # The sum of two exponential variates is gamma distributed with shape 2.
-    r = -F.ln(_uniform(first, 0) * _uniform(first, 1))
-    c = -F.ln(_uniform(second, 0) * _uniform(second, 1))
-    beta = _uniform(first, 2)
+    r = -F.ln(_uniform(hashed, 0) * _uniform(hashed, 1))
+    c = -F.ln(_uniform(hashed, 2) * _uniform(hashed, 3))
+    beta = _uniform(hashed, 4, _REST_BITS)
     level = F.floor(log_weight / r + beta)
     rank = F.ln(c) - r * (level - beta) - r
-    steps = ((rank + F.lit(_RANK_FROM)) * F.lit(_RANK_STEPS)).cast("bigint")
-    steps = F.greatest(F.least(steps, F.lit(_LAST_STEP)), F.lit(0).cast("bigint"))
+    steps = F.greatest(((rank + F.lit(_RANK_FROM)) * F.lit(_RANK_STEPS)).cast("bigint"), F.lit(0).cast("bigint"))
     # Levels are small numbers; times an odd constant they change the term's own bits.
-    told = second.bitwiseXOR(level * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+    told = term.bitwiseXOR(level * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
     return F.shiftleft(steps, _ID_BITS).bitwiseOR(told)
 
 
