@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import written
-from gatetally.llm.scan import Cache
 
 #: Symbols of frequent words, the text's end among them, and classes for all other words.
 FREQUENT, CLASSES = 512, 128
@@ -50,8 +49,7 @@ HEAD = 200_000
 PART_TOKENS = 2_000_000
 #: Words counted in a task before they are handed on.
 FLUSH = 200_000
-#: Words whose symbols a training task keeps, and texts that a scoring task works on at once.
-KEPT = 200_000
+#: Texts that a task works on at once.
 TEXTS = 500
 
 #: Stands for the end of a text; no word contains a line feed.
@@ -141,10 +139,17 @@ class Model:
 
 def _add_rows(gradient: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """gradient[at] += rows, where ``at`` has repeats."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    gradient[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+    for k in range(gradient.shape[1]):
+        gradient[:, k] += np.bincount(at, rows[:, k], len(gradient))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -162,10 +167,12 @@ class Trainer:
         noise = np.minimum(np.searchsorted(self.spread, self.random.random(NOISE)), SYMBOLS - 1)
         predicted = m.predicted(contexts)
         hit = m.target[targets]
-        real = (predicted * hit).sum(axis=1) + m.bias[targets] - self.log_noise[targets]
-        false = predicted @ m.target[noise].T + (m.bias - self.log_noise)[noise]
-        d_real = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        d_false = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        real = np.einsum("ij,ij->i", predicted, hit) + m.bias[targets] - self.log_noise[targets]
+        false = predicted @ m.target[noise].T
+        false += (m.bias - self.log_noise)[noise]
+        d_real = _logistic(np.negative(real, out=real))
+        d_false = _logistic(false)
+        np.negative(d_false, out=d_false)
         d_predicted = d_real[:, None] * hit + d_false @ m.target[noise]
         gradients = [np.zeros_like(a) for a in m.arrays()]
         _add_rows(gradients[1], targets, d_real[:, None] * predicted)
@@ -264,16 +271,22 @@ class Tree:
             lengths, nodes, sides = self.path(units[part])
             predicted = np.repeat(self.predicted(contexts[part]), lengths, axis=0)
             x = np.einsum("ij,ij->i", predicted, self.node[nodes]) + self.bias[nodes]
-            out[part] = -np.add.reduceat(np.logaddexp(0, -sides * x).astype(np.float64), np.cumsum(lengths) - lengths)
+            x *= sides
+            out[part] = np.add.reduceat(np.log(_logistic(x)).astype(np.float64), np.cumsum(lengths) - lengths)
         return out
 
 
-def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different values of ``at``, how often each is there, and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[starts], np.diff(starts, append=len(at)), np.add.reduceat(rows[order], starts, axis=0)
+def _summed(at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values of ``at`` (below ``size``), how often each is there, and the sums of their rows."""
+    place = np.zeros(size, np.int32)
+    place[at] = 1
+    different = np.flatnonzero(place)
+    place[different] = np.arange(len(different))
+    at = place[at]
+    sums = np.empty((rows.shape[1], len(different)), np.float32)
+    for k, column in enumerate(rows.T):
+        sums[k] = np.bincount(at, column, len(different))
+    return different, np.bincount(at, minlength=len(different)), np.ascontiguousarray(sums.T)
 
 
 class TreeTrainer:
@@ -299,7 +312,8 @@ class TreeTrainer:
         predicted[:, :-1] = sum(x * t.place[j] for j, x in enumerate(own))
         spread, rows = np.repeat(predicted, lengths, axis=0), self.node[nodes]
         x = np.einsum("ij,ij->i", spread, rows)
-        d = (sides / (1 + np.exp(np.clip(sides * x, -30, 30))))[:, None]
+        x *= -sides
+        d = (sides * _logistic(x))[:, None]
         rows *= d
         d_predicted = np.add.reduceat(rows, np.cumsum(lengths) - lengths, axis=0)[:, :-1]
         spread *= d
@@ -309,8 +323,8 @@ class TreeTrainer:
             self.seen_place[j] += g * g
             t.place[j] += OWN_RATE * g / np.sqrt(self.seen_place[j])
         both = np.concatenate([d_predicted * place[j] for j in range(PLACES)])
-        self._step(self.node, self.seen_node, self.met_node, *_summed(nodes, spread))
-        self._step(t.context, self.seen_context, self.met_context, *_summed(contexts.T.ravel(), both))
+        self._step(self.node, self.seen_node, self.met_node, *_summed(nodes, spread, len(self.node)))
+        self._step(t.context, self.seen_context, self.met_context, *_summed(contexts.T.ravel(), both, len(t.context)))
 
     @staticmethod
     def _step(to: np.ndarray, seen: np.ndarray, met: np.ndarray, at: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
@@ -354,7 +368,6 @@ def _contexts(symbols: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
 
 def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = Cache(lambda w: own[w] if w in own else word_class(w), most=KEPT)
         trainer, n = Trainer(Model.of(model.flat()), frequency), 0
         below = TreeTrainer(tree.started())
         end, rest, waiting = own[END], [], 0
@@ -374,7 +387,10 @@ def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np
         for batch in batches:
             for text in (t for i in range(0, len(batch), TEXTS) for t in batch.column(0).slice(i, TEXTS).to_pylist()):
                 tokens = [*words(text), END]
-                rest.append(np.fromiter(map(unit.__getitem__, tokens), np.int32, len(tokens)))
+                found = np.fromiter(map(own.get, tokens, repeat(-1)), np.int32, len(tokens))
+                others = np.flatnonzero(found < 0)
+                found[others] = [word_class(tokens[i]) for i in others.tolist()]
+                rest.append(found)
                 waiting += len(tokens)
                 n += len(tokens)
                 if waiting > 64 * BATCH:
@@ -426,13 +442,12 @@ class Scorer:
         missing = at < 0
         units = self.units[at] if len(self.units) else np.zeros(total, np.int32)
         log_count = np.where(missing, 0.0, self.log_count[at]) if len(self.log_count) else np.zeros(total)
-        others: list[Counter] = [Counter() for _ in texts]
-        which = np.repeat(np.arange(len(texts)), lengths)
-        for i in np.flatnonzero(missing).tolist():
-            k = which[i]
-            word = split[k][i - starts[k]]
-            others[k][word] += 1
-            units[i] = word_class(word)
+        others: list[Counter] = []
+        for own, s, n in zip(split, starts.tolist(), lengths.tolist(), strict=True):
+            places = np.flatnonzero(missing[s : s + n])
+            rare = [own[i] for i in places.tolist()]
+            others.append(Counter(rare))
+            units[s + places] = [word_class(w) for w in rare]
         sums = lambda x: np.add.reduceat(x, starts)
         if self.model is None:
             model_log = np.zeros(total)
