@@ -6,21 +6,21 @@ before it: each context symbol has a vector, scaled by weights for its place, an
 with the vectors of all symbols. It is trained against noise from the symbols' frequencies, on all training
 text, partition by partition, and the parameters are averaged. For scoring, batched matrix products give the
 normaliser of each context. Inside a tail class, the words that are frequent enough to learn about, more of
-them the larger the corpus, are leaves of a binary tree, and all others together are one leaf. Each inner
-node has a vector and tells its sides apart by the context, in which these words have vectors of their own.
-Only the words of the last leaf have a share of their smoothed counts. So each token has a normalised
-log-probability, and a text's score is their sum.
+them the larger the corpus, and one row for all others make a set; a class with many such words is a set of
+groups of them. A row has a vector, and the rows of a set are told apart by the context, in which these words
+have vectors of their own; that is trained and normalised in the same way, set by set. Only words that
+aren't learnt have a share of their smoothed counts. So each token has a normalised log-probability, and a
+text's score is their sum.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from itertools import repeat
 
@@ -40,8 +40,12 @@ NOISE, BATCH, RATE = 48, 4096, 0.15
 #: A word of a tail class is learnt when its count is the square root of all training tokens, divided by
 #: this, or more. So the learnt words grow about as that root does, and with them the model.
 LEARNT = 100
-#: Dimensions of the learnt words' vectors and steps of their training.
-OWN_DIMENSIONS, OWN_RATE = 16, 0.2
+#: Words that are told apart at once inside a class; where there are more, they come in groups of so many.
+WIDE = 256
+#: Dimensions of the learnt words' vectors; noise, tokens of a step and steps of their training.
+OWN_DIMENSIONS, OWN_NOISE, OWN_BATCH, OWN_RATE = 16, 48, 1024, 0.3
+#: Tokens that are gathered before they are learnt, and at least so many for each set of learnt words.
+GATHERED, GATHERED_OF_SET = 64 * BATCH, 256
 #: Words with at least one in so many of all training tokens are sent to the scoring tasks, and the learnt
 #: ones. The others' counts are joined.
 HEAD = 200_000
@@ -137,10 +141,18 @@ class Model:
         return out
 
 
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values of ``at``, how often each is there, and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+    return at[starts], np.diff(starts, append=len(at)), np.add.reduceat(rows[order], starts, axis=0)
+
+
 def _add_rows(gradient: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """gradient[at] += rows, where ``at`` has repeats."""
-    for k in range(gradient.shape[1]):
-        gradient[:, k] += np.bincount(at, rows[:, k], len(gradient))
+    different, _, sums = _summed(at, rows)
+    gradient[different] += sums
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -189,36 +201,17 @@ class Trainer:
             a += RATE * g / np.sqrt(s)
 
 
-def _huffman(weights: list[float], first: int) -> tuple[list[list[int]], list[float]]:
-    """The path of each leaf from the root on, as twice the node and its side; each node's log odds."""
-    heap = [(w, i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    above, odds = [0] * (2 * len(weights) - 1), []
-    for k in range(len(weights) - 1):
-        left, i = heapq.heappop(heap)
-        right, j = heapq.heappop(heap)
-        above[i], above[j] = 2 * k, 2 * k + 1
-        odds.append(math.log(right / left))
-        heapq.heappush(heap, (left + right, len(weights) + k))
-    paths, root = [], 2 * len(weights) - 2
-    for i in range(len(weights)):
-        path = []
-        while i != root:
-            path.append(2 * first + above[i])
-            i = len(weights) + above[i] // 2
-        paths.append(path[::-1])
-    return paths, odds
-
-
 @dataclass
 class Tree:
-    """The learnt words below the classes. Units are the symbols and then the learnt words; ``steps`` has
-    the paths of all units, ``ends`` where they end: none for frequent words, and a class's own path
-    leads to all its words that are not learnt."""
+    """The learnt words below the classes. Units are the symbols and then the learnt words. A class is a set
+    of its learnt words and one row for all its others; where that were more than WIDE words, it is a set of
+    groups of words of similar counts, and each group a set. ``row`` has the rows of a unit, -1 for
+    none, ``first`` where each set's rows start, and ``share`` each row's part of its set's counts."""
 
     symbol: np.ndarray
-    steps: np.ndarray
-    ends: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    share: np.ndarray
     bias: np.ndarray
     place: np.ndarray
     context: np.ndarray
@@ -226,108 +219,117 @@ class Tree:
 
     @staticmethod
     def of(classes: list[int], counts: list[float], rest: np.ndarray) -> Tree:
-        """From the learnt words' classes and counts, and the other words' mass in each class. The nodes
-        start with their sides' shares of the counts."""
-        members: list[list[int]] = [[] for _ in range(CLASSES)]
-        for i, k in enumerate(classes):
-            members[k - FREQUENT].append(i)
-        paths: list[list[int]] = [[]] * (SYMBOLS + len(classes))
-        bias: list[float] = []
-        for k, own in enumerate(members):
-            found, odds = _huffman([float(rest[k]), *(counts[i] for i in own)], len(bias))
-            for unit, path in zip([FREQUENT + k, *(SYMBOLS + i for i in own)], found, strict=True):
-                paths[unit] = path
-            bias += odds
-        ends = np.cumsum([0, *map(len, paths)])
-        steps = np.fromiter((x for path in paths for x in path), np.int32, int(ends[-1]))
+        """From the learnt words' classes and counts, the most frequent ones first, and the other words' mass
+        in each class. Rows start with their shares of the counts."""
         symbol = np.concatenate((np.arange(SYMBOLS), np.array(classes, np.int64))).astype(np.uint16)
-        empty = np.zeros((0, OWN_DIMENSIONS), np.float32)
-        return Tree(symbol, steps, ends, np.array(bias, np.float32), empty, empty, empty)
+        row = np.full((len(symbol), 2), -1, np.int32)
+        weight, first, shares = np.array(counts, np.float64), [0], [np.zeros(0)]
+
+        def add(weights: np.ndarray) -> np.ndarray:
+            shares.append(weights / weights.sum())
+            first.append(first[-1] + len(weights))
+            return np.arange(first[-2], first[-1])
+
+        order = np.argsort(symbol[SYMBOLS:], kind="stable")
+        ends = np.searchsorted(symbol[SYMBOLS:][order], np.arange(FREQUENT, SYMBOLS + 1))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            own = order[ends[k] : ends[k + 1]]
+            groups = np.array_split(own, -(-len(own) // WIDE)) if len(own) > WIDE else own[:, None]
+            rows = add(np.array([rest[k], *(weight[g].sum() for g in groups)]))
+            row[FREQUENT + k, 0] = rows[0]
+            for g, r in zip(groups, rows[1:], strict=True):
+                row[SYMBOLS + g, 0] = r
+                if len(own) > WIDE:
+                    row[SYMBOLS + g, 1] = add(weight[g])
+        empty, share = np.zeros((0, OWN_DIMENSIONS), np.float32), np.concatenate(shares)
+        return Tree(symbol, row, np.array(first), share, np.log(share).astype(np.float32), empty, empty, empty)
 
     def started(self) -> Tree:
         """With the vectors that training starts from, the same in all tasks."""
         context = np.random.default_rng(8).normal(0, 0.3, (len(self.symbol), OWN_DIMENSIONS)).astype(np.float32)
         place = np.ones((PLACES, OWN_DIMENSIONS), np.float32)
         node = np.zeros((len(self.bias), OWN_DIMENSIONS), np.float32)
-        return Tree(self.symbol, self.steps, self.ends, self.bias.copy(), place, context, node)
-
-    def path(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths of the units' paths, and their nodes and sides (-1 and 1) one after the other."""
-        starts = self.ends[units]
-        lengths = self.ends[units + 1] - starts
-        at = np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
-        steps = self.steps[at]
-        return lengths, steps >> 1, ((steps & 1) * 2 - 1).astype(np.float32)
+        return replace(self, bias=self.bias.copy(), place=place, context=context, node=node)
+
+    def by_set(self, units: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Sets, with the positions of units that choose a row in it and these rows, up to ``most`` at once."""
+        rows = self.row[units].T.ravel()
+        at = np.flatnonzero(rows >= 0)
+        sets = np.searchsorted(self.first, rows[at], side="right") - 1
+        sets = sets.astype(np.uint16 if len(self.first) < 1 << 16 else np.int32)
+        order = np.argsort(sets, kind="stable")
+        at, sets = at[order], sets[order]
+        changes = np.flatnonzero(np.diff(sets)) + 1
+        for start, end in zip([0, *changes.tolist()], [*changes.tolist(), len(at)], strict=True):
+            for i in range(start, end, most):
+                part = at[i : min(i + most, end)]
+                yield int(sets[start]), part % len(units), rows[part]
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         return sum(self.context[contexts[:, j]] * self.place[j] for j in range(PLACES))
 
     def logs(self, contexts: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """The log-probabilities of units inside their classes."""
+        """The log-probabilities of units inside their classes, normalised by matrix products per set."""
         out = np.zeros(len(units))
-        below = np.flatnonzero(self.ends[units + 1] > self.ends[units])
-        for i in range(0, len(below), 1 << 15):
-            part = below[i : i + (1 << 15)]
-            lengths, nodes, sides = self.path(units[part])
-            predicted = np.repeat(self.predicted(contexts[part]), lengths, axis=0)
-            x = np.einsum("ij,ij->i", predicted, self.node[nodes]) + self.bias[nodes]
-            x *= sides
-            out[part] = np.add.reduceat(np.log(_logistic(x)).astype(np.float64), np.cumsum(lengths) - lengths)
+        if not len(self.bias):
+            return out
+        for i in range(0, len(units), 1 << 18):
+            before, own = contexts[i : i + (1 << 18)], out[i : i + (1 << 18)]
+            for k, at, rows in self.by_set(units[i : i + (1 << 18)], 2048):
+                members = slice(self.first[k], self.first[k + 1])
+                scores = self.predicted(before[at]) @ self.node[members].T
+                scores += self.bias[members]
+                scores -= scores.max(axis=1)[:, None]
+                hit = scores[np.arange(len(at)), rows - self.first[k]]
+                own[at] += hit - np.log(np.exp(scores, out=scores).sum(axis=1))
         return out
 
 
-def _summed(at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different values of ``at`` (below ``size``), how often each is there, and the sums of their rows."""
-    place = np.zeros(size, np.int32)
-    place[at] = 1
-    different = np.flatnonzero(place)
-    place[different] = np.arange(len(different))
-    at = place[at]
-    sums = np.empty((rows.shape[1], len(different)), np.float32)
-    for k, column in enumerate(rows.T):
-        sums[k] = np.bincount(at, column, len(different))
-    return different, np.bincount(at, minlength=len(different)), np.ascontiguousarray(sums.T)
-
-
 class TreeTrainer:
-    """Logistic steps, adaptive by row, at the nodes of the paths. Only rows that a batch meets are touched."""
+    """Noise-contrastive estimation inside the sets, with steps adaptive by row. The noise is the rows' shares;
+    as a set is narrow, it is taken as it is expected, over all rows of the set, instead of being drawn."""
 
     def __init__(self, tree: Tree):
-        self.tree = tree
+        self.tree, self.random = tree, np.random.default_rng(2)
         # The last column of a node's row is its bias.
         self.node = np.concatenate((tree.node, tree.bias[:, None]), axis=1)
+        self.noise = (OWN_NOISE * tree.share).astype(np.float32)
+        self.log_noise = np.log(self.noise)
         self.seen_node, self.seen_context = np.ones(len(self.node), np.float32), np.ones(len(tree.context), np.float32)
         self.seen_place = np.ones_like(tree.place)
         self.met_node, self.met_context = np.zeros(len(self.node), np.int64), np.zeros(len(tree.context), np.int64)
 
     def learn(self, contexts: np.ndarray, units: np.ndarray) -> None:
-        t = self.tree
-        below = np.flatnonzero(t.ends[units + 1] > t.ends[units])
-        if not len(below):
-            return
-        contexts = contexts[below]
-        lengths, nodes, sides = t.path(units[below])
+        """Steps on tokens in random order, set by set in random order."""
+        parts = list(self.tree.by_set(units, OWN_BATCH)) if len(self.node) else []
+        for i in self.random.permutation(len(parts)).tolist():
+            k, at, rows = parts[i]
+            self.tell(slice(self.tree.first[k], self.tree.first[k + 1]), contexts[at], rows - self.tree.first[k])
+
+    def tell(self, members: slice, contexts: np.ndarray, rows: np.ndarray) -> None:
+        """One step: tell the rows of a set from its noise."""
+        t, node = self.tree, self.node[members]
         own = [t.context[contexts[:, j]] for j in range(PLACES)]
-        predicted = np.ones((len(below), OWN_DIMENSIONS + 1), np.float32)
+        predicted = np.ones((len(rows), OWN_DIMENSIONS + 1), np.float32)
         predicted[:, :-1] = sum(x * t.place[j] for j, x in enumerate(own))
-        spread, rows = np.repeat(predicted, lengths, axis=0), self.node[nodes]
-        x = np.einsum("ij,ij->i", spread, rows)
-        x *= -sides
-        d = (sides * _logistic(x))[:, None]
-        rows *= d
-        d_predicted = np.add.reduceat(rows, np.cumsum(lengths) - lengths, axis=0)[:, :-1]
-        spread *= d
-        place = t.place.copy()
+        d = predicted @ node.T
+        d -= self.log_noise[members]
+        hit = np.arange(len(rows)), rows
+        d_real = _logistic(-d[hit])
+        d = _logistic(d)
+        d *= -self.noise[members]
+        d[hit] += d_real
+        d_predicted, place = d @ node[:, :-1], t.place.copy()
         for j in range(PLACES):
             g = np.einsum("ij,ij->j", d_predicted, own[j])
             self.seen_place[j] += g * g
             t.place[j] += OWN_RATE * g / np.sqrt(self.seen_place[j])
         both = np.concatenate([d_predicted * place[j] for j in range(PLACES)])
-        self._step(self.node, self.seen_node, self.met_node, *_summed(nodes, spread, len(self.node)))
-        self._step(t.context, self.seen_context, self.met_context, *_summed(contexts.T.ravel(), both, len(t.context)))
+        self._step(self.node, self.seen_node, self.met_node, members, len(rows), d.T @ predicted)
+        self._step(t.context, self.seen_context, self.met_context, *_summed(contexts.T.ravel(), both))
 
     @staticmethod
-    def _step(to: np.ndarray, seen: np.ndarray, met: np.ndarray, at: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
+    def _step(to: np.ndarray, seen: np.ndarray, met: np.ndarray, at, n, g: np.ndarray) -> None:
         met[at] += n
         seen[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
         to[at] += OWN_RATE * g / np.sqrt(seen[at])[:, None]
@@ -371,6 +373,7 @@ def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np
         trainer, n = Trainer(Model.of(model.flat()), frequency), 0
         below = TreeTrainer(tree.started())
         end, rest, waiting = own[END], [], 0
+        gathered = max(GATHERED, GATHERED_OF_SET * len(tree.first))
 
         def steps(run_units: list[np.ndarray]) -> None:
             lengths = np.fromiter(map(len, run_units), np.int64, len(run_units))
@@ -382,7 +385,7 @@ def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np
                 part = order[i : i + BATCH]
                 before, targets = contexts[part], units[part]
                 trainer.learn(tree.symbol[before], tree.symbol[targets])
-                below.learn(before, targets)
+            below.learn(contexts[order], units[order])
 
         for batch in batches:
             for text in (t for i in range(0, len(batch), TEXTS) for t in batch.column(0).slice(i, TEXTS).to_pylist()):
@@ -393,7 +396,7 @@ def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np
                 rest.append(found)
                 waiting += len(tokens)
                 n += len(tokens)
-                if waiting > 64 * BATCH:
+                if waiting > gathered:
                     steps(rest)
                     rest, waiting = [], 0
         if rest:

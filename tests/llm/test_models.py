@@ -308,6 +308,25 @@ def test_probabilities_of_learnt_words_add_up():
             assert p[lm.FREQUENT :] == pytest.approx(share[lm.FREQUENT :], rel=1e-3)
 
 
+def test_groups_of_learnt_words(monkeypatch):
+    """Where a class has many learnt words, they come in groups: probabilities add up all the same, and training
+    finds the word that a context asks for."""
+    monkeypatch.setattr(lm, "WIDE", 8)
+    test_probabilities_of_learnt_words_add_up()
+    counts, classes = np.arange(60, 0, -1) + 1.0, [lm.FREQUENT + i % 2 for i in range(60)]
+    tree = lm.Tree.of(classes, counts.tolist(), np.ones(lm.CLASSES)).started()
+    assert np.all(tree.row[lm.SYMBOLS :] >= 0) and len(tree.first) == 1 + 2 + 2 * 4
+    assert np.diff(tree.first).max() == 8
+    rnd = np.random.default_rng(4)
+    units = rnd.integers(lm.SYMBOLS, lm.SYMBOLS + 60, 6000)
+    contexts = np.stack((units - lm.SYMBOLS, rnd.integers(0, 9, 6000)), axis=1).astype(np.int32)
+    before, trainer = tree.logs(contexts, units).mean(), lm.TreeTrainer(tree)
+    for _ in range(20):
+        trainer.learn(contexts, units)
+    tree.node, tree.bias = trainer.node[:, :-1].copy(), trainer.node[:, -1].copy()
+    assert tree.logs(contexts, units).mean() > before / 2
+
+
 def test_context_tells_words_of_one_class(spark):
     """Beside 600 more frequent words, two of equal counts and endings are told apart by what is before them."""
     rnd = np.random.default_rng(9)
