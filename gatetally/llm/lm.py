@@ -45,7 +45,7 @@ WIDE = 256
 #: Dimensions of the learnt words' vectors; noise, tokens of a step and steps of their training.
 OWN_DIMENSIONS, OWN_NOISE, OWN_BATCH, OWN_RATE = 16, 48, 1024, 0.3
 #: Tokens that are gathered before they are learnt, and at least so many for each set of learnt words.
-GATHERED, GATHERED_OF_SET = 64 * BATCH, 256
+GATHERED, GATHERED_OF_SET = 128 * BATCH, 512
 #: Words with at least one in so many of all training tokens are sent to the scoring tasks, and the learnt
 #: ones. The others' counts are joined.
 HEAD = 200_000
@@ -129,7 +129,7 @@ class Model:
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector that each context (rows of PLACES symbols) predicts."""
-        return sum(self.context[contexts[:, j]] * self.place[j] for j in range(PLACES))
+        return sum(self.context.take(contexts[:, j], axis=0) * self.place[j] for j in range(PLACES))
 
     def normalisers(self, contexts: np.ndarray) -> np.ndarray:
         """The logarithm of the sum over all symbols, per context; by matrix products."""
@@ -146,7 +146,7 @@ def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     order = np.argsort(at, kind="stable")
     at = at[order]
     starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return at[starts], np.diff(starts, append=len(at)), np.add.reduceat(rows[order], starts, axis=0)
+    return at[starts], np.diff(starts, append=len(at)), np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
 
 
 def _add_rows(gradient: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -177,8 +177,9 @@ class Trainer:
         """One step on a batch: tell the targets from the noise."""
         m, n = self.model, len(targets)
         noise = np.minimum(np.searchsorted(self.spread, self.random.random(NOISE)), SYMBOLS - 1)
-        predicted = m.predicted(contexts)
-        hit = m.target[targets]
+        own = [m.context.take(contexts[:, j], axis=0) for j in range(PLACES)]
+        predicted = sum(x * m.place[j] for j, x in enumerate(own))
+        hit = m.target.take(targets, axis=0)
         real = np.einsum("ij,ij->i", predicted, hit) + m.bias[targets] - self.log_noise[targets]
         false = predicted @ m.target[noise].T
         false += (m.bias - self.log_noise)[noise]
@@ -192,9 +193,8 @@ class Trainer:
         gradients[3] += np.bincount(targets, d_real, SYMBOLS).astype(np.float32)
         np.add.at(gradients[3], noise, d_false.sum(axis=0))
         for j in range(PLACES):
-            own = m.context[contexts[:, j]]
             _add_rows(gradients[0], contexts[:, j], d_predicted * m.place[j])
-            gradients[2][j] = (d_predicted * own).sum(axis=0)
+            gradients[2][j] = np.einsum("ij,ij->j", d_predicted, own[j])
         for a, g, s in zip(m.arrays(), gradients, self.seen, strict=True):
             g /= n
             s += g * g
@@ -255,8 +255,8 @@ class Tree:
         """Sets, with the positions of units that choose a row in it and these rows, up to ``most`` at once."""
         rows = self.row[units].T.ravel()
         at = np.flatnonzero(rows >= 0)
-        sets = np.searchsorted(self.first, rows[at], side="right") - 1
-        sets = sets.astype(np.uint16 if len(self.first) < 1 << 16 else np.int32)
+        number = np.arange(len(self.first) - 1, dtype=np.uint16 if len(self.first) < 1 << 16 else np.int32)
+        sets = np.repeat(number, np.diff(self.first))[rows[at]]
         order = np.argsort(sets, kind="stable")
         at, sets = at[order], sets[order]
         changes = np.flatnonzero(np.diff(sets)) + 1
@@ -266,7 +266,7 @@ class Tree:
                 yield int(sets[start]), part % len(units), rows[part]
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.context[contexts[:, j]] * self.place[j] for j in range(PLACES))
+        return sum(self.context.take(contexts[:, j], axis=0) * self.place[j] for j in range(PLACES))
 
     def logs(self, contexts: np.ndarray, units: np.ndarray) -> np.ndarray:
         """The log-probabilities of units inside their classes, normalised by matrix products per set."""
@@ -279,7 +279,8 @@ class Tree:
                 members = slice(self.first[k], self.first[k + 1])
                 scores = self.predicted(before[at]) @ self.node[members].T
                 scores += self.bias[members]
-                scores -= scores.max(axis=1)[:, None]
+                if max(scores.max(), -scores.min()) > 40:  # else no power is too large or too small
+                    scores -= scores.max(axis=1)[:, None]
                 hit = scores[np.arange(len(at)), rows - self.first[k]]
                 own[at] += hit - np.log(np.exp(scores, out=scores).sum(axis=1))
         return out
@@ -294,7 +295,6 @@ class TreeTrainer:
         # The last column of a node's row is its bias.
         self.node = np.concatenate((tree.node, tree.bias[:, None]), axis=1)
         self.noise = (OWN_NOISE * tree.share).astype(np.float32)
-        self.log_noise = np.log(self.noise)
         self.seen_node, self.seen_context = np.ones(len(self.node), np.float32), np.ones(len(tree.context), np.float32)
         self.seen_place = np.ones_like(tree.place)
         self.met_node, self.met_context = np.zeros(len(self.node), np.int64), np.zeros(len(tree.context), np.int64)
@@ -309,16 +309,20 @@ class TreeTrainer:
     def tell(self, members: slice, contexts: np.ndarray, rows: np.ndarray) -> None:
         """One step: tell the rows of a set from its noise."""
         t, node = self.tree, self.node[members]
-        own = [t.context[contexts[:, j]] for j in range(PLACES)]
+        own = [t.context.take(contexts[:, j], axis=0) for j in range(PLACES)]
         predicted = np.ones((len(rows), OWN_DIMENSIONS + 1), np.float32)
         predicted[:, :-1] = sum(x * t.place[j] for j, x in enumerate(own))
-        d = predicted @ node.T
-        d -= self.log_noise[members]
+        odds, noise = predicted @ node.T, self.noise[members]
+        if odds.max() > 30:
+            np.minimum(odds, 30, out=odds)
+        np.exp(odds, out=odds)
+        # The noise's expected part of each row's step; a token's own row has one more.
+        d = odds + noise
+        np.divide(odds, d, out=d)
         hit = np.arange(len(rows)), rows
-        d_real = _logistic(-d[hit])
-        d = _logistic(d)
-        d *= -self.noise[members]
-        d[hit] += d_real
+        own_step = 1 - d[hit]
+        d *= -noise
+        d[hit] += own_step
         d_predicted, place = d @ node[:, :-1], t.place.copy()
         for j in range(PLACES):
             g = np.einsum("ij,ij->j", d_predicted, own[j])
@@ -463,7 +467,8 @@ class Scorer:
             raw = np.empty(total, np.float32)
             for i in range(0, total, 1 << 18):
                 part = slice(i, i + (1 << 18))
-                raw[part] = (self.model.predicted(contexts[part]) * self.model.target[symbols[part]]).sum(axis=1)
+                hit = self.model.target.take(symbols[part], axis=0)
+                raw[part] = np.einsum("ij,ij->i", self.model.predicted(contexts[part]), hit)
             raw += self.model.bias[symbols] - self.known_normalisers[key]
             model_log = raw.astype(np.float64)
             if self.tree is not None:
