@@ -22,7 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,10 @@ def word_class(word: bytes) -> int:
     return FREQUENT + zlib.crc32(word[-3:]) % CLASSES
 
 
+def _word_classes(some: list[bytes]) -> np.ndarray:
+    return FREQUENT + np.fromiter(map(zlib.crc32, [w[-3:] for w in some]), np.int64, len(some)) % CLASSES
+
+
 def _class_column(word: Column) -> Column:
     ending = F.substring(word, F.greatest(F.octet_length(word) - 2, F.lit(1)), F.lit(3))
     return (F.lit(FREQUENT) + F.crc32(ending) % CLASSES).cast("int")
@@ -129,7 +133,7 @@ class Model:
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector that each context (rows of PLACES symbols) predicts."""
-        return sum(self.context.take(contexts[:, j], axis=0) * self.place[j] for j in range(PLACES))
+        return _weighted([self.context.take(contexts[:, j], axis=0) for j in range(PLACES)], self.place)
 
     def normalisers(self, contexts: np.ndarray) -> np.ndarray:
         """The logarithm of the sum over all symbols, per context; by matrix products."""
@@ -140,26 +144,50 @@ class Model:
             out[i : i + 4096] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
         return out
 
+    def tables(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """What a context symbol in each place adds to each symbol's score (biases with the first), and the
+        normalisers of all contexts: a sum of powers of sums is a matrix product of powers."""
+        parts = [(self.context * self.place[j]).astype(np.float64) @ self.target.T for j in range(PLACES)]
+        parts[0] += self.bias
+        tops = [part.max(axis=1) for part in parts]
+        powers = [np.exp(part - top[:, None]) for part, top in zip(parts, tops, strict=True)]
+        masses = powers[0] @ powers[1].T
+        far = np.argwhere(masses < 1e-280)  # too far apart for the product
+        masses[far[:, 0], far[:, 1]] = 1
+        normalisers = np.log(masses) + tops[0][:, None] + tops[1]
+        normalisers[far[:, 0], far[:, 1]] = self.normalisers(far)
+        return [part.astype(np.float32) for part in parts], normalisers.astype(np.float32)
+
+
+def _weighted(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """The sum of the places' rows, each scaled by its place's weights."""
+    out = rows[0] * weights[0]
+    for x, w in zip(rows[1:], weights[1:], strict=True):
+        out += x * w
+    return out
+
 
 def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different values of ``at``, how often each is there, and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
+    """The different values of ``at`` (0 or more), how often each is there, and the sums of their rows, which
+    have an even length."""
+    # A value and its position are sorted as one number; that is faster than an order of the values.
+    bits = int(len(at)).bit_length()
+    packed = at.astype(np.int32 if int(at.max()) >> (31 - bits) == 0 else np.int64)
+    packed <<= bits
+    packed |= np.arange(len(at), dtype=packed.dtype)
+    packed.sort()
+    at = packed >> bits
     starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return at[starts], np.diff(starts, append=len(at)), np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
-
-
-def _add_rows(gradient: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """gradient[at] += rows, where ``at`` has repeats."""
-    different, _, sums = _summed(at, rows)
-    gradient[different] += sums
+    packed &= (1 << bits) - 1
+    # Numbers are added two by two, as the parts of complex ones.
+    pairs = rows.take(packed, axis=0).view(np.complex64)
+    return at[starts], np.diff(starts, append=len(at)), np.add.reduceat(pairs, starts, axis=0).view(np.float32)
 
 
-def _logistic(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)), in place."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+def _odds_below(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place; 0 where the power is too large."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -177,24 +205,26 @@ class Trainer:
         """One step on a batch: tell the targets from the noise."""
         m, n = self.model, len(targets)
         noise = np.minimum(np.searchsorted(self.spread, self.random.random(NOISE)), SYMBOLS - 1)
-        own = [m.context.take(contexts[:, j], axis=0) for j in range(PLACES)]
-        predicted = sum(x * m.place[j] for j, x in enumerate(own))
-        hit = m.target.take(targets, axis=0)
-        real = np.einsum("ij,ij->i", predicted, hit) + m.bias[targets] - self.log_noise[targets]
-        false = predicted @ m.target[noise].T
-        false += (m.bias - self.log_noise)[noise]
-        d_real = _logistic(np.negative(real, out=real))
-        d_false = _logistic(false)
-        np.negative(d_false, out=d_false)
-        d_predicted = d_real[:, None] * hit + d_false @ m.target[noise]
+        predicted = m.predicted(contexts)
+        hit, false_rows = m.target.take(targets, axis=0), m.target[noise]
+        real = np.einsum("ij,ij->i", predicted, hit)
+        real += (m.bias - self.log_noise).take(targets)
+        false = predicted @ -false_rows.T
+        false -= (m.bias - self.log_noise)[noise]
+        d_real, d_false = _odds_below(real), _odds_below(false)  # the steps away from the noise are -d_false
+        hit *= d_real[:, None]
+        d_predicted = np.subtract(hit, d_false @ false_rows, out=hit)
         gradients = [np.zeros_like(a) for a in m.arrays()]
-        _add_rows(gradients[1], targets, d_real[:, None] * predicted)
-        np.add.at(gradients[1], noise, d_false.T @ predicted)
+        np.subtract.at(gradients[1], noise, d_false.T @ predicted)
+        predicted *= d_real[:, None]
+        different, _, sums = _summed(targets, predicted)
+        gradients[1][different] += sums
         gradients[3] += np.bincount(targets, d_real, SYMBOLS).astype(np.float32)
-        np.add.at(gradients[3], noise, d_false.sum(axis=0))
+        np.subtract.at(gradients[3], noise, d_false.sum(axis=0))
         for j in range(PLACES):
-            _add_rows(gradients[0], contexts[:, j], d_predicted * m.place[j])
-            gradients[2][j] = np.einsum("ij,ij->j", d_predicted, own[j])
+            different, _, sums = _summed(contexts[:, j], d_predicted)
+            gradients[0][different] += sums * m.place[j]
+            gradients[2][j] = np.einsum("ij,ij->j", sums, m.context[different])
         for a, g, s in zip(m.arrays(), gradients, self.seen, strict=True):
             g /= n
             s += g * g
@@ -253,20 +283,23 @@ class Tree:
 
     def by_set(self, units: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Sets, with the positions of units that choose a row in it and these rows, up to ``most`` at once."""
-        rows = self.row[units].T.ravel()
-        at = np.flatnonzero(rows >= 0)
         number = np.arange(len(self.first) - 1, dtype=np.uint16 if len(self.first) < 1 << 16 else np.int32)
-        sets = np.repeat(number, np.diff(self.first))[rows[at]]
+        set_of, found = np.repeat(number, np.diff(self.first)), []
+        for level in self.row.T:
+            rows = level.take(units)
+            at = np.flatnonzero(rows >= 0)
+            found.append((at.astype(np.int32), rows.take(at)))
+        at, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+        sets = set_of.take(rows)
         order = np.argsort(sets, kind="stable")
-        at, sets = at[order], sets[order]
-        changes = np.flatnonzero(np.diff(sets)) + 1
+        at, rows, sets = at.take(order), rows.take(order), sets.take(order)
+        changes = np.flatnonzero(sets[1:] != sets[:-1]) + 1
         for start, end in zip([0, *changes.tolist()], [*changes.tolist(), len(at)], strict=True):
             for i in range(start, end, most):
-                part = at[i : min(i + most, end)]
-                yield int(sets[start]), part % len(units), rows[part]
+                yield int(sets[start]), at[i : min(i + most, end)], rows[i : min(i + most, end)]
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.context.take(contexts[:, j], axis=0) * self.place[j] for j in range(PLACES))
+        return _weighted([self.context.take(contexts[:, j], axis=0) for j in range(PLACES)], self.place)
 
     def logs(self, contexts: np.ndarray, units: np.ndarray) -> np.ndarray:
         """The log-probabilities of units inside their classes, normalised by matrix products per set."""
@@ -277,12 +310,19 @@ class Tree:
             before, own = contexts[i : i + (1 << 18)], out[i : i + (1 << 18)]
             for k, at, rows in self.by_set(units[i : i + (1 << 18)], 2048):
                 members = slice(self.first[k], self.first[k + 1])
-                scores = self.predicted(before[at]) @ self.node[members].T
-                scores += self.bias[members]
-                if max(scores.max(), -scores.min()) > 40:  # else no power is too large or too small
-                    scores -= scores.max(axis=1)[:, None]
+                node, bias, predicted = self.node[members], self.bias[members], self.predicted(before.take(at, axis=0))
+                scores = predicted @ node.T
                 hit = scores[np.arange(len(at)), rows - self.first[k]]
-                own[at] += hit - np.log(np.exp(scores, out=scores).sum(axis=1))
+                # No score is above the product of the longest vectors, nor any bias below the rarest row's.
+                longest = [np.einsum("ij,ij->i", x, x).max() for x in (predicted, node)]
+                if math.sqrt(longest[0] * longest[1]) + np.abs(bias).max() > 40:  # else no power is too large or too small
+                    scores += bias
+                    top = scores.max(axis=1)
+                    scores -= top[:, None]
+                    hit, masses = hit - top, np.exp(scores, out=scores).sum(axis=1)
+                else:
+                    masses = np.exp(scores, out=scores) @ np.exp(bias)
+                own[at] += hit + self.bias.take(rows) - np.log(masses)
         return out
 
 
@@ -304,39 +344,42 @@ class TreeTrainer:
         parts = list(self.tree.by_set(units, OWN_BATCH)) if len(self.node) else []
         for i in self.random.permutation(len(parts)).tolist():
             k, at, rows = parts[i]
-            self.tell(slice(self.tree.first[k], self.tree.first[k + 1]), contexts[at], rows - self.tree.first[k])
+            members = slice(self.tree.first[k], self.tree.first[k + 1])
+            self.tell(members, contexts.take(at, axis=0), rows - self.tree.first[k])
 
     def tell(self, members: slice, contexts: np.ndarray, rows: np.ndarray) -> None:
         """One step: tell the rows of a set from its noise."""
         t, node = self.tree, self.node[members]
         own = [t.context.take(contexts[:, j], axis=0) for j in range(PLACES)]
         predicted = np.ones((len(rows), OWN_DIMENSIONS + 1), np.float32)
-        predicted[:, :-1] = sum(x * t.place[j] for j, x in enumerate(own))
-        odds, noise = predicted @ node.T, self.noise[members]
-        if odds.max() > 30:
-            np.minimum(odds, 30, out=odds)
-        np.exp(odds, out=odds)
-        # The noise's expected part of each row's step; a token's own row has one more.
-        d = odds + noise
-        np.divide(odds, d, out=d)
+        predicted[:, :-1] = _weighted(own, t.place)
+        noise = self.noise[members]
+        against = -node
+        against[:, -1] += np.log(noise)
+        # The noise's expected part of each row's step, as a share of the noise; a token's own row has one more.
+        d = _odds_below(predicted @ against.T)
         hit = np.arange(len(rows)), rows
-        own_step = 1 - d[hit]
-        d *= -noise
-        d[hit] += own_step
-        d_predicted, place = d @ node[:, :-1], t.place.copy()
+        odds = d[hit]
+        d[hit] = odds - (1 - odds) / noise.take(rows)
+        noise = -noise[:, None]
+        d_predicted, place = d @ (noise * node[:, :-1]), t.place.copy()
         for j in range(PLACES):
             g = np.einsum("ij,ij->j", d_predicted, own[j])
             self.seen_place[j] += g * g
             t.place[j] += OWN_RATE * g / np.sqrt(self.seen_place[j])
-        both = np.concatenate([d_predicted * place[j] for j in range(PLACES)])
-        self._step(self.node, self.seen_node, self.met_node, members, len(rows), d.T @ predicted)
+        both = (d_predicted * place[:, None, :]).reshape(-1, OWN_DIMENSIONS)
+        self._step(self.node, self.seen_node, self.met_node, members, len(rows), noise * (d.T @ predicted))
         self._step(t.context, self.seen_context, self.met_context, *_summed(contexts.T.ravel(), both))
 
     @staticmethod
     def _step(to: np.ndarray, seen: np.ndarray, met: np.ndarray, at, n, g: np.ndarray) -> None:
         met[at] += n
-        seen[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        to[at] += OWN_RATE * g / np.sqrt(seen[at])[:, None]
+        now = seen[at]
+        now += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        seen[at] = now
+        g *= (OWN_RATE / np.sqrt(now))[:, None]
+        g += to[at]
+        to[at] = g
 
 
 #: A trained part comes as rows of so many numbers.
@@ -385,18 +428,19 @@ def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np
             starts = np.cumsum(lengths) - lengths
             contexts = _contexts(units, starts, end)
             order = trainer.random.permutation(len(units))
+            contexts, units = contexts.take(order, axis=0), units.take(order)
+            before, targets = tree.symbol.take(contexts), tree.symbol.take(units)
             for i in range(0, len(order), BATCH):
-                part = order[i : i + BATCH]
-                before, targets = contexts[part], units[part]
-                trainer.learn(tree.symbol[before], tree.symbol[targets])
-            below.learn(contexts[order], units[order])
+                trainer.learn(before[i : i + BATCH], targets[i : i + BATCH])
+            below.learn(contexts, units)
 
         for batch in batches:
             for text in (t for i in range(0, len(batch), TEXTS) for t in batch.column(0).slice(i, TEXTS).to_pylist()):
-                tokens = [*words(text), END]
+                tokens = words(text)
+                tokens.append(END)
                 found = np.fromiter(map(own.get, tokens, repeat(-1)), np.int32, len(tokens))
                 others = np.flatnonzero(found < 0)
-                found[others] = [word_class(tokens[i]) for i in others.tolist()]
+                found[others] = _word_classes([tokens[i] for i in others.tolist()])
                 rest.append(found)
                 waiting += len(tokens)
                 n += len(tokens)
@@ -433,7 +477,8 @@ class Scorer:
         self.symbol = np.arange(SYMBOLS, dtype=np.uint16) if self.tree is None else self.tree.symbol
         units = np.arange(len(self.symbol))
         self.is_class = (units >= FREQUENT) & (units < SYMBOLS)
-        self.known_normalisers = np.full(SYMBOLS**PLACES, np.nan, np.float32)
+        if self.model is not None:
+            self.added, self.normalisers = self.model.tables()
         return self
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter]]:
@@ -443,9 +488,7 @@ class Scorer:
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         starts = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
-        at = np.empty(total, np.int64)
-        for own, s, n in zip(split, starts, lengths, strict=True):
-            at[s : s + n] = np.fromiter(map(self.place.get, own, repeat(-1)), np.int64, n)
+        at = np.fromiter(map(self.place.get, chain.from_iterable(split), repeat(-1)), np.int64, total)
         missing = at < 0
         units = self.units[at] if len(self.units) else np.zeros(total, np.int32)
         log_count = np.where(missing, 0.0, self.log_count[at]) if len(self.log_count) else np.zeros(total)
@@ -454,22 +497,15 @@ class Scorer:
             places = np.flatnonzero(missing[s : s + n])
             rare = [own[i] for i in places.tolist()]
             others.append(Counter(rare))
-            units[s + places] = [word_class(w) for w in rare]
+            units[s + places] = _word_classes(rare)
         sums = lambda x: np.add.reduceat(x, starts)
         if self.model is None:
             model_log = np.zeros(total)
         else:
             before = _contexts(units, starts, self.frequent[END])
-            symbols, contexts = self.symbol[units], self.symbol[before]
-            key = contexts[:, 0].astype(np.int64) * SYMBOLS + contexts[:, 1]
-            new = np.unique(key[np.isnan(self.known_normalisers[key])])
-            self.known_normalisers[new] = self.model.normalisers(np.stack((new // SYMBOLS, new % SYMBOLS), axis=1))
-            raw = np.empty(total, np.float32)
-            for i in range(0, total, 1 << 18):
-                part = slice(i, i + (1 << 18))
-                hit = self.model.target.take(symbols[part], axis=0)
-                raw[part] = np.einsum("ij,ij->i", self.model.predicted(contexts[part]), hit)
-            raw += self.model.bias[symbols] - self.known_normalisers[key]
+            symbols, contexts = self.symbol.take(units), self.symbol.take(before)
+            raw = sum(added[contexts[:, j], symbols] for j, added in enumerate(self.added))
+            raw -= self.normalisers[contexts[:, 0], contexts[:, 1]]
             model_log = raw.astype(np.float64)
             if self.tree is not None:
                 model_log += self.tree.logs(before, units)

@@ -327,6 +327,54 @@ def test_groups_of_learnt_words(monkeypatch):
     assert tree.logs(contexts, units).mean() > before / 2
 
 
+@pytest.mark.parametrize("spread", [0.5, 40])
+def test_tables_equal_single_contexts(spread):
+    """One matrix product gives the normalisers of all contexts, also where powers are too far apart for it."""
+    rnd = np.random.default_rng(3)
+    model = lm.Model.of(rnd.normal(0, spread, len(lm.Model.start(np.ones(lm.SYMBOLS)).flat())))
+    added, normalisers = model.tables()
+    contexts = rnd.integers(0, lm.SYMBOLS, (3000, lm.PLACES))
+    one, two = contexts.T
+    wanted = model.predicted(contexts).astype(float) @ model.target.T + model.bias
+    assert added[0][one] + added[1][two] == pytest.approx(wanted, rel=1e-3, abs=1e-3 * spread**3)
+    assert normalisers[one, two] == pytest.approx(model.normalisers(contexts), rel=1e-4, abs=1e-3)
+
+
+def test_sums_by_value_equal_plain_sums():
+    rnd = np.random.default_rng(5)
+    for top in (3, 90_000, 2**30):
+        at = rnd.integers(0, top, 1200)
+        rows = rnd.normal(size=(1200, lm.OWN_DIMENSIONS)).astype(np.float32)
+        wanted, inverse, times = np.unique(at, return_inverse=True, return_counts=True)
+        different, n, sums = lm._summed(at, rows)
+        plain = np.zeros((len(wanted), lm.OWN_DIMENSIONS))
+        np.add.at(plain, inverse, rows)
+        assert different.tolist() == wanted.tolist() and n.tolist() == times.tolist()
+        assert sums == pytest.approx(plain, abs=1e-3)
+
+
+def test_step_in_a_set_equals_plain_account():
+    """Also where odds are beyond all powers."""
+    rnd = np.random.default_rng(6)
+    tree = lm.Tree.of([lm.FREQUENT] * 30, np.arange(30, 0, -1.0).tolist(), np.ones(lm.CLASSES)).started()
+    trainer = lm.TreeTrainer(tree)
+    trainer.node[:] = rnd.normal(0, 1, trainer.node.shape)
+    trainer.node[5, -1], trainer.node[6, -1] = 200, -200
+    contexts, rows = rnd.integers(0, len(tree.symbol), (300, lm.PLACES)), rnd.integers(0, 31, 300)
+    node, context, noise = trainer.node.astype(float), tree.context.astype(float), trainer.noise.astype(float)
+    predicted = np.concatenate((context[contexts].sum(axis=1), np.ones((300, 1))), axis=1)
+    share = 1 / (1 + noise * np.exp(-(predicted @ node.T)))
+    step = -noise * share
+    step[np.arange(300), rows] += 1 - share[np.arange(300), rows]
+    of_node, of_context = step.T @ predicted, np.zeros_like(context)
+    for j in range(lm.PLACES):
+        np.add.at(of_context, contexts[:, j], step @ node[:, :-1])
+    moved = lambda g: lm.OWN_RATE * g / np.sqrt(1 + (g * g).mean(axis=1))[:, None]
+    trainer.tell(slice(0, 31), contexts, rows)
+    assert trainer.node == pytest.approx(node + moved(of_node), abs=1e-3)
+    assert tree.context == pytest.approx(context + moved(of_context), abs=1e-3)
+
+
 def test_context_tells_words_of_one_class(spark):
     """Beside 600 more frequent words, two of equal counts and endings are told apart by what is before them."""
     rnd = np.random.default_rng(9)
