@@ -8,7 +8,7 @@ the sum of the smaller weights over the sum of the larger ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
@@ -25,19 +25,29 @@ _RANK_STEPS, _RANK_FROM, _ID_BITS = float(1 << 25), 64.0, 31
 _OWN, _EDITED, _BOTH, _NONE = range(4)
 
 
-def _uniform(hashed: Column, place: int, bits: int = _BITS) -> Column:
+def _field(hashed: Column, place: int, bits: int = _BITS) -> Column:
+    return F.shiftrightunsigned(hashed, place * _BITS).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _uniform(field: Column, bits: int = _BITS) -> Column:
     """Above 0 and below 1, from bits of a hash."""
-    field = F.shiftrightunsigned(hashed, place * _BITS).bitwiseAND(F.lit((1 << bits) - 1))
     return (field + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
-def _sampled(term: Column, log_weight: Column, sample: int) -> Column:
+def _exponentials(spark: SparkSession) -> DataFrame:
+    """exponentials: for each field of a hash the exponential variate that its uniform number gives. A
+    logarithm costs more than all else in a sample, so these are worked out once and not for every term."""
+    each = F.transform(F.sequence(F.lit(0), F.lit((1 << _BITS) - 1)), lambda k: F.coalesce(-F.ln(_uniform(k)), F.lit(0.0)))
+    return spark.range(1).select(each.alias("exponentials"))
+
+
+def _sampled(term: Column, log_weight: Column, exponentials: Column, sample: int) -> Column:
     """A term's rank in a sample and what tells it, in one number: the least of a text is its sample."""
     hashed = F.xxhash64(term, F.lit(sample))
+    drawn = [F.get(exponentials, _field(hashed, place).cast("int")) for place in range(4)]
     # The sum of two exponential variates is gamma distributed with shape 2.
-    r = -F.ln(_uniform(hashed, 0) * _uniform(hashed, 1))
-    c = -F.ln(_uniform(hashed, 2) * _uniform(hashed, 3))
-    beta = _uniform(hashed, 4, _REST_BITS)
+    r, c = drawn[0] + drawn[1], drawn[2] + drawn[3]
+    beta = _uniform(_field(hashed, 4, _REST_BITS), _REST_BITS)
     level = F.floor(log_weight / r + beta)
     rank = F.ln(c) - r * (level - beta) - r
     steps = F.greatest(((rank + F.lit(_RANK_FROM)) * F.lit(_RANK_STEPS)).cast("bigint"), F.lit(0).cast("bigint"))
@@ -74,10 +84,10 @@ def _signatures(texts: DataFrame) -> DataFrame:
     )
     terms = counts.select(*by_key, F.xxhash64("word").alias("term"), F.explode(parts).alias("p"))
     terms = terms.select(*by_key, "term", "p.part", "p.log_weight")
+    terms = terms.crossJoin(F.broadcast(_exponentials(texts.sparkSession)))
     # Without a condition around it, Spark works out what a sample's expression has several times once.
-    samples = [
-        F.min(_sampled(F.col("term"), F.col("log_weight"), i)).alias(f"s{i}") for i in range(SAMPLES)
-    ]
+    columns = [F.col(c) for c in ("term", "log_weight", "exponentials")]
+    samples = [F.min(_sampled(*columns, i)).alias(f"s{i}") for i in range(SAMPLES)]
     least = terms.groupBy(*by_key, "part").agg(*samples)
     least = least.select(*by_key, "part", F.array(*(f"s{i}" for i in range(SAMPLES))).alias("s"))
     three = [F.first(F.when(F.col("part") == part, F.col("s")), True).alias(f"p{part}") for part in (_OWN, _EDITED, _BOTH)]

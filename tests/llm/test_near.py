@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cases import ROWS, WORD, awkward, empty
+from gatetally.llm import fingerprints as prints
 from gatetally.llm import ngram_join as module
 from gatetally.llm.components import components
 from gatetally.llm.fingerprints import SAMPLES, fingerprints
@@ -216,6 +217,22 @@ def test_rows_that_share_an_id_keep_their_rows(spark):
     assert sorted(r.near_next for r in got if r.doc_id == 7 and r.n_chars == 3)[-2:] == [1.0, 1.0]
 
 
+def test_sample_equals_logarithms_of_its_own(spark):
+    """Variates from the table, which is worked out once, give the ranks that logarithms for each term would."""
+    rnd = random.Random(4)
+    rows = [(rnd.getrandbits(63), float(np.log(rnd.choice([1, 1, 2, 7, 5000])))) for _ in range(2000)]
+    terms = spark.createDataFrame(rows, "term long, log_weight double").withColumn("hash", F.xxhash64("term", F.lit(3)))
+    terms = terms.crossJoin(prints._exponentials(spark))
+    got = terms.select("log_weight", "hash", prints._sampled(*map(F.col, ("term", "log_weight", "exponentials")), 3).alias("s"))
+    for r in got.collect():
+        fields = [(r.hash >> 13 * i & 8191) + 0.5 for i in range(4)]
+        gamma, c = (-np.log(fields[i] * fields[i + 1] / 2.0**26) for i in (0, 2))
+        beta = ((r.hash >> 52 & 4095) + 0.5) / 4096
+        level = np.floor(r.log_weight / gamma + beta)
+        rank = np.log(c) - gamma * (level - beta) - gamma
+        assert (r.s >> 31) / 2.0**25 - 64 == pytest.approx(max(rank, -64), abs=2.0**-24)
+
+
 def test_fingerprints_of_text_ids(spark):
     rows = [("b", "x y z w"), (None, "q r s"), ("a", "u v"), ("0", "t")]
     got = fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()
