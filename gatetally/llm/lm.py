@@ -18,18 +18,20 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatetally.llm.common import written
+from gatetally.llm.scan import BLOCK, blocks, texts_of
+from gatetally.llm.wordhash import BLANKS
 
 #: Symbols of frequent words, the text's end among them, and classes for all other words.
 FREQUENT, CLASSES = 512, 128
@@ -51,27 +53,69 @@ GATHERED, GATHERED_OF_SET = 128 * BATCH, 512
 HEAD = 200_000
 #: A part that trains by itself has about so many tokens at least, however many files or splits there are.
 PART_TOKENS = 2_000_000
-#: Words counted in a task before they are handed on.
-FLUSH = 200_000
-#: Texts that a task works on at once.
-TEXTS = 500
+#: Bytes of text whose words a task counts before they are handed on.
+COUNTED = 1 << 24
+#: Bytes of text whose words are looked up at once, at least, for each word that they are looked for among: those
+#: are hashed anew each time.
+LOOKED_UP = 8
 
 #: Stands for the end of a text; no word contains a line feed.
 END = b"\n"
 _LOG10 = 1 / np.log(10)
 
 
-def words(text: bytes) -> list[bytes]:
-    """Runs of bytes other than space and 9 to 13, with A-Z in lower case."""
-    return text.lower().split()
-
-
 def word_class(word: bytes) -> int:
     return FREQUENT + zlib.crc32(word[-3:]) % CLASSES
 
 
-def _word_classes(some: list[bytes]) -> np.ndarray:
-    return FREQUENT + np.fromiter(map(zlib.crc32, [w[-3:] for w in some]), np.int64, len(some)) % CLASSES
+#: Whether a byte is part of a word; what a byte does to a CRC-32.
+_IN_WORD = bytes(b not in BLANKS for b in range(256))
+_CRC = np.array([zlib.crc32(bytes([b ^ 0xFF])) for b in range(256)], np.uint32) ^ np.uint32(0xFF000000)
+
+
+@dataclass
+class Tokens:
+    """The tokens of texts, one behind the other, as ``data`` cut at ``cuts``; a text's own go up to its one of
+    ``stops``. They are runs of bytes other than space and 9 to 13, with A-Z in lower case, and an end."""
+
+    data: np.ndarray
+    cuts: np.ndarray
+    stops: np.ndarray
+
+    @staticmethod
+    def of(texts: list[bytes]) -> Tokens:
+        joined = b"".join((b" ", *chain.from_iterable((text, b" \n ") for text in texts))).lower()
+        inside = np.frombuffer(bytearray(joined.translate(_IN_WORD)), bool)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 3) - 1
+        inside[ends] = True
+        turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts = turns[::2]
+        cuts = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(turns[1::2] - starts, dtype=np.int32, out=cuts[1:])
+        return Tokens(np.frombuffer(joined, np.uint8)[inside], cuts, np.searchsorted(starts, ends) + 1)
+
+    def words(self) -> pa.Array:
+        buffers = [None, pa.py_buffer(self.cuts), pa.py_buffer(self.data)]
+        return pa.Array.from_buffers(pa.binary(), len(self.cuts) - 1, buffers)
+
+    def among(self, known: pa.Array) -> np.ndarray:
+        """Which of ``known`` each token is; -1 for none."""
+        return pc.index_in(self.words(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def classes(self, at: np.ndarray) -> np.ndarray:
+        """``word_class`` of the tokens there."""
+        ends = self.cuts.take(at + 1).astype(np.int64)
+        lengths, crc = ends - self.cuts.take(at), np.full(len(at), 0xFFFFFFFF, np.uint32)
+        for k in (3, 2, 1):
+            # A word that is shorter starts later; what is read in its place is left out again.
+            after = _CRC.take((crc ^ self.data.take(np.maximum(ends - k, 0))) & np.uint32(0xFF)) ^ (crc >> np.uint32(8))
+            crc = np.where(lengths >= k, after, crc)
+        return FREQUENT + (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % CLASSES
+
+
+def _runs(columns: Iterator[pa.Array], n_known: int = 0) -> Iterator[list[bytes]]:
+    """All texts, in runs to work on at once where words are looked for among ``n_known``."""
+    return blocks(chain.from_iterable(map(texts_of, columns)), max(BLOCK, LOOKED_UP * n_known))
 
 
 def _class_column(word: Column) -> Column:
@@ -80,19 +124,19 @@ def _class_column(word: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    waiting: list[pa.Array] = []
 
     def out() -> pa.RecordBatch:
-        columns = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["word", "c"])
-
-    for batch in batches:
-        for text in (t for i in range(0, len(batch), TEXTS) for t in batch.column(0).slice(i, TEXTS).to_pylist()):
-            counts.update(words(text))
-            counts[END] += 1
-            if len(counts) > FLUSH:
-                yield out()
-                counts.clear()
+        counts = pa.chunked_array(waiting, pa.binary()).value_counts()
+        return pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "c"])
+
+    size = 0
+    for texts in _runs(batch.column(0) for batch in batches):
+        waiting.append(Tokens.of(texts).words())
+        size += sum(map(len, texts))
+        if size > COUNTED:
+            yield out()
+            waiting, size = [], 0
     yield out()
 
 
@@ -420,6 +464,7 @@ def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np
         trainer, n = Trainer(Model.of(model.flat()), frequency), 0
         below = TreeTrainer(tree.started())
         end, rest, waiting = own[END], [], 0
+        known, units_of = pa.array(list(own), pa.binary()), np.array([*own.values(), -1], np.int32)
         gathered = max(GATHERED, GATHERED_OF_SET * len(tree.first))
 
         def steps(run_units: list[np.ndarray]) -> None:
@@ -434,16 +479,15 @@ def _unit_trainer(own: dict[bytes, int], tree: Tree, model: Model, frequency: np
                 trainer.learn(before[i : i + BATCH], targets[i : i + BATCH])
             below.learn(contexts, units)
 
-        for batch in batches:
-            for text in (t for i in range(0, len(batch), TEXTS) for t in batch.column(0).slice(i, TEXTS).to_pylist()):
-                tokens = words(text)
-                tokens.append(END)
-                found = np.fromiter(map(own.get, tokens, repeat(-1)), np.int32, len(tokens))
-                others = np.flatnonzero(found < 0)
-                found[others] = _word_classes([tokens[i] for i in others.tolist()])
-                rest.append(found)
-                waiting += len(tokens)
-                n += len(tokens)
+        for texts in _runs((batch.column(0) for batch in batches), len(own)):
+            tokens = Tokens.of(texts)
+            found = units_of.take(tokens.among(known))  # the last one for other words
+            others = np.flatnonzero(found < 0)
+            found[others] = tokens.classes(others)
+            n += len(found)
+            for units in np.split(found, tokens.stops[:-1]):
+                rest.append(units)
+                waiting += len(units)
                 if waiting > gathered:
                     steps(rest)
                     rest, waiting = [], 0
@@ -468,7 +512,7 @@ class Scorer:
     tree: Tree | None = None
 
     def ready(self) -> Scorer:
-        self.place = {w: i for i, w in enumerate(self.head)}
+        self.words = pa.array(self.head, pa.binary())
         known = self.frequent | self.learnt
         self.units = np.array([u if (u := known.get(w)) is not None else word_class(w) for w in self.head], np.int32)
         self.log_count = np.log10(self.counts + 1.0)
@@ -481,23 +525,19 @@ class Scorer:
             self.added, self.normalisers = self.model.tables()
         return self
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter]]:
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Per text: tokens, known head tokens, the sum of their log counts, the model's log-probability
-        but for the counts of other words, and these words with how often they are there."""
-        split = [[*words(t), END] for t in texts]
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        starts = np.cumsum(lengths) - lengths
-        total = int(lengths.sum())
-        at = np.fromiter(map(self.place.get, chain.from_iterable(split), repeat(-1)), np.int64, total)
+        but for the counts of other words, and a list of these words with how often they are there."""
+        tokens = Tokens.of(texts)
+        lengths = np.diff(tokens.stops, prepend=0)
+        starts, total = tokens.stops - lengths, int(tokens.stops[-1])
+        at = tokens.among(self.words)
         missing = at < 0
         units = self.units[at] if len(self.units) else np.zeros(total, np.int32)
         log_count = np.where(missing, 0.0, self.log_count[at]) if len(self.log_count) else np.zeros(total)
-        others: list[Counter] = []
-        for own, s, n in zip(split, starts.tolist(), lengths.tolist(), strict=True):
-            places = np.flatnonzero(missing[s : s + n])
-            rare = [own[i] for i in places.tolist()]
-            others.append(Counter(rare))
-            units[s + places] = _word_classes(rare)
+        rare = np.flatnonzero(missing)
+        units[rare] = tokens.classes(rare)
+        others = _counted(tokens.words().take(pa.array(rare)), np.searchsorted(tokens.stops, rare, "right"), len(texts))
         sums = lambda x: np.add.reduceat(x, starts)
         if self.model is None:
             model_log = np.zeros(total)
@@ -514,6 +554,19 @@ class Scorer:
         return lengths, sums((~missing).astype(np.int64)), sums(log_count), sums(model_log), others
 
 
+_PAIR = pa.struct([("word", pa.binary()), ("n", pa.int64())])
+
+
+def _counted(words: pa.Array, owner: np.ndarray, n_owners: int) -> pa.Array:
+    """The different words of each owner and how often they are there, as a list for each."""
+    found = words.dictionary_encode()
+    size = max(1, len(found.dictionary))
+    keys, n = np.unique(owner * size + found.indices.to_numpy(), return_counts=True)
+    ends = np.searchsorted(keys, np.arange(n_owners + 1) * size).astype(np.int32)
+    pairs = [found.dictionary.take(pa.array(keys % size)), pa.array(n, pa.int64())]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(pairs, fields=list(_PAIR)))
+
+
 @lru_cache(maxsize=1)
 def _ready(packed: bytes) -> Scorer:
     return pickle.loads(packed).ready()
@@ -523,26 +576,17 @@ _SCORED = "n_tokens bigint, n_head bigint, head_log double, model_log double, ot
 
 
 def _score(text: Column, packed: bytes) -> Column:
-    pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pair))
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(_PAIR))
     names = ["n_tokens", "n_head", "head_log", "model_log", "others"]
     kind = pa.struct(list(zip(names, kinds, strict=True)))
 
     @F.arrow_udf(_SCORED)
     def run(texts: pa.Array) -> pa.Array:
         scorer, parts = _ready(packed), [pa.array([], kind)]
-        for i in range(0, len(texts), TEXTS):
-            *numbers, others = scorer.score(texts.slice(i, TEXTS).to_pylist())
-            ends = np.cumsum([0, *map(len, others)]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays(
-                [
-                    pa.array([w for c in others for w in c], pa.binary()),
-                    pa.array([n for c in others for n in c.values()], pa.int64()),
-                ],
-                ["word", "n"],
-            )
+        for run_of_texts in _runs(iter([texts]), len(scorer.head)):
+            *numbers, others = scorer.score(run_of_texts)
             columns = [pa.array(x).cast(kind.field(j).type) for j, x in enumerate(numbers)]
-            parts.append(pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(ends, pairs)], names))
+            parts.append(pa.StructArray.from_arrays([*columns, others], names))
         return pa.concat_arrays([p.cast(kind) for p in parts])
 
     return run(text)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -257,6 +258,45 @@ def test_base_scores_and_better_model(spark, monkeypatch, head):
         assert sum(r.score for r in held_out) > sum(r.base_score for r in held_out)
 
 
+def test_tokens_equal_plain_account():
+    """Words, text ends, look-ups, classes and counts, also of odd bytes, empty texts and blocks of one text."""
+    rnd = random.Random(3)
+    odd = [bytes(rnd.choice(b"aAzZ \t\n\x0b\x0c\r\x00\x1c\x85\xa0\xff") for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    for texts in (odd, [b""], [b" \n "], [b"x"], [(r[1] or "").encode() for r in ROWS]):
+        own = [[*re.findall(rb"[^\x20\x09-\x0D]+", t.lower()), lm.END] for t in texts]
+        plain, tokens = [w for part in own for w in part], lm.Tokens.of(texts)
+        assert tokens.words().to_pylist() == plain
+        assert tokens.stops.tolist() == np.cumsum([len(part) for part in own]).tolist()
+        assert tokens.classes(np.arange(len(plain))).tolist() == [lm.word_class(w) for w in plain]
+        known = [lm.END, b"a", b"the"]
+        assert tokens.among(lm.pa.array(known)).tolist() == [known.index(w) if w in known else -1 for w in plain]
+        head = [b"a", b"the"]
+        *_, others = lm.Scorer(head, np.ones(2), {}, None, np.ones(lm.CLASSES)).ready().score(texts)
+        wanted = [Counter(w for w in part if w not in head) for part in own]
+        assert [{x["word"]: x["n"] for x in part} for part in others.to_pylist()] == wanted
+        batches = [lm.pa.RecordBatch.from_arrays([lm.pa.array([t])], ["text"]) for t in texts]
+        counted = Counter()
+        for batch in lm._count(iter(batches)):
+            counted.update(dict(zip(batch["word"].to_pylist(), batch["c"].to_pylist(), strict=True)))
+        assert counted == Counter(plain)
+
+
+def test_look_ups_take_less_than_one_by_one():
+    """Splitting texts and looking their words up takes less CPU time than a dictionary of Python's own does."""
+    rnd = np.random.default_rng(4)
+    head = [b"word%d" % i for i in range(60_000)]
+    texts = [b" ".join([head[i] for i in part]) for part in rnd.integers(0, len(head), (300, 1000)).tolist()]
+    scorer, place = lm.Scorer(head, np.ones(len(head)), {}, None, np.ones(lm.CLASSES)).ready(), {w: i for i, w in enumerate(head)}
+
+    def seconds(run):
+        begun = time.process_time()
+        run()
+        return time.process_time() - begun
+
+    one_by_one = min(seconds(lambda: [[place.get(w, -1) for w in t.lower().split()] for t in texts]) for _ in range(5))
+    assert min(seconds(lambda: scorer.score(texts)) for _ in range(5)) < one_by_one
+
+
 def test_probabilities_add_up():
     """Over all words that were seen, and one that wasn't in each class, they make 1."""
     rnd = np.random.default_rng(7)
